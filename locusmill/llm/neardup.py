@@ -206,13 +206,19 @@ def near_duplicate_links(docs: DataFrame, sketches: DataFrame, p: SketchParams =
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
+        if pairs.isEmpty():
+            return
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = _confirm(materialise(_screen(pairs, classes, p), "screened"), docs, p)
+        if labels is not None and found.isEmpty():
+            return
         links = found if links is None else links.unionByName(found)
         labels = materialise(connected_components(links), "labels")
 
     for turn in range(p.lead_rounds + 1):
         if turn:
+            if labels is None:
+                break
             named = slots.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
             mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
             slots = materialise(named.join(materialise(mixed, "mixed"), "key").select("rep", "n_shingles", "key", "component"), "slots")
@@ -227,6 +233,8 @@ def near_duplicate_links(docs: DataFrame, sketches: DataFrame, p: SketchParams =
             pairs = slots.join(other, "key").filter((F.col("component") < F.col("c_y")) & fits(F.col("n_shingles"), F.col("n_y"))).select(F.col("rep").alias("x"), "y")
         test(pairs)
         slots = slots.drop("component")
+    if labels is None:
+        labels = docs.sparkSession.createDataFrame([], "node long, component long")
     return members, labels
 
 
