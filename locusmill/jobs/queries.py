@@ -1,10 +1,416 @@
-"""The registered queries of the association library and their SQL."""
+"""The registered queries of the association library and their SQL, over the derived study."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import stats
+from ..operators import align, assoc, nullmodel, variants
+from ..operators.components import connected_components
+from ..operators.shared import materialise
+from ..streaming.landing import associate_stream, run_until_done
+from . import cohort as C
+from . import study
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, views: bool = True):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = (f"WITH {C.SQL_VIEWS.strip()}" + (f",\n{sql.strip()[5:]}" if sql.strip().startswith("WITH ") else f"\n{sql.strip()}")) if views else sql
+        return f
+
+    return add
+
+
+def r(c, digits: int = 6):
+    """Rounded, without a negative zero, for comparison between engines."""
+    return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
+
+
+def _ready(spark: SparkSession, sf: str) -> DataFrame:
+    """Complete cohort: sample_id, n_orders, nation, month."""
+    return C.covariates(spark, sf).dropna()
+
+
+# ---- association
+
+
+@query("""
+WITH n AS (SELECT count(*) AS n_all FROM cov),
+a AS (SELECT sample_id, n_orders, y FROM cov JOIN phe USING (sample_id) WHERE pheno = 'balance'),
+fit AS (SELECT regr_slope(y, n_orders) AS b, regr_intercept(y, n_orders) AS a, count(y) AS n FROM a),
+res AS (SELECT sample_id, coalesce((y - fit.a - fit.b * n_orders) * n_all / (fit.n - 2), 0) AS r FROM a, fit, n),
+proj AS (SELECT variant_id, regr_slope(dosage, n_orders) AS b, regr_intercept(dosage, n_orders) AS a FROM dos JOIN cov USING (sample_id) GROUP BY variant_id),
+g AS (SELECT variant_id, sample_id, dosage - a - b * n_orders AS g FROM dos JOIN cov USING (sample_id) JOIN proj USING (variant_id)),
+s AS (SELECT variant_id, corr(g, r) AS rho, stddev_pop(g) AS sd_g, stddev_pop(r) AS sd_r FROM g JOIN res USING (sample_id) GROUP BY variant_id)
+SELECT variant_id, round(rho * sd_r / sd_g, 3) + 0.0 AS beta,
+  round(sqrt((1 - rho * rho) / (n_all - 2)) * sd_r / sd_g / sqrt(n_all::DOUBLE / (n_all - 1)), 3) + 0.0 AS se,
+  round(rho / sqrt((1 - rho * rho) / (n_all - 2)) * sqrt(n_all::DOUBLE / (n_all - 1)), 5) + 0.0 AS t FROM s, n""")
+def assoc_simple(spark, sf):
+    """One trait, one covariate, unrelated samples: aggregates and joins only."""
+    cov = C.covariates(spark, sf).select("sample_id", "n_orders")
+    y = C.phenotypes(spark, sf).filter("pheno = 'balance'").select("sample_id", "y")
+    a = cov.join(y, "sample_id")
+    fit = a.agg(F.regr_slope("y", "n_orders").alias("b"), F.regr_intercept("y", "n_orders").alias("a"), F.count("y").alias("n"), F.count("*").alias("n_all"))
+    res = a.join(F.broadcast(fit)).select("sample_id", "n_orders", "n_all", F.coalesce((F.col("y") - F.col("a") - F.col("b") * F.col("n_orders")) * F.col("n_all") / (F.col("n") - 2), F.lit(0.0)).alias("r"))
+    d = C.dosages(spark, sf).select("variant_id", "sample_id", "dosage").join(res, "sample_id")
+    # residualising by one covariate needs only sums of products, so one aggregation does both regressions
+    s = d.groupBy("variant_id").agg(
+        F.covar_pop("dosage", "r").alias("gr"), F.covar_pop("dosage", "n_orders").alias("gx"), F.covar_pop("r", "n_orders").alias("rx"),
+        F.var_pop("n_orders").alias("xx"), F.var_pop("dosage").alias("gg"), F.var_pop("r").alias("rr"), F.max("n_all").alias("n"),
+    )
+    s = s.withColumn("vg", F.col("gg") - F.col("gx") ** 2 / F.col("xx")).withColumn("cov", F.col("gr") - F.col("gx") * F.col("rx") / F.col("xx"))
+    rho, c2 = F.col("cov") / F.sqrt(F.col("vg") * F.col("rr")), F.col("n") / (F.col("n") - 1)
+    beta = F.col("cov") / F.col("vg")
+    se = F.sqrt((1 - rho * rho) / (F.col("n") - 2)) * F.sqrt(F.col("rr") / F.col("vg")) / F.sqrt(c2)
+    return s.select("variant_id", r(beta, 3).alias("beta"), r(se, 3).alias("se"), r(beta / se, 5).alias("t"))
+
+
+def _geno(spark, sf) -> DataFrame:
+    return assoc.dosage_arrays(C.dosages(spark, sf))
+
+
+def _traits(spark, sf, covariates: list[str], phenos: list[str]) -> assoc.Traits:
+    samples = C.samples(spark, sf).join(C.covariates(spark, sf).select("sample_id", *covariates), "sample_id")
+    pheno = C.phenotypes(spark, sf).filter(F.col("pheno").isin(phenos))
+    resid, c2, _ = study.fit_null(samples.select("sample_id", *covariates), pheno, covariates)
+    return study.traits_of(samples, resid, c2, covariates)
+
+
+_MULTI_SQL = """
+WITH n AS (SELECT count(*) AS n_all FROM cov),
+a AS (SELECT sample_id, pheno, n_orders, y FROM cov JOIN phe USING (sample_id) WHERE pheno IN ('balance', 'spend')),
+fit AS (SELECT pheno, regr_slope(y, n_orders) AS b, regr_intercept(y, n_orders) AS a, count(y) AS n FROM a GROUP BY pheno),
+res AS (SELECT sample_id, pheno, coalesce((y - fit.a - fit.b * n_orders) / s2 * n_all * s2 / (fit.n - 2), 0) AS r FROM a JOIN fit USING (pheno)
+  JOIN (SELECT pheno, regr_syy(y, n_orders) * (1 - regr_r2(y, n_orders)) / (count(y) - 2) AS s2 FROM a GROUP BY pheno) USING (pheno), n),
+proj AS (SELECT variant_id, regr_slope(dosage, n_orders) AS b, regr_intercept(dosage, n_orders) AS a FROM dos JOIN cov USING (sample_id) GROUP BY variant_id),
+g AS (SELECT variant_id, sample_id, dosage - a - b * n_orders AS g FROM dos JOIN cov USING (sample_id) JOIN proj USING (variant_id)),
+s AS (SELECT variant_id, pheno, corr(g, r) AS rho, stddev_pop(g) AS sd_g, stddev_pop(r) AS sd_r FROM g JOIN res USING (sample_id) GROUP BY variant_id, pheno)
+"""
+
+
+@query(_MULTI_SQL + """SELECT variant_id, pheno, round(rho * sd_r / sd_g, 3) + 0.0 AS beta, round(rho / sqrt((1 - rho * rho) / (n_all - 2)) * sqrt(n_all::DOUBLE / (n_all - 1)), 5) + 0.0 AS t FROM s, n""")
+def assoc_multi(spark, sf):
+    """Two traits at once by the array kernel: one matrix product a batch."""
+    t = _traits(spark, sf, ["n_orders"], ["balance", "spend"])
+    return assoc.associate(_geno(spark, sf), t).select("variant_id", "pheno", r("beta", 3).alias("beta"), r("t", 5).alias("t"))
+
+
+@query(_MULTI_SQL + """SELECT variant_id, max(CASE WHEN pheno = 'balance' THEN round(rho * sd_r / sd_g, 3) + 0.0 END) AS "balance_BETA",
+  max(CASE WHEN pheno = 'spend' THEN round(rho * sd_r / sd_g, 3) + 0.0 END) AS "spend_BETA" FROM s GROUP BY variant_id""")
+def assoc_wide(spark, sf):
+    """The wide result: three columns a trait, here the effects."""
+    t = _traits(spark, sf, ["n_orders"], ["balance", "spend"])
+    wide = assoc.widen(assoc.associate(_geno(spark, sf), t), t.names)
+    return wide.select("variant_id", r("balance_BETA", 3).alias("balance_BETA"), r("spend_BETA", 3).alias("spend_BETA"))
+
+
+@query(_MULTI_SQL + """SELECT variant_id, pheno, round(rho * sd_r / sd_g, 3) + 0.0 AS beta FROM s""")
+def assoc_streaming(spark, sf):
+    """The same results from a stream of landing Parquet files."""
+    t = _traits(spark, sf, ["n_orders"], ["balance", "spend"])
+    from ..operators.shared import shared_dir
+    import uuid
+
+    base = f"{shared_dir(spark)}/landing-{uuid.uuid4().hex}"
+    _geno(spark, sf).repartition(5).write.parquet(f"{base}/in")
+    run_until_done(associate_stream(spark, f"{base}/in", t), f"{base}/out", f"{base}/state")
+    out = spark.read.schema(assoc._LONG).parquet(f"{base}/out")
+    return out.select("variant_id", "pheno", r("beta", 3).alias("beta"))
+
+
+@query()
+def assoc_p_values(spark, sf):
+    """-log10 p of a binary trait with three covariates, logistic null model."""
+    cov = ["n_orders", "nation"]
+    t = _traits(spark, sf, cov, ["positive"])
+    return assoc.associate(_geno(spark, sf), t).select("variant_id", r("beta", 5).alias("beta"), r("se", 5).alias("se"), r("neg_log10_p", 5).alias("neg_log10_p"))
+
+
+@query("""
+WITH rows_ AS (SELECT o_custkey AS sample_id, (day(o_orderdate) % 7)::DOUBLE AS x, o_totalprice AS y FROM orders),
+j AS (SELECT sample_id, count(*)::DOUBLE AS c, sum(x) AS x, sum(y) AS y FROM rows_ GROUP BY sample_id),
+m AS (SELECT count(*)::DOUBLE AS n, sum(x) AS sx, sum(x * x) AS sxx FROM rows_),
+gs AS (SELECT variant_id, sum(dosage * c) AS g1, sum(dosage * j.x) AS gx FROM dos JOIN j USING (sample_id) GROUP BY variant_id),
+u AS (SELECT variant_id, (sxx * g1 - sx * gx) / (n * sxx - sx * sx) AS a, (n * gx - sx * g1) / (n * sxx - sx * sx) AS b FROM gs, m),
+p AS (SELECT variant_id, dosage - (a * c + b * j.x) / c AS g, c FROM dos JOIN j USING (sample_id) JOIN u USING (variant_id))
+SELECT variant_id, round(sum(g * c), 3) + 0.0 AS weighted_sum, round(var_pop(g), 6) + 0.0 AS variance FROM p GROUP BY variant_id""")
+def residualise_repeated(spark, sf):
+    """Dosages less what repeated-measure covariates explain: per-sample sums over orders."""
+    rows = C.table(spark, sf, "orders").select(F.col("o_custkey").alias("sample_id"), (F.dayofmonth("o_orderdate") % 7).cast("double").alias("x"))
+    sums, project = study.repeated_setup(rows, ["x"])
+    local = sums.orderBy("sample_id").select("sample_id", "n").toArrow()
+    order, repeats = local["sample_id"].to_numpy(), local["n"].to_numpy().astype(float)
+    shared = spark.sparkContext.broadcast((order, repeats, project))
+
+    def run(batches):
+        import pyarrow as pa
+
+        at, c, residualise = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g = b.column("dosage").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)[:, at]
+            res = residualise(g)
+            yield pa.record_batch([b.column("variant_id"), pa.array((res * c).sum(axis=1)), pa.array(res.var(axis=1))], ["variant_id", "weighted_sum", "variance"])
+
+    out = _geno(spark, sf).mapInArrow(run, "variant_id string, weighted_sum double, variance double")
+    return out.select("variant_id", r("weighted_sum", 3).alias("weighted_sum"), r("variance").alias("variance"))
+
+
+# ---- variants
+
+
+@query("""SELECT variant_id, count(dosage) AS n_samples, round(avg(dosage) / 2, 6) AS af, round(var_pop(dosage), 6) AS gv_pop, round(var_samp(dosage), 6) AS gv_samp FROM dos GROUP BY variant_id""")
+def variant_summary(spark, sf):
+    s = variants.summarise_long(C.dosages(spark, sf))
+    return s.select("variant_id", "n_samples", *[r(c).alias(c) for c in ("af", "gv_pop", "gv_samp")])
+
+
+@query("""SELECT variant_id, count(dosage) AS n_samples, round(avg(dosage) / 2, 6) AS af, round(var_samp(dosage), 6) AS gv FROM dos WHERE sample_id % 11 <> 0 GROUP BY variant_id HAVING avg(dosage) / 2 BETWEEN 0.43 AND 0.57""")
+def variant_maf_filter(spark, sf):
+    """Array summaries with missing dosages, then the frequency filter."""
+    d = C.dosages(spark, sf).withColumn("dosage", F.when(F.col("sample_id") % 11 != 0, F.col("dosage")))
+    g = assoc.dosage_arrays(d)
+    return variants.maf_filter(variants.summarise(g), 0.43).select("variant_id", "n_samples", r("af").alias("af"), r("gv").alias("gv"))
+
+
+@query("""SELECT variant_id, round(sum(dosage), 3) AS total FROM dos WHERE variant_id IN (SELECT p_brand FROM part WHERE p_size > 45 GROUP BY p_brand HAVING count(*) % 2 = 0) GROUP BY variant_id""")
+def variant_include_filter(spark, sf):
+    include = C.table(spark, sf, "part").filter("p_size > 45").groupBy(F.col("p_brand").alias("variant_id")).count().filter("count % 2 = 0")
+    return variants.include_filter(C.dosages(spark, sf), include).groupBy("variant_id").agg(r(F.sum("dosage"), 3).alias("total"))
+
+
+@query("""SELECT variant_id, CAST(dosage AS INTEGER) AS dosage, count(*) AS n FROM dos GROUP BY variant_id, dosage""")
+def packed_codes(spark, sf):
+    """Dosages packed four to a byte and unpacked again by bit operations."""
+    d = C.dosages(spark, sf).withColumn("code", F.when(F.col("dosage") == 2, 0).when(F.col("dosage") == 1, 2).otherwise(3))
+    packed = d.groupBy("variant_id", F.floor(F.col("sample_idx") / 4).alias("b")).agg(F.sum(F.expr("shiftleft(code, cast(2 * (sample_idx % 4) as int))")).cast("int").alias("byte"), F.count("*").alias("k"))
+    out = packed.select("variant_id", "byte", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1)).alias("i"))
+    code = F.expr("shiftright(byte, 2 * i) & 3")
+    return out.select("variant_id", stats.dosage_of_code(code).cast("int").alias("dosage")).groupBy("variant_id", "dosage").agg(F.count("*").alias("n"))
+
+
+# ---- alignment
+
+
+@query("""SELECT c_custkey AS sample_id, o_orderkey AS row_id, o_totalprice AS x FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderkey % 9 <> 0""")
+def align_inner(spark, sf):
+    """One sample to many complete covariate rows."""
+    rows = C.table(spark, sf, "orders").select(F.col("o_custkey").alias("sample_id"), F.col("o_orderkey").alias("row_id"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice")).alias("x"))
+    return align.inner_by_id(C.samples(spark, sf).select("sample_id"), rows, ["x"])
+
+
+@query("""SELECT c_custkey AS sample_id FROM customer WHERE c_custkey IN (SELECT sample_id FROM cov WHERE month IS NOT NULL)""")
+def align_semi(spark, sf):
+    return align.with_complete_covariates(C.samples(spark, sf).select("sample_id"), C.covariates(spark, sf), ["month"])
+
+
+@query("""
+WITH l AS (SELECT o_custkey AS sample_id, o_orderkey AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS occurrence FROM orders),
+q AS (SELECT o_custkey AS sample_id, o_orderkey AS b, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS occurrence FROM orders)
+SELECT l.sample_id, l.occurrence, a, b FROM l JOIN q ON l.sample_id = q.sample_id AND l.occurrence = q.occurrence""")
+def align_zip(spark, sf):
+    """The k-th phenotype row of a sample with its k-th covariate row."""
+    o = C.table(spark, sf, "orders")
+    left = o.select(F.col("o_custkey").alias("sample_id"), F.col("o_orderkey").alias("a"))
+    right = o.select(F.col("o_custkey").alias("sample_id"), F.col("o_orderkey").alias("b"), F.struct("o_totalprice", "o_orderkey").alias("ord"))
+    out = align.zip_by_occurrence(left, right, "a", "ord")
+    return out.select("sample_id", F.col("occurrence").cast("long").alias("occurrence"), "a", "b")
+
+
+@query("""
+WITH rw AS (SELECT c_custkey AS sample_id, c_custkey AS row_idx FROM customer WHERE c_custkey % 5 <> 0),
+pr AS (SELECT least(a.row_idx, b.row_idx) AS i, greatest(a.row_idx, b.row_idx) AS j, edge_idx, value FROM edge JOIN rw a ON a.sample_id = id1 JOIN rw b ON b.sample_id = id2)
+SELECT i, j, arg_min(value, edge_idx) AS value FROM pr GROUP BY i, j""")
+def kinship_expand(spark, sf):
+    """Edges with both ends in the cohort; of repeated unordered pairs the first counts."""
+    rows = C.samples(spark, sf).filter("sample_id % 5 <> 0").select("sample_id", F.col("sample_idx").alias("row_idx"))
+    return align.kinship_pairs(C.kinship_edges(spark, sf), rows)
+
+
+@query("""
+WITH rw AS (SELECT c_custkey AS i FROM customer),
+p AS (SELECT least(id1, id2) AS i, greatest(id1, id2) AS j, arg_min(value, edge_idx) AS value FROM edge GROUP BY 1, 2),
+m AS (SELECT i, j, value FROM p UNION ALL SELECT j, i, value FROM p WHERE i <> j UNION ALL SELECT i, i, 1.0 FROM rw)
+SELECT i, count(*) AS n, round(sum(v), 6) AS total FROM (SELECT i, j, sum(value) AS v FROM m GROUP BY i, j) GROUP BY i""")
+def kinship_rows(spark, sf):
+    """Row sums of the assembled sparse matrix."""
+    rows = C.samples(spark, sf).select("sample_id", F.col("sample_idx").alias("row_idx"))
+    m = align.kinship_matrix(align.kinship_pairs(C.kinship_edges(spark, sf), rows), rows)
+    return m.groupBy("i").agg(F.count("*").alias("n"), r(F.sum("value")).alias("total"))
+
+
+@query("""SELECT c_custkey AS node, (c_custkey // 4) * 4 AS component FROM customer WHERE (SELECT count(*) FROM customer c2 WHERE c2.c_custkey // 4 = customer.c_custkey // 4) > 1""")
+def kinship_families(spark, sf):
+    """Connected components of the kinship graph."""
+    return connected_components(C.kinship_edges(spark, sf), "id1", "id2")
+
+
+@query("""SELECT sample_id, coalesce(max(CASE WHEN pheno = 'balance' THEN round(y, 2) END), 0) AS balance, coalesce(max(CASE WHEN pheno = 'spend' THEN round(y, 2) END), 0) AS spend FROM phe GROUP BY sample_id""")
+def residuals_zero_filled(spark, sf):
+    long = C.phenotypes(spark, sf).filter("y is not null").select("sample_id", "pheno", F.col("y").alias("resid"))
+    out = align.zero_filled(C.samples(spark, sf), long, ["balance", "spend"])
+    return out.select("sample_id", r("balance", 2).alias("balance"), r("spend", 2).alias("spend"))
+
+
+@query("""SELECT w.c_custkey AS sample_id, w.c_custkey * 2 AS place, coalesce(o.c_custkey, -1) AS own_idx FROM customer w LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 1) o ON o.c_custkey = w.c_custkey""")
+def genotype_permutation(spark, sf):
+    """Where each wanted sample stands in a genotype file; -1 where it is absent."""
+    s = C.samples(spark, sf)
+    return align.column_order(s.select("sample_id", (F.col("sample_idx") * 2).alias("place")), s.filter("sample_id % 3 <> 1"))
+
+
+@query("""SELECT o_custkey AS sample_id, count(*) AS n_rows, round(sum(o_totalprice), 2) AS o_totalprice FROM orders GROUP BY o_custkey""")
+def incidence_sums(spark, sf):
+    rows = C.table(spark, sf, "orders").withColumnRenamed("o_custkey", "sample_id")
+    return align.sums_by_sample(rows, ["o_totalprice"]).withColumn("o_totalprice", r("o_totalprice", 2))
+
+
+@query("""SELECT o_custkey AS sample_id, count(*) AS n, min(o_orderkey) AS first_idx FROM orders GROUP BY o_custkey HAVING count(*) > 1""")
+def duplicated_samples(spark, sf):
+    rows = C.table(spark, sf, "orders").select(F.col("o_custkey").alias("sample_id"), "o_orderkey")
+    return align.duplicated_ids(rows).join(align.first_seen_ids(rows, "o_orderkey"), "sample_id")
+
+
+@query("""SELECT c_custkey AS sample_id, c_name AS name, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS row_idx FROM customer""")
+def row_numbers(spark, sf):
+    """Dense numbers in a given order, without one sorting task."""
+    c = C.table(spark, sf, "customer").select(F.col("c_custkey").alias("sample_id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("b"))
+    out = align.with_row_index(c, ["b", "sample_id"], parts=8)
+    return out.select("sample_id", "name", F.col("row_idx").cast("long").alias("row_idx"))
+
+
+@query("""
+WITH a AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderpriority LIKE '1%'), b AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'F')
+SELECT 'both' AS kind, count(*) AS n, sum(id)::BIGINT AS total FROM (SELECT id FROM a INTERSECT SELECT id FROM b)
+UNION ALL SELECT 'first_only', count(*), sum(id)::BIGINT FROM (SELECT id FROM a EXCEPT SELECT id FROM b)""")
+def index_sets(spark, sf):
+    """Intersection and difference of index lists."""
+    o = C.table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), "o_orderpriority", "o_orderstatus")
+    a, b = o.filter("o_orderpriority like '1%'").select("id"), o.filter("o_orderstatus = 'F'").select("id")
+    total = lambda df, kind: df.agg(F.count("*").alias("n"), F.sum("id").alias("total")).select(F.lit(kind).alias("kind"), "n", "total")
+    return total(a.intersect(b), "both").unionByName(total(a.exceptAll(a.join(b, "id", "left_semi")).distinct(), "first_only"))
+
+
+# ---- cells, columns and traits
+
+
+@query("""SELECT sample_id, pheno, round(y, 1) + 0.0 AS y FROM phe JOIN cov USING (sample_id) WHERE y IS NOT NULL AND month IS NOT NULL""")
+def drop_missing(spark, sf):
+    """Every trait with its own samples, complete covariates only."""
+    full = align.drop_incomplete(C.covariates(spark, sf), ["month"]).select("sample_id")
+    return C.phenotypes(spark, sf).filter("y is not null").join(full, "sample_id").select("sample_id", "pheno", r("y", 1).alias("y"))
+
+
+@query("""SELECT pheno, count(DISTINCT y) AS n_values, CASE WHEN count(DISTINCT y) = 2 THEN 'binomial' WHEN count(DISTINCT y) < 2 THEN 'constant' ELSE 'gaussian' END AS family FROM phe WHERE y IS NOT NULL GROUP BY pheno""")
+def trait_families(spark, sf):
+    return align.binary_traits(C.phenotypes(spark, sf))
+
+
+@query("""
+WITH s AS (SELECT 'o_orderstatus' AS name, o_orderstatus AS v FROM orders UNION SELECT 'o_orderpriority', o_orderpriority FROM orders UNION SELECT 'day', (day(o_orderdate) % 9)::VARCHAR FROM orders UNION SELECT 'key', o_orderkey::VARCHAR FROM orders)
+SELECT name, count(*) AS n_values, string_agg(v, ',' ORDER BY try_cast(v AS DOUBLE) NULLS FIRST, v) AS levels FROM s GROUP BY name HAVING count(*) <= 10""")
+def categorical_covariates(spark, sf):
+    """Columns with few values, numbers in numeric order."""
+    o = C.table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority", (F.dayofmonth("o_orderdate") % 9).alias("day"), F.col("o_orderkey").alias("key"))
+    return align.categorical_columns(o, ["o_orderstatus", "o_orderpriority", "day", "key"])
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN trim(replace(replace(cell, chr(13), ''), '"', '')) IN ('', 'NA') THEN NULL ELSE trim(replace(replace(cell, chr(13), ''), '"', '')) END AS cell,
+  try_cast(trim(replace(replace(cell, chr(13), ''), '"', '')) AS DOUBLE) AS number, coalesce(nullif(tag, ''), 'NA') AS tag, least(o_orderkey, o_custkey) AS lo, greatest(o_orderkey, o_custkey) AS hi
+  FROM (SELECT o_orderkey, o_custkey, CASE o_orderkey % 4 WHEN 0 THEN 'NA' WHEN 1 THEN '"' || o_custkey || '"' || chr(13) WHEN 2 THEN '' ELSE o_orderstatus END AS cell, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS tag FROM orders)""")
+def cell_functions(spark, sf):
+    """Cleaning of cells, numbers from text, defaults and order-independent keys."""
+    k = F.col("o_orderkey")
+    cell = F.when(k % 4 == 0, "NA").when(k % 4 == 1, F.concat(F.lit('"'), F.col("o_custkey").cast("string"), F.lit('"\r'))).when(k % 4 == 2, "").otherwise(F.col("o_orderstatus"))
+    o = C.table(spark, sf, "orders").withColumn("cell", stats.strip_cell(cell)).withColumn("tag", F.when(k % 3 == 0, "").otherwise(F.col("o_orderstatus")))
+    pair = stats.pair_key(k, F.col("o_custkey"))
+    return o.select(k.alias("id"), F.when(~F.col("cell").isin("", "NA"), F.col("cell")).alias("cell"), stats.number(F.col("cell")).alias("number"), stats.or_default(F.col("tag")).alias("tag"), pair["lo"].alias("lo"), pair["hi"].alias("hi"))
+
+
+@query("""SELECT sample_id, round(1 / (1 + exp(-nation / 10)), 8) AS logit, round(exp(nation / 10), 6) AS log_link, round(nation / 10 * nation / 10, 6) AS sqrt_link,
+  round(1 / (1 + exp(-nation / 10)) * (1 - 1 / (1 + exp(-nation / 10))), 8) AS slope, CAST(sign(nation - 12) AS INTEGER) AS sign FROM cov""")
+def link_functions(spark, sf):
+    eta = F.col("nation") / 10
+    mu = stats.inverse_link(eta, "binomial", "logit")
+    return C.covariates(spark, sf).select("sample_id", r(mu, 8).alias("logit"), r(stats.inverse_link(eta, link="log")).alias("log_link"), r(stats.inverse_link(eta, link="sqrt")).alias("sqrt_link"), r(stats.mean_slope(mu, "binomial", "logit"), 8).alias("slope"), F.signum(F.col("nation") - 12).cast("int").alias("sign"))
+
+
+# ---- null models
+
+
+@query("""SELECT 'gram' AS kind, count(*) AS n, round(sum(n_orders), 4) AS sx, round(sum(n_orders * n_orders), 4) AS sxx, round(sum(n_orders * month), 3) AS sxm, round(sum(nation * month), 3) AS snm FROM cov WHERE month IS NOT NULL""")
+def gram_matrix(spark, sf):
+    """Sums of products in one aggregation."""
+    rows, names = nullmodel.design(_ready(spark, sf), ["n_orders", "nation", "month"])
+    g = nullmodel.gram(rows, names)
+    row = rows.agg(F.count("*").alias("n"))
+    return row.select(F.lit("gram").alias("kind"), "n", *[r(F.lit(float(g[i, j])), d).alias(a) for i, j, d, a in ((0, 1, 4, "sx"), (1, 1, 4, "sxx"), (1, 3, 3, "sxm"), (2, 3, 3, "snm"))])
+
+
+@query("""
+WITH n AS (SELECT count(*) AS n_all FROM cov), a AS (SELECT * FROM cov JOIN phe USING (sample_id) WHERE pheno IN ('balance', 'spend') AND y IS NOT NULL),
+f AS (SELECT pheno, regr_slope(y, n_orders) AS b, regr_intercept(y, n_orders) AS a, count(*) AS n FROM a GROUP BY pheno)
+SELECT a.pheno, a.sample_id, round((y - f.a - b * n_orders) * n_all / (f.n - 2), 3) + 0.0 AS resid, round(n_all::DOUBLE / (n_all - 1), 8) AS c2 FROM a JOIN f ON a.pheno = f.pheno, n""")
+def null_gaussian(spark, sf):
+    """Corrected residuals and c2 of two Gaussian traits."""
+    resid, c2, _ = study.fit_null(C.covariates(spark, sf).select("sample_id", "n_orders"), C.phenotypes(spark, sf).filter("pheno <> 'positive'"), ["n_orders"])
+    pick = F.create_map(*[x for k, v in c2.items() for x in (F.lit(k), F.lit(v))])
+    return resid.select("pheno", "sample_id", r("resid", 3).alias("resid"), r(pick[F.col("pheno")], 8).alias("c2"))
+
+
+@query("""
+WITH a AS (SELECT n_orders AS x, nation AS z, y FROM cov JOIN phe USING (sample_id) WHERE pheno = 'balance' AND y IS NOT NULL),
+s AS (SELECT covar_pop(x, z) AS xz, var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy, avg(x) AS mx, avg(z) AS mz, avg(y) AS my FROM a),
+b AS (SELECT (xy * zz - zy * xz) / (xx * zz - xz * xz) AS bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS bz, mx, mz, my FROM s)
+SELECT 'intercept' AS name, round(my - bx * mx - bz * mz, 4) + 0.0 AS estimate FROM b UNION ALL SELECT 'n_orders', round(bx, 4) + 0.0 FROM b UNION ALL SELECT 'nation', round(bz, 4) + 0.0 FROM b""")
+def null_coefficients(spark, sf):
+    """Least squares with two covariates and a collinear third one, which is dropped."""
+    rows = C.covariates(spark, sf).withColumn("copy", F.col("n_orders") * 2 + 3).join(C.phenotypes(spark, sf).filter("pheno = 'balance'"), "sample_id")
+    fit = nullmodel.fit_gaussian(rows, ["n_orders", "nation", "copy"], pheno="balance")
+    n = rows.agg(F.count("*").alias("n"))
+    table = F.explode(F.array(*[F.struct(F.lit(a).alias("name"), F.lit(float(b)).alias("b")) for a, b in zip(fit.names, fit.coef)])).alias("c")
+    return n.select(table).select("c.name", r("c.b", 4).alias("estimate"))
+
+
+@query()
+def null_logistic(spark, sf):
+    """Coefficients of the logistic null model with standard errors and Wald p."""
+    rows = _ready(spark, sf).join(C.phenotypes(spark, sf).filter("pheno = 'positive'"), "sample_id")
+    fit = nullmodel.fit_logistic(rows, ["n_orders", "nation", "month"], pheno="positive")
+    out = spark.createDataFrame(fit.report(), "pheno string, name string, estimate double, se double, z double, p double")
+    return out.select("pheno", "name", *[r(c, 5).alias(c) for c in ("estimate", "se", "z", "p")])
+
+
+@query()
+def null_mixed(spark, sf):
+    """AI-REML with a kinship of families: variance components, correction and residual sums."""
+    rows = C.samples(spark, sf).select("sample_id", F.col("sample_idx").alias("row_idx")).join(C.covariates(spark, sf).select("sample_id", "n_orders"), "sample_id").join(C.phenotypes(spark, sf).filter("pheno = 'balance'").select("sample_id", "y"), "sample_id")
+    index = rows.select("sample_id", "row_idx")
+    k = materialise(align.kinship_matrix(align.kinship_pairs(C.kinship_edges(spark, sf), index), index), "kinship")
+    fit, resid = nullmodel.fit_reml(materialise(rows, "cohort"), [k], ["n_orders"])
+    total = resid.agg(F.count("*").alias("n"), F.sum(F.col("resid") * F.col("resid")).alias("ss"))
+    values = [F.lit(float(x)) for x in (*fit.tau, fit.c1, fit.c2)]
+    return total.select("n", r("ss", 2).alias("ss"), *[r(v, 4).alias(a) for v, a in zip(values, ("tau_residual", "tau_kinship", "c1", "c2"))])
+
+
+@query("""SELECT 'text' AS kind, count(*) AS n, round(sum(coalesce(y, 0)), 2) AS total FROM phe WHERE pheno = 'spend'""")
+def text_round_trip(spark, sf):
+    """Correction table written as text and read again."""
+    from ..operators.shared import shared_dir
+    from ..sources.text import read_corrections
+    import uuid
+
+    path = f"{shared_dir(spark)}/corrections-{uuid.uuid4().hex}"
+    resid = C.phenotypes(spark, sf).filter("pheno = 'spend' and y is not null").select("sample_id", "pheno", F.col("y").alias("resid"))
+    study.write_corrections(C.samples(spark, sf), resid, {"spend": 1.5}, path)
+    _, back = read_corrections(spark, path)
+    return back.agg(F.count("*").alias("n"), r(F.sum("resid"), 2).alias("total")).select(F.lit("text").alias("kind"), "n", "total")
