@@ -10,9 +10,11 @@ registers are the buckets.
 2. In every bucket each class is paired with one leader, so a bucket of any size gives as
    many pairs as it has members. Pairs are screened with the joint likelihood of the two
    sketches (far below the threshold only) and confirmed on the full sets.
-3. Buckets that hold a single component are done. The others get further leaders, and at
-   last all their pairs of classes from different components, so no link is missed that
-   the buckets hold: the rounds before only spare pairs that could not change a component.
+3. Buckets that hold a single component are done. The others get further leaders. What is
+   still mixed then is compared in full, so no link is missed that the buckets hold: small
+   buckets by their pairs from different components; larger ones are merged into clusters
+   whose members meet block by block, where a block pair counts all its intersections at
+   once and returns only links that join components, never more than it has members.
 
 With 24 bands of 5 registers a pair at similarity 0.85 shares no bucket with probability
 under 1e-6; the screen lies six standard errors below the threshold.
@@ -33,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .shared import materialise
+from ..operators.components import connected_components
+from ..operators.shared import materialise
 from .textbatch import mix, shingles, words_of
 
 
@@ -48,6 +50,8 @@ class SketchParams:
     rate: float = 20.0
     limit: int = (1 << 16) - 2
     lead_rounds: int = 2
+    small_bucket: int = 64
+    block: int = 256
 
     @property
     def m(self) -> int:
@@ -186,6 +190,72 @@ def _confirm(pairs: DataFrame, docs: DataFrame, p: SketchParams) -> DataFrame:
     return materialise(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long").distinct(), "links")
 
 
+def _intersections(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of x with all sets of y, exactly."""
+    out = np.zeros((len(x), len(y)))
+    flat_x, flat_y = (np.concatenate([np.zeros(0, np.uint64), *v]) for v in (x, y))
+    row_x, row_y = (np.repeat(np.arange(len(v)), [len(s) for s in v]) for v in (x, y))
+    both = np.intersect1d(flat_x, flat_y)
+    for i in range(0, len(both), columns):
+        part = both[i : i + columns]
+        sides = []
+        for flat, row, n in ((flat_x, row_x, len(x)), (flat_y, row_y, len(y))):
+            at = np.searchsorted(part, flat)
+            at[at == len(part)] = 0
+            hit = part[at] == flat
+            bits = np.zeros((n, len(part)), np.float32)
+            bits[row[hit], at[hit]] = 1
+            sides.append(bits)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _joining_links(a: list[tuple], b: list[tuple], p: SketchParams) -> list[tuple[int, int]]:
+    """Links between (rep, component, set) of two blocks that join components; a forest of them."""
+    x, y = [r[2] for r in a], [r[2] for r in b]
+    both = _intersections(x, y)
+    union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - both
+    apart = np.array([r[1] for r in a])[:, None] != np.array([r[1] for r in b])[None, :]
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(apart & (both > 0) & (100 * both >= p.percent * union))):
+        s, t = root(a[i][1]), root(b[j][1])
+        if s != t:
+            parent[max(s, t)] = min(s, t)
+            out.append((a[i][0], b[j][0]))
+    return out
+
+
+def _block_links(hot: DataFrame, docs: DataFrame, p: SketchParams) -> DataFrame:
+    """Links across components among (key, rep, component), by clusters of buckets in blocks."""
+    first = materialise(hot.groupBy("key").agg(F.min("rep").alias("first")), "firsts")
+    clusters = connected_components(hot.join(first, "key").select("rep", "first"), "rep", "first").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    members = materialise(clusters.join(hot.select("rep", "component").distinct(), "rep"), "cluster-members")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks"))
+    wanted = members.join(materialise(sizes, "cluster-sizes"), "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
+    rows = materialise(texts.join(materialise(wanted, "wanted"), "rep"), "cluster-texts").withColumn("other", other)
+    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = list(text_sets(table.column("text").combine_chunks(), p.k))
+        own, lo = table.column("own").to_pylist(), table.column("lo")[0].as_py()
+        items = list(zip(table.column("rep").to_pylist(), table.column("component").to_pylist(), sets))
+        left = [r for r, o in zip(items, own) if o == lo]
+        right = [r for r, o in zip(items, own) if o != lo] if table.column("hi")[0].as_py() != lo else left
+        links = _joining_links(left, right, p) if left and right else []
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return materialise(rows.groupBy("cluster", "lo", "hi").applyInArrow(run, "a long, b long"), "block-links")
+
+
 def near_duplicate_links(docs: DataFrame, sketches: DataFrame, p: SketchParams = SketchParams()) -> tuple[DataFrame, DataFrame]:
     """(members, labels): doc_id to the smallest id of its equal sets, and rep to component where it has links."""
     sets = sketches.filter("n_shingles > 0 and doc_id is not null")
@@ -228,10 +298,17 @@ def near_duplicate_links(docs: DataFrame, sketches: DataFrame, p: SketchParams =
             order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n_shingles", "component")
             leads = materialise(slots.groupBy("key").agg(F.min(order).alias("lead")), "leads")
             pairs = slots.join(leads, "key").filter((F.col("component") != F.col("lead.component")) & fits(F.col("n_shingles"), F.col("lead.n_shingles"))).select(F.col("rep").alias("x"), F.col("lead.rep").alias("y"))
+            test(pairs)
         else:
-            other = slots.select("key", F.col("rep").alias("y"), F.col("n_shingles").alias("n_y"), F.col("component").alias("c_y"))
-            pairs = slots.join(other, "key").filter((F.col("component") < F.col("c_y")) & fits(F.col("n_shingles"), F.col("n_y"))).select(F.col("rep").alias("x"), "y")
-        test(pairs)
+            sizes = materialise(slots.groupBy("key").agg(F.count("*").alias("n")), "mixed-sizes")
+            large = slots.join(sizes.filter(F.col("n") > p.small_bucket).select("key"), "key")
+            small = slots.join(sizes.filter(F.col("n") <= p.small_bucket).select("key"), "key")
+            other = small.select("key", F.col("rep").alias("y"), F.col("n_shingles").alias("n_y"), F.col("component").alias("c_y"))
+            test(small.join(other, "key").filter((F.col("component") < F.col("c_y")) & fits(F.col("n_shingles"), F.col("n_y"))).select(F.col("rep").alias("x"), "y"))
+            large = materialise(large.select("key", "rep", "component"), "large")
+            if not large.isEmpty():
+                links = links.unionByName(_block_links(large, docs, p))
+                labels = materialise(connected_components(links), "labels")
         slots = slots.drop("component")
     if labels is None:
         labels = docs.sparkSession.createDataFrame([], "node long, component long")
