@@ -110,8 +110,10 @@ class Normaliser:
             if new != b" ":
                 break
             at += n
+        if at >= len(text):
+            return b"", np.zeros(1, np.int64)
         out, source = bytearray(), []
-        if at < len(text) and self.dummy_prefix:
+        if self.dummy_prefix:
             out += space
             source += [at] * len(space)
         after_space = self.squeeze
