@@ -86,7 +86,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
                 g = include_filter(g, read_include_list(spark, a.include_snp_file).withColumnRenamed("variant_id", "rsid"), "rsid")
             wide = widen(associate(g, traits), traits.names)
             meta = g.select("variant_id", "variant_idx", F.col("snpid").alias("SNPID"), F.col("rsid").alias("RSID"), F.col("chr").alias("CHR"), F.col("pos").cast("string").alias("POS"), F.col("non_effect").alias("Non_Effect_Allele"), F.col("effect").alias("Effect_Allele"), F.col("n_samples").cast("string").alias("N_Samples"), F.col("af").cast("float").alias("AF"), F.col("gv").cast("float").alias("GV"))
-            out = output_name(path, a.out)
+            folder = a.out.rpartition("/")[0]
+            out = f"{folder}/{output_name(path, a.out)}" if folder else output_name(path, a.out)
             meta.join(wide, "variant_id").orderBy("variant_idx").drop("variant_id", "variant_idx").write.mode("overwrite").parquet(out)
             written.append(out)
     if a.step == "step3" or a.convert:

@@ -194,15 +194,14 @@ def test_variants_without_samples_go(spark):
     assert [r["variant_id"] for r in variants.maf_filter(variants.summarise(g)).collect()] == ["b"]
 
 
-def test_command_line(spark, tmp_path, monkeypatch):
-    monkeypatch.chdir(tmp_path)
+def test_command_line(spark, tmp_path):
     rng = np.random.default_rng(4)
     dosage = rng.integers(0, 3, (9, 40)).tolist()
     write_bed(tmp_path / "g.bed", dosage)
     (tmp_path / "p.csv").write_text("FID,IID,t1,t2\n" + "".join(f"0,s{i},{rng.normal()},{i % 2}\n" for i in range(40)))
     (tmp_path / "c.csv").write_text("FID,IID,age\n" + "".join(f"0,s{i},{'NA' if i == 3 else rng.normal()}\n" for i in range(40)))
     args = ["--pheno-file", "p.csv", "--cov-file", "c.csv", "--covar-names", "age", "--bed", "g.bed", "--corr-file", "corr", "--convert", "--out", "out.txt"]
-    written = cli.main([x if x not in ("p.csv", "c.csv", "g.bed", "corr") else str(tmp_path / x) for x in args], spark)
+    written = cli.main([x if x not in ("p.csv", "c.csv", "g.bed", "corr", "out.txt") else str(tmp_path / x) for x in args], spark)
     df = spark.read.parquet(written[0])
     assert df.count() == 9 and {"t1_BETA", "t2_pvalue", "Effect_Allele"} <= set(df.columns)
     # the same numbers from plain least squares with one covariate
