@@ -16,8 +16,9 @@ registers are the buckets.
    whose members meet block by block, where a block pair counts all its intersections at
    once and returns only links that join components, never more than it has members.
 
-With 24 bands of 5 registers a pair at similarity 0.85 shares no bucket with probability
-under 1e-6; the screen lies six standard errors below the threshold.
+The number of bands follows from the threshold: a pair that just reaches it shares no
+bucket with probability ``miss`` at most (35 bands of 5 at 0.8, 24 at 0.85). The screen
+lies six standard errors below the threshold.
 
 Defined cases: null, empty and blank texts have empty sets and link with nothing; a null
 doc_id is returned with a null component and kept; rows that share a doc_id are one node
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +44,12 @@ from .textbatch import mix, shingles, words_of
 
 @dataclass(frozen=True)
 class SketchParams:
-    k: int = 3
-    percent: int = 85
-    bands: int = 24
+    """``k`` words a shingle, linked from ``percent`` similarity; ``miss``: chance that such a pair shares no bucket."""
+
+    k: int = 5
+    percent: int = 80
     rows: int = 5
+    miss: float = 1e-6
     base: float = 1.001
     rate: float = 20.0
     limit: int = (1 << 16) - 2
@@ -53,6 +57,10 @@ class SketchParams:
     small_bucket: int = 64
     block: int = 256
 
+    @property
+    def bands(self) -> int:
+        return ceil(log(self.miss) / log1p(-((self.percent / 100) ** self.rows)))
+
     @property
     def m(self) -> int:
         return self.bands * self.rows
@@ -333,4 +341,4 @@ def drop_near_duplicates(docs: DataFrame, p: SketchParams = SketchParams()) -> D
 
 
 def op4_setsketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), SketchParams(k=3, percent=85))

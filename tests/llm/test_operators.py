@@ -75,13 +75,13 @@ def test_kneser_ney_sums_to_one_and_matches_brute_force(spark, docs):
     assert got == {((a << 5 | b) << 5 | c) << 5 | d: n for (a, b, c, d), n in grams.items()}
 
 
-def shingle_set(t):
+def shingle_set(t, k=3):
     w = re.findall(WORD, (t or "").translate({i: i + 32 for i in range(65, 91)}))
-    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def components(rows):
-    sets = [(i, shingle_set(t)) for i, t in rows if i is not None]
+def components(rows, k=3, percent=85):
+    sets = [(i, shingle_set(t, k)) for i, t in rows if i is not None]
     up = {i: i for i, _ in sets}
 
     def root(x):
@@ -90,18 +90,26 @@ def components(rows):
         return x
 
     for (i, a), (j, b) in combinations(sets, 2):
-        if a and b and 100 * len(a & b) >= 85 * len(a | b) and root(i) != root(j):
+        if a and b and 100 * len(a & b) >= percent * len(a | b) and root(i) != root(j):
             x, y = root(i), root(j)
             up[max(x, y)] = min(x, y)
     return {i: root(i) for i in up}
 
 
-def test_near_duplicates_equal_brute_force(spark, docs, empty):
-    out = neardup.near_duplicates(docs).collect()
-    want = components([r[:2] for r in ROWS])
-    assert len(out) == len(ROWS)
+@pytest.mark.parametrize("k, percent, bands", [(3, 85, 24), (5, 80, 35)])
+def test_near_duplicates_equal_brute_force(spark, docs, empty, k, percent, bands):
+    p = neardup.SketchParams(k=k, percent=percent)
+    assert p.bands == bands
+    edited = BASE.split()
+    for i in (20, 90, 160, 230):
+        edited[i] = f"edit{i}"
+    every = docs.unionByName(spark.createDataFrame([(30, " ".join(edited), "en", "s", 1, "", "")], SCHEMA))
+    rows = [(r["doc_id"], r["text"]) for r in every.collect()]
+    out = neardup.near_duplicates(every, p).collect()
+    want = components(rows, k, percent)
+    assert want[30] == 1 and len(out) == len(rows)
     assert all(r["component_id"] == want[r["doc_id"]] for r in out if r["doc_id"] is not None)
-    assert Counter((r["doc_id"], r["n_shingles"]) for r in out) == Counter((i, len(shingle_set(t))) for i, t, *_ in ROWS)
+    assert Counter((r["doc_id"], r["n_shingles"]) for r in out) == Counter((i, len(shingle_set(t, k))) for i, t in rows)
     assert neardup.near_duplicates(empty).count() == 0
     assert neardup.drop_near_duplicates(docs).columns == docs.columns
 
@@ -117,7 +125,7 @@ def test_large_groups_of_near_copies_are_exact(spark):
             w[k] = f"n{i}_{k}"
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, neardup.SketchParams(small_bucket=8, block=32, lead_rounds=1)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, neardup.SketchParams(k=3, percent=85, small_bucket=8, block=32, lead_rounds=1)).collect()}
     assert got == components(rows)
 
 
