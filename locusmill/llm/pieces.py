@@ -28,10 +28,11 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .textbatch import span_hashes, text_column
 
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 21
 MARK = "▁".encode()
 
 
@@ -138,19 +139,20 @@ class Normaliser:
         if self.chars.units or self.squeeze or not (self.escape and self.dummy_prefix):
             return self._each(data, offsets)
         # without a map only spaces change: three bytes for one, and a mark before each text
-        width = np.ones(len(data), np.int64)
+        index = np.int32 if len(data) < 1 << 28 else np.int64
+        width = np.ones(len(data), np.int8)
         is_space = data == 32
         width[is_space] = 3
         lead = offsets[:-1][offsets[1:] > offsets[:-1]]
         width[lead] += 3
-        place = np.zeros(len(data) + 1, np.int64)
+        place = np.zeros(len(data) + 1, index)
         np.cumsum(width, out=place[1:])
-        source = np.repeat(np.arange(len(data)), width)
+        source = np.repeat(np.arange(len(data), dtype=index), width)
         out = data[source]
         for starts in (place[lead], (place[1:] - 3)[is_space]):
             for i, byte in enumerate(MARK):
                 out[starts + i] = byte
-        return out, place[offsets], source
+        return out, place[offsets].astype(np.int64), source
 
     def _each(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         texts, sources = [], []
@@ -223,7 +225,7 @@ class PieceModel:
         after = np.cumsum(self.lengths[ids])
         before = after - self.lengths[ids]
         bounds = np.append(0, total)[np.searchsorted(starts, ends)]
-        align = np.append(source, len(data))
+        align = np.append(source, source.dtype.type(len(data)))
         # the end of a text's last piece is the end of its source, not the start of the next text's
         stop = align[after]
         text_of = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
@@ -242,31 +244,36 @@ _OUT = "n_tokens long, ids binary, starts binary, ends binary, decoded string"
 def encode_documents(docs: DataFrame, model_bytes: bytes, text: str = "text") -> DataFrame:
     """docs with column ``pieces``: the outputs for each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model_bytes)
+    own = docs.drop("pieces")
+    place = own.columns.index(text)
+    names = [x.split()[0] for x in _OUT.split(", ")]
 
-    @F.arrow_udf(f"struct<{_OUT.replace(', ', ',').replace(' ', ':')}>")
-    def encode(column: pa.Array) -> pa.Array:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _loaded(shared.value)
         bos, eos = model.full.bos_id(), model.full.eos_id()
-        data, offsets = text_column(column)
-        out: list[list] = [[], [], [], [], []]
-        i, n = 0, len(offsets) - 1
-        while i < n:
-            j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, "right")) - 1))
-            own = offsets[i : j + 1] - offsets[i]
-            ids, start, stop, bounds = model.encode_chunk(data[offsets[i] : offsets[j]], own)
-            for k in range(j - i):
-                a, b, base, size = bounds[k], bounds[k + 1], own[k], own[k + 1] - own[k]
-                full = np.concatenate([[bos], ids[a:b], [eos]]).astype("<u4")
-                out[0].append(len(full))
-                out[1].append(full.tobytes())
-                out[2].append(np.concatenate([[0], start[a:b] - base, [size]]).astype("<u4").tobytes())
-                out[3].append(np.concatenate([[0], stop[a:b] - base, [size]]).astype("<u4").tobytes())
-                out[4].append(model.full.decode(full.tolist()))
-            i = j
-        arrays = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string()))]
-        return pa.StructArray.from_arrays(arrays, [x.split()[0] for x in _OUT.split(", ")])
-
-    return docs.withColumn("pieces", encode(F.col(text).cast("string")))
+        for batch in batches:
+            data, offsets = text_column(batch.column(place))
+            i, n = 0, len(offsets) - 1
+            # a batch leaves in chunks, so that a task holds the outputs of one chunk only
+            while i < n:
+                j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, "right")) - 1))
+                starts_of = offsets[i : j + 1] - offsets[i]
+                ids, start, stop, bounds = model.encode_chunk(data[offsets[i] : offsets[j]], starts_of)
+                out: list[list] = [[], [], [], [], []]
+                for k in range(j - i):
+                    a, b, base, size = bounds[k], bounds[k + 1], starts_of[k], starts_of[k + 1] - starts_of[k]
+                    full = np.concatenate([[bos], ids[a:b], [eos]]).astype("<u4")
+                    out[0].append(len(full))
+                    out[1].append(full.tobytes())
+                    out[2].append(np.concatenate([[0], start[a:b] - base, [size]]).astype("<u4").tobytes())
+                    out[3].append(np.concatenate([[0], stop[a:b] - base, [size]]).astype("<u4").tobytes())
+                    out[4].append(model.full.decode(full.tolist()))
+                arrays = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.StructArray.from_arrays(arrays, names)], [*batch.schema.names, "pieces"])
+                i = j
+
+    kind = StructType.fromDDL(f"pieces struct<{_OUT.replace(', ', ',').replace(' ', ':')}>")
+    return own.mapInArrow(encode, StructType([*own.schema.fields, *kind.fields]))
 
 
 def model_bytes(path: str | None = None) -> bytes:
@@ -281,7 +288,7 @@ def model_bytes(path: str | None = None) -> bytes:
 
 def op5_offset_pieces(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    p = encode_documents(docs, model_bytes(path)).select("doc_id", "pieces", F.octet_length("text").alias("bytes"))
+    p = encode_documents(docs, model_bytes(path)).select("doc_id", "pieces")
     return p.select(
         "doc_id",
         F.col("pieces.n_tokens").alias("n_tokens"),
