@@ -1,7 +1,7 @@
 """Connected components as joins: alternating large-star and small-star steps.
 
-Each step replaces edges by edges to the smallest neighbour, until nothing changes; then
-every node has one edge, to the smallest node of its component. The minimum of a node is a
+Each step replaces edges by edges to the smallest neighbour, until all are stars: every
+node has one edge, to the smallest node of its component. The minimum of a node is a
 combinable aggregate and is written before it is joined back, so a node with very many
 edges is split by the join instead of landing in one task.
 """
@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from .shared import materialise
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], r["h"]
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node with a smaller neighbour has one only, and is no one's smaller neighbour."""
+    up = edges.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    down = edges.select(F.col("b").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    nodes = up.unionByName(down).groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not nodes.agg(F.max((F.col("up") + F.col("down") > 1) & (F.col("up") > 0))).first()[0]
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -43,11 +46,6 @@ def connected_components(edges: DataFrame, first: str = "a", second: str = "b")
     a, b = F.col(first), F.col(second)
     edges = edges.filter(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     edges = materialise(edges, "edges")
-    seen = _fingerprint(edges)
-    while seen[0]:
+    while not _settled(edges):
         edges = _star(_star(edges, True), False)
-        now = _fingerprint(edges)
-        if now == seen:
-            break
-        seen = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
