@@ -166,7 +166,7 @@ def sketch_documents(docs: DataFrame, p: SketchParams = SketchParams()) -> DataF
 
 
 def _screen(pairs: DataFrame, classes: DataFrame, p: SketchParams) -> DataFrame:
-    """Pairs (a, b) whose sketches don't rule out the threshold."""
+    """(a, b, ok): whether the sketches leave open that the pair reaches the threshold."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s_{x}"), F.col("n_shingles").alias(f"n_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,27 +175,24 @@ def _screen(pairs: DataFrame, classes: DataFrame, p: SketchParams) -> DataFrame:
                 continue
             rows = lambda x: np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint16).reshape(-1, p.m)
             j = joint_similarity(rows("s_a"), rows("s_b"), batch.column("n_a").to_numpy().astype(float), batch.column("n_b").to_numpy().astype(float), p.base)
-            keep = np.flatnonzero(j >= p.screen)
-            yield batch.select(["a", "b"]).take(pa.array(keep))
+            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(j >= p.screen)], ["a", "b", "ok"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(run, "a long, b long, ok boolean")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, p: SketchParams) -> DataFrame:
-    """Pairs (a, b) that reach the threshold on their full sets."""
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(materialise(ends, "ends"), "doc_id", "left_semi"), "texts")
+def _confirm(pairs: DataFrame, texts: DataFrame, p: SketchParams) -> DataFrame:
+    """Pairs (a, b) that reach the threshold on their full sets; texts: rep, text of all that can be in pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(text_sets(batch.column("t_a"), p.k), text_sets(batch.column("t_b"), p.k))):
+            for x, y in zip(text_sets(batch.column("t_a"), p.k), text_sets(batch.column("t_b"), p.k)):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= p.percent * (len(x) + len(y) - both) and both > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}"))
-    return materialise(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long").distinct(), "links")
+    side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"t_{x}"))
+    return materialise(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long"), "links")
 
 
 def _intersections(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -240,7 +237,7 @@ def _joining_links(a: list[tuple], b: list[tuple], p: SketchParams) -> list[tupl
     return out
 
 
-def _block_links(hot: DataFrame, docs: DataFrame, p: SketchParams) -> DataFrame:
+def _block_links(hot: DataFrame, texts: DataFrame, p: SketchParams) -> DataFrame:
     """Links across components among (key, rep, component), by clusters of buckets in blocks."""
     first = materialise(hot.groupBy("key").agg(F.min("rep").alias("first")), "firsts")
     clusters = connected_components(hot.join(first, "key").select("rep", "first"), "rep", "first").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
@@ -248,7 +245,6 @@ def _block_links(hot: DataFrame, docs: DataFrame, p: SketchParams) -> DataFrame:
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks"))
     wanted = members.join(materialise(sizes, "cluster-sizes"), "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
     rows = materialise(texts.join(materialise(wanted, "wanted"), "rep"), "cluster-texts").withColumn("other", other)
     rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
@@ -267,77 +263,75 @@ def _block_links(hot: DataFrame, docs: DataFrame, p: SketchParams) -> DataFrame:
 def near_duplicate_links(docs: DataFrame, sketches: DataFrame, p: SketchParams = SketchParams()) -> tuple[DataFrame, DataFrame]:
     """(members, labels): doc_id to the smallest id of its equal sets, and rep to component where it has links."""
     sets = sketches.filter("n_shingles > 0 and doc_id is not null")
-    reps = materialise(sets.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "reps")
-    members = sets.join(reps, ["set_a", "set_b", "n_shingles"])
-    classes = materialise(members.filter("doc_id = rep").dropDuplicates(["rep", "set_a"]).select("rep", "n_shingles", "sketch", "keys"), "classes")
-    members = members.select("doc_id", "rep").distinct()
-    in_bands = classes.select("rep", "n_shingles", F.explode("keys").alias("key"))
-    shared = materialise(in_bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "buckets")
-    slots = materialise(in_bands.join(shared, "key"), "slots")
+    # equal sets have equal sketches, so any of them does
+    classes = materialise(sets.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "classes")
+    members = sets.select("doc_id", "set_a", "set_b", "n_shingles").join(classes.select("set_a", "set_b", "n_shingles", "rep"), ["set_a", "set_b", "n_shingles"]).select("doc_id", "rep")
     fits = lambda x, y: 100 * F.least(x, y) >= p.percent * F.greatest(x, y)
 
-    links, tried, labels = None, None, None
+    slots = classes.select("rep", "n_shingles", F.explode("keys").alias("key"))
+    texts, tried, labels = None, None, None
+
+    def joined(found: DataFrame) -> DataFrame:
+        """Components with the links found so far: the old ones are stars already."""
+        old = [labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))] if labels is not None else []
+        return connected_components(found.unionByName(*old) if old else found)
 
     def test(pairs: DataFrame) -> None:
-        nonlocal links, tried, labels
+        nonlocal tried, labels
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        if pairs.isEmpty():
-            return
+            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = materialise(_screen(pairs, classes, p), "screened")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = _confirm(materialise(_screen(pairs, classes, p), "screened"), docs, p)
-        if labels is not None and found.isEmpty():
-            return
-        links = found if links is None else links.unionByName(found)
-        labels = materialise(connected_components(links), "labels")
+        found = _confirm(pairs.filter("ok"), texts, p)
+        if not found.isEmpty():
+            labels = joined(found)
 
     for turn in range(p.lead_rounds + 1):
         if turn:
             if labels is None:
                 break
-            named = slots.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-            slots = materialise(named.join(materialise(mixed, "mixed"), "key").select("rep", "n_shingles", "key", "component"), "slots")
+            slots = slots.select("rep", "n_shingles", "key").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         else:
             slots = slots.withColumn("component", F.col("rep"))
+        order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n_shingles", "component")
+        mixed = slots.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(order).alias("lead"))
+        slots = materialise(slots.join(materialise(mixed.filter("lo < hi").select("key", "n", "lead"), "leads"), "key"), "slots")
+        if not turn:
+            ends = materialise(slots.select("rep").distinct(), "ends")
+            texts = materialise(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(ends, "rep", "left_semi"), "texts")
         if turn < p.lead_rounds:
-            order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n_shingles", "component")
-            leads = materialise(slots.groupBy("key").agg(F.min(order).alias("lead")), "leads")
-            pairs = slots.join(leads, "key").filter((F.col("component") != F.col("lead.component")) & fits(F.col("n_shingles"), F.col("lead.n_shingles"))).select(F.col("rep").alias("x"), F.col("lead.rep").alias("y"))
-            test(pairs)
+            test(slots.filter((F.col("component") != F.col("lead.component")) & fits(F.col("n_shingles"), F.col("lead.n_shingles"))).select(F.col("rep").alias("x"), F.col("lead.rep").alias("y")))
         else:
-            sizes = materialise(slots.groupBy("key").agg(F.count("*").alias("n")), "mixed-sizes")
-            large = slots.join(sizes.filter(F.col("n") > p.small_bucket).select("key"), "key")
-            small = slots.join(sizes.filter(F.col("n") <= p.small_bucket).select("key"), "key")
+            small, large = slots.filter(F.col("n") <= p.small_bucket), slots.filter(F.col("n") > p.small_bucket).select("key", "rep", "component")
             other = small.select("key", F.col("rep").alias("y"), F.col("n_shingles").alias("n_y"), F.col("component").alias("c_y"))
             test(small.join(other, "key").filter((F.col("component") < F.col("c_y")) & fits(F.col("n_shingles"), F.col("n_y"))).select(F.col("rep").alias("x"), "y"))
-            large = materialise(large.select("key", "rep", "component"), "large")
             if not large.isEmpty():
-                links = links.unionByName(_block_links(large, docs, p))
-                labels = materialise(connected_components(links), "labels")
-        slots = slots.drop("component")
+                labels = joined(_block_links(large, texts, p))
     if labels is None:
         labels = docs.sparkSession.createDataFrame([], "node long, component long")
     return members, labels
 
 
-def near_duplicates(docs: DataFrame, p: SketchParams = SketchParams()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
-    sketches = materialise(sketch_documents(docs, p), "sketches")
+def _moved(docs: DataFrame, sketches: DataFrame, p: SketchParams) -> DataFrame:
+    """(doc_id, component_id) of the documents that are not the smallest of their component, once each."""
     members, labels = near_duplicate_links(docs, sketches, p)
     chosen = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc_id"), F.coalesce("component", "rep").alias("c"))
     # a repeated doc_id is in as many classes as it has texts: it takes the smallest component
-    moved = materialise(chosen.filter("c <> doc_id").groupBy("doc_id").agg(F.min("c").alias("component_id")), "moved")
-    out = sketches.select("doc_id", "n_shingles").join(moved, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return materialise(chosen.filter("c <> doc_id").groupBy("doc_id").agg(F.min("c").alias("component_id")), "moved")
+
+
+def near_duplicates(docs: DataFrame, p: SketchParams = SketchParams()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
+    sketches = materialise(sketch_documents(docs, p), "sketches")
+    out = sketches.select("doc_id", "n_shingles").join(_moved(docs, sketches, p), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, p: SketchParams = SketchParams()) -> DataFrame:
     """docs without those that are not the smallest doc_id of their component."""
-    gone = materialise(near_duplicates(docs, p).filter("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone, docs.doc_id == gone.doc_id, "left_anti")
+    gone = _moved(docs, materialise(sketch_documents(docs, p), "sketches"), p).select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, docs.doc_id.cast("long") == gone.gone, "left_anti")
 
 
 def op4_setsketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
