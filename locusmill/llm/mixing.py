@@ -113,11 +113,11 @@ def _leaf_name(levels: list[Column]) -> Column:
     return F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), c), F.lit("-")) for c in levels])
 
 
-def choose(docs: DataFrame, levels: dict[str, Column], params: MixParams = MixParams()) -> DataFrame:
-    """Rows (doc_id, levels..., n_tokens, copies) of all documents that the budgets choose."""
+def choose(docs: DataFrame, levels: dict[str, Column], params: MixParams = MixParams(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, levels..., n_tokens, keep..., copies) of all documents that the budgets choose."""
     names = list(levels)
     tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    base = docs.select("doc_id", *[levels[c].alias(c) for c in names], tokens.alias("n_tokens")).filter("n_tokens > 0").withColumn("_leaf", _leaf_name([F.col(c) for c in names]))
+    base = docs.select("doc_id", *[levels[c].alias(c) for c in names], tokens.alias("n_tokens"), *keep).filter("n_tokens > 0").withColumn("_leaf", _leaf_name([F.col(c) for c in names]))
     base = materialise(base, "mix-docs")
     leaves = base.groupBy("_leaf", *names).agg(F.sum("n_tokens").alias("tokens"))
     plan = leaf_budgets(leaves.drop("_leaf"), names, params).withColumn("_leaf", _leaf_name([F.col(c) for c in names]))
@@ -133,10 +133,10 @@ def choose(docs: DataFrame, levels: dict[str, Column], params: MixParams = MixPa
     marked = keyed.join(second, "_leaf", "left")
     clear = marked.filter(F.col("_at_4").isNull() | (F.col("_4") != F.col("_at_4")))
     clear = clear.withColumn("copies", F.col("_full") + F.coalesce(F.col("_4") < F.col("_at_4"), F.lit(False)).cast("int"))
-    w = Window.partitionBy("_leaf", "_4").orderBy("_key", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("_leaf", "_4").orderBy("_key", "n_tokens", *keep).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = marked.filter(F.col("_4") == F.col("_at_4")).withColumn("_run", F.sum("n_tokens").over(w))
     edge = edge.withColumn("copies", F.col("_full") + (F.col("_sum_4") + F.col("_run") <= F.col("_rest")).cast("int"))
-    out = [*["doc_id", *names, "n_tokens"], F.col("copies").cast("int").alias("copies")]
+    out = [*["doc_id", *names, "n_tokens", *keep], F.col("copies").cast("int").alias("copies")]
     return clear.select(*out).unionByName(edge.select(*out)).filter("copies > 0")
 
 
@@ -147,23 +147,13 @@ def document_levels() -> dict[str, Column]:
 def mix_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """The chosen documents with their own columns, a row for each copy.
 
-    Rows are found again by doc_id, level values and token count; rows equal in all of
-    these are interchangeable in the plan, and each is emitted as often as its own number.
+    Every row has a key of its own, written before the plan, so that repeated rows and a
+    hot or null doc_id are planned and found again one by one.
     """
-    own = docs.columns
-    levels = document_levels()
-    names = list(levels)
-    # repeated rows are told apart by their place among equals
-    chosen = choose(docs, levels, params).groupBy("doc_id", *names, "n_tokens").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    chosen = materialise(chosen.select(F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_l_{c}") for c in names], F.col("n_tokens").alias("_n"), "_copies"), "mix-chosen")
-    tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    on = docs["doc_id"].eqNullSafe(chosen["_id"])
-    marked = docs.join(chosen, on)
-    same = tokens == F.col("_n")
-    for c in names:
-        same = same & levels[c].eqNullSafe(F.col(f"_l_{c}"))
-    kept = marked.filter(same)
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in own])
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    chosen = materialise(choose(rows, document_levels(), params, ("_row",)).select("_row", F.col("copies").alias("_copies")), "mix-chosen")
+    kept = rows.join(chosen, "_row")
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
