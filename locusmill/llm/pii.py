@@ -7,8 +7,9 @@ validate it. Runs of digits (ip, card, phone) are anchored on digits and plus si
 Base kinds: email, ip, card, phone, as leftmost non-overlapping matches that are dropped
 where they fail validation. Added kinds, which never remove or change a base span:
 ``url`` (scheme to the last url character, with a host), ``iban`` (two letters and two
-digits after a cue or not, valid modulo 97), ``account`` (digits after an account cue) and
-``secret`` (a long token after a credential cue).
+digits at a word boundary, after a cue or not, of its country's length and valid modulo 97;
+a country without a known length needs the cue), ``account`` (digits after an account cue)
+and ``secret`` (a long token after a credential cue).
 
 Spans are code point offsets, end exclusive, ordered by start, then kind as listed.
 Defined cases: null and empty texts have no spans; a very long text is scanned as a whole,
@@ -31,11 +32,19 @@ MORE_KINDS = ("url", "iban", "account", "secret")
 KINDS = BASE_KINDS + MORE_KINDS
 _RANK = {k: i for i, k in enumerate(KINDS)}
 
-# Cues that announce an identifier, in lower and upper case.
+# Cues that announce an identifier, in any case of their ASCII letters.
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
 ACCOUNT_CUES = ("account", "acct", "konto", "compte", "cuenta", "passport", "ssn")
 SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api key")
-IBAN_CUES = ("iban",)
+#: Length of an account number by its country, as the IBAN registry has them.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27,
+    "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28,
+    "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28,
+    "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -43,7 +52,9 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"(?i)(?:(?:https?|ftp)://[a-z0-9.-]+(?::[0-9]+)?(?:[/?#][^\s<>\"'|]*)?|mailto:[^\s<>\"'|]+)")
-_IBAN = re.compile(r"\s*[:=]?\s*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)(?![A-Za-z0-9])")
+_IBAN_START = re.compile(r"[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+_IBAN_CUE = re.compile(r"(?i)iban[^a-z0-9]*(?:(?:no|nr|num|number|code)[^a-z0-9]+)?$")
+_IBAN = re.compile(r"[A-Z0-9](?: ?[A-Z0-9]){14,33}")
 _ACCOUNT = re.compile(r"(?i)(?:\s*(?:number|no\.?|nr\.?|#))?\s*[:=#]?\s*([0-9](?:[ -]?[0-9]){4,18})(?![0-9])")
 _SECRET = re.compile(r"\s*[:=]\s*[\"']?([A-Za-z0-9_\-+/]{16,}={0,2})")
 _NOT_DIGIT = re.compile(r"[^0-9]")
@@ -52,14 +63,14 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     a.add_word("@", ("email", 1))
-    for kind, cues in (("url", SCHEMES), ("account", ACCOUNT_CUES), ("secret", SECRET_CUES), ("iban", IBAN_CUES)):
+    for kind, cues in (("url", SCHEMES), ("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
         for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize()}:
-                a.add_word(form, (kind, len(form)))
+            a.add_word(cue, (kind, len(cue)))
     a.make_automaton()
     return a
 
 
+_LOWER = {i: i + 32 for i in range(65, 91)}
 _ANCHORS: list[ahocorasick.Automaton] = []
 
 
@@ -76,13 +87,36 @@ def iban_valid(text: str) -> bool:
     return 15 <= len(t) <= 34 and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
 
 
+def iban_end(text: str, at: int) -> int:
+    """End of the account number that starts at ``at``; 0 where none does.
+
+    A known country has one length; for others every end of a group is tried, the longest first.
+    """
+    m = _IBAN.match(text, at)
+    if not m:
+        return 0
+    cue = _IBAN_CUE.search(text[max(at - 24, 0) : at])
+    inside = at > 0 and re.match("[A-Za-z0-9]", text[at - 1])
+    places = [i for i in range(at, m.end()) if text[i] != " "]
+    known = IBAN_LENGTHS.get(text[at : at + 2])
+    if not cue and (inside or not known):
+        return 0
+    for n in [known] if known else range(len(places), 14, -1):
+        if n > len(places):
+            continue
+        end = places[n - 1] + 1
+        if not re.match("[A-Za-z0-9]", text[end : end + 1]) and iban_valid(text[at:end]):
+            return end
+    return 0
+
+
 def find_spans(text: str) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind), ordered."""
     if not _ANCHORS:
         _ANCHORS.append(_automaton())
     spans, taken = [], 0  # taken: end of the last email match
     more: dict[str, int] = {}
-    for last, (kind, size) in _ANCHORS[0].iter(text):
+    for last, (kind, size) in _ANCHORS[0].iter(text.lower() if text.isascii() else text.translate(_LOWER)):
         at = last - size + 1
         if kind == "email":
             if at < taken:
@@ -106,10 +140,16 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
                 spans.append((at, end, kind))
                 more[kind] = m.end()
             continue
-        m = {"account": _ACCOUNT, "secret": _SECRET, "iban": _IBAN}[kind].match(text, last + 1)
-        if m and (kind != "iban" or iban_valid(m[1])):
+        m = {"account": _ACCOUNT, "secret": _SECRET}[kind].match(text, last + 1)
+        if m:
             spans.append((m.start(1), m.end(1), kind))
             more[kind] = m.end()
+    taken = 0
+    for m in _IBAN_START.finditer(text):
+        end = iban_end(text, m.start()) if m.start() >= taken else 0
+        if end:
+            spans.append((m.start(), end, "iban"))
+            taken = end
     for m in _IP.finditer(text):
         # a part of any length is compared as a number without building one
         if all(len(x.lstrip("0")) < 3 or (len(x.lstrip("0")) == 3 and x.lstrip("0") <= "255") for x in m[0].split(".")):
