@@ -289,14 +289,16 @@ def near_duplicate_links(docs: DataFrame, sketches: DataFrame, p: SketchParams =
 
     for turn in range(p.lead_rounds + 1):
         if turn:
-            if labels is None:
-                break
-            slots = slots.select("rep", "n_shingles", "key").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+            slots = slots.select("rep", "n_shingles", "key")
+        if labels is not None:
+            slots = slots.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         else:
             slots = slots.withColumn("component", F.col("rep"))
         order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n_shingles", "component")
         mixed = slots.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(order).alias("lead"))
         slots = materialise(slots.join(materialise(mixed.filter("lo < hi").select("key", "n", "lead"), "leads"), "key"), "slots")
+        if slots.isEmpty():
+            break
         if not turn:
             ends = materialise(slots.select("rep").distinct(), "ends")
             texts = materialise(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(ends, "rep", "left_semi"), "texts")
