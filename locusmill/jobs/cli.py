@@ -21,11 +21,16 @@ from .study import fit_null, output_name, to_text, traits_of, write_corrections
 log = logging.getLogger("locusmill")
 
 
+LEFT_OUT = ("--kin-file", "--kin-diag", "--kin-delim", "--random-slope-name")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="locusmill")
     p.add_argument("--step", choices=("all", "step1", "step2", "step3"), default="all")
     for name in ("--pheno-file", "--cov-file", "--corr-file", "--include-snp-file", "--sample"):
         p.add_argument(name)
+    for name in LEFT_OUT:
+        p.add_argument(name, nargs="*", help="left out: null models take unrelated samples with one row each")
     p.add_argument("--sampleid-name", default="IID")
     p.add_argument("--covar-names", nargs="*", default=[])
     p.add_argument("--pheno-delim", default=",")
@@ -54,6 +59,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     a = parser().parse_args(argv)
     if a.pgen:
         raise SystemExit("PGEN files are not supported")
+    for name in LEFT_OUT:
+        if getattr(a, name[2:].replace("-", "_")) is not None:
+            raise SystemExit(f"{name} is not supported: null models take unrelated samples with one row each")
     files = [*a.bed, *a.bgen]
     if a.step != "step3" and not files:
         raise SystemExit("a genotype file is needed")

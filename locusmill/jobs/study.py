@@ -34,8 +34,11 @@ def fit_null(cohort: DataFrame, phenotypes: DataFrame, covariates: list[str]) ->
     """(sample_id, pheno, resid), c2 by trait and the fits, for unrelated samples with one row each.
 
     cohort: (sample_id, covariates...), complete. Every trait has its own samples; its family
-    follows from its values.
+    follows from its values. Repeated samples (longitudinal files) are an error.
     """
+    repeated = cohort.join(phenotypes.select("sample_id", "pheno"), "sample_id").groupBy("sample_id", "pheno").count().filter("count > 1")
+    if not repeated.isEmpty():
+        raise ValueError("a sample has several rows: null models for repeated samples are left out")
     n_all = cohort.count()
     fits, c2, out = [], {}, None
     for r in binary_traits(phenotypes).orderBy("pheno").collect():
