@@ -1,235 +1,331 @@
 """Quality rules with an n-gram perplexity band per language (operator 1).
 
-Spark counts the 4-grams of a 32-letter alphabet over every text: each task counts its own
-texts densely, only its non-zero counts are shuffled. Counts and continuation counts become
-an interpolated modified Kneser-Ney model, kept as sorted arrays of n-gram hashes with log
-probabilities and back-off weights. Its size is bounded whatever the input: at most 32**4
-highest-order n-grams for each of ``max_models`` languages, so it may be broadcast.
-
-A text may quote other languages: each stretch of ``SEGMENT`` letters counts under the model
-that fits it best. A text is rejected where its mean negative log probability a letter lies
-outside ``median +- width * spread`` of its own language, with spread the scaled median absolute
-deviation over all texts that pass the base rules.
-
-Defined cases: a null or empty text has no words and fails the base rules; a null language
-is a language of its own; languages after the ``max_models - 1`` most frequent share one
-model and one band; repeated rows are judged alike, each on its own; an empty table gives
-an empty result; further columns pass through, and a column of a clashing name is replaced.
+Spark counts the 5-grams of code points of every text, by language: tasks pre-aggregate,
+then counts are summed by n-gram. Counts and continuation counts become an interpolated
+modified Kneser-Ney model, level by level, as joins of n-grams with their contexts and
+suffixes. The model has no bound: it grows with the scripts, languages and texts it sees.
+
+Scoring meets the model twice. The most frequent n-grams, ``head`` at most, are sent to the
+tasks as sorted arrays of hashes beside log probabilities (12 bytes an n-gram, so a bounded
+broadcast). What a text has besides goes as (row, n-gram, count) through a join with the
+whole model, sorted by n-gram, where unseen n-grams back off. Log probabilities are
+whole millionths of a nat, so sums don't depend on any order.
+
+A text is rejected where its mean negative log probability a letter, under the model of
+its own language, lies outside ``median +- width * spread`` of that language, with spread
+the scaled median absolute deviation over all texts that pass the base rules.
+
+Letters are code points; white space, ASCII digits, capitals (of the first plane) and the
+symbols ``#*$%&|<>`` are one letter each, and U+0000 is U+FFFD. So shouting and rows of
+symbols are too easy to predict, and meet the lower band.
+
+Defined cases: a null or empty text has no words and fails the base rules; a text of under
+5 code points has no perplexity and meets no band; a null language is a language of its
+own, and so is every other value, whatever their number; repeated rows are judged alike,
+each on its own; an empty table gives an empty result; further columns pass through, and
+a column of a clashing name is replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.shared import materialise
 from .textbatch import Words, mix, shingles, span_hashes, words_of
 
-ORDER = 4
-#: Letters that are scored under one language's model.
-SEGMENT = 64
-BITS = 5
-#: Letters of the model's alphabet: 0-25 a-z, then the classes below.
-UPPER, SPACE, DIGIT, PUNCT, SYMBOL, OTHER = range(26, 32)
+ORDER = 5
+#: Log probabilities are whole numbers of 1 / UNIT nats.
+UNIT = 1_000_000
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
-
-
-def _letters() -> np.ndarray:
-    table = np.full(256, OTHER, np.uint8)
-    table[:128] = PUNCT
-    table[97:123] = np.arange(26)
-    table[65:91] = UPPER
-    table[48:58] = DIGIT
-    table[[32, 9, 10, 11, 12, 13]] = SPACE
-    table[_SYMBOLS] = SYMBOL
-    table[128:192] = 255  # the later bytes of a code point are no letters of their own
-    return table
-
-
-_LETTER = _letters()
 _IS_SYMBOL = np.isin(np.arange(256), _SYMBOLS)
+_SPACES = [32, 9, 10, 11, 12, 13]
+#: First bytes of code points other than white space.
+_IN_WORD = (np.arange(256) & 0xC0) != 0x80
+_IN_WORD[_SPACES] = False
+#: Letters of the first plane: white space, digits, capitals of any script and symbols are one letter each.
+_FOLD = np.arange(1 << 16, dtype=np.uint32)
+_FOLD[[i for i in range(1 << 16) if chr(i).isupper()]] = 65
+_FOLD[_SPACES] = 32
+_FOLD[48:58] = 48
+_FOLD[_SYMBOLS] = 35
+_FOLD[0] = 0xFFFD
 
 
 @dataclass(frozen=True)
 class QualityParams:
-    """``width``: half the band in spreads; ``least_spread``: a floor, in nats a letter."""
+    """``width``: half the band in spreads; ``least_spread``: a floor, in nats a letter; ``head``: n-grams held by each task."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    width: float = 6.0
+    width: float = 5.0
     least_spread: float = 0.02
-    max_models: int = 16
-
-
-def _grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the 4-grams of a chunk's letters, and the text of each."""
-    letters = _LETTER[words.data]
-    real = letters != 255
-    text = np.repeat(np.arange(words.n_texts, dtype=np.int32), np.diff(words.offsets))[real]
-    letters = letters[real].astype(np.int32)
-    n = len(letters) - ORDER + 1
-    if n <= 0:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32)
-    key = letters[:n].copy()
-    for i in range(1, ORDER):
-        key <<= BITS
-        key |= letters[i : i + n]
-    whole = text[:n] == text[ORDER - 1 :]
-    return key[whole], text[:n][whole]
+    head: int = 1 << 20
+
+
+def model_name(lang: Column) -> Column:
+    """The model of a language; null differs from every value."""
+    return F.coalesce(F.concat(F.lit("="), lang.cast("string")), F.lit("-"))
+
+
+def letters(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a chunk's texts, folded, and the text of each."""
+    raw = words.data.tobytes()
+    codes = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+    sizes = np.diff(np.searchsorted(np.flatnonzero((words.data & 0xC0) != 0x80), words.offsets))
+    if len(codes) != sizes.sum():  # bytes that are no UTF-8: text by text
+        texts = [np.frombuffer(raw[a:b].decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32) for a, b in zip(words.offsets, words.offsets[1:])]
+        codes, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+    plain = codes < len(_FOLD)
+    codes = np.where(plain, _FOLD[np.where(plain, codes, 0)], codes)
+    return codes, np.repeat(np.arange(words.n_texts, dtype=np.int32), sizes)
+
+
+def _windows(text: np.ndarray) -> np.ndarray:
+    """Places where ORDER letters of one text begin."""
+    n = len(text) - ORDER + 1
+    return np.flatnonzero(text[:n] == text[ORDER - 1 :]) if n > 0 else np.zeros(0, np.int64)
+
+
+def _strings(codes: np.ndarray) -> pa.Array:
+    """Rows of ORDER code points as strings."""
+    return pa.array(np.ascontiguousarray(codes, np.uint32).reshape(-1, ORDER).view(f"<U{ORDER}")[:, 0].tolist(), pa.string())
+
+
+_COUNTED = ["model", "gram", "n"]
+
+
+class GramCounter:
+    """Counts of (model, n-gram) of a task: at most ``most`` of them at a time, then they leave as partial counts.
+
+    An n-gram is packed into 64 bits by the places of its letters and its model in lists
+    that the task keeps; when a list is full the counts leave and the lists begin anew.
+    """
+
+    SYMBOL_BITS, MODELS = 11, 1 << (64 - 11 * ORDER)
+
+    def __init__(self, most: int = 1 << 19, buffer: int = 1 << 21) -> None:
+        self.most, self.buffer = most, buffer
+        self.place = np.zeros(0x110000, np.uint16)
+        self.reset()
+
+    def reset(self) -> None:
+        self.place[:] = 0
+        self.symbols: list[int] = [0]
+        self.models: dict[str, int] = {}
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.raw: list[np.ndarray] = []
+
+    def _merge(self) -> None:
+        if self.raw:
+            fresh = np.sort(np.concatenate(self.raw))
+            self.raw = []
+            first = np.flatnonzero(np.append(True, fresh[1:] != fresh[:-1])) if len(fresh) else np.zeros(0, np.int64)
+            keys = np.concatenate([self.keys, fresh[first]])
+            counts = np.concatenate([self.counts, np.diff(np.append(first, len(fresh)))])
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+            self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        self._merge()
+        symbols, names = np.array(self.symbols, np.uint32), np.array([*self.models, ""], object)
+        mask, bits = np.uint64((1 << self.SYMBOL_BITS) - 1), self.SYMBOL_BITS
+        for i in range(0, len(self.keys), 1 << 16):
+            k = self.keys[i : i + (1 << 16)]
+            codes = np.stack([symbols[((k >> np.uint64(bits * j)) & mask).astype(np.int64)] for j in range(ORDER - 1, -1, -1)], axis=1)
+            yield pa.record_batch([pa.array(names[(k >> np.uint64(bits * ORDER)).astype(np.int64)], pa.string()), _strings(codes), pa.array(self.counts[i : i + (1 << 16)])], _COUNTED)
+        self.reset()
+
+    def add(self, codes: np.ndarray, text: np.ndarray, models: list[str]) -> Iterator[pa.RecordBatch]:
+        at = _windows(text)
+        if not len(at):
+            return
+        known = np.unique(codes)
+        names = dict.fromkeys(models)
+        fresh, new = known[self.place[known] == 0], [m for m in names if m not in self.models]
+        if len(self.symbols) + len(fresh) > 1 << self.SYMBOL_BITS or len(self.models) + len(new) > self.MODELS or len(self.keys) > self.most:
+            yield from self.flush()
+            fresh, new = known, list(names)
+        if len(fresh) >= 1 << self.SYMBOL_BITS or len(new) > self.MODELS:
+            yield self._apart(codes, text, at, models)
+            return
+        self.place[fresh] = np.arange(len(self.symbols), len(self.symbols) + len(fresh))
+        self.symbols += fresh.tolist()
+        self.models |= {m: len(self.models) + i for i, m in enumerate(new)}
+        ranks = self.place[codes].astype(np.uint64)
+        key = np.array([self.models[m] for m in models], np.uint64)[text[at]]
+        for j in range(ORDER):
+            key = (key << np.uint64(self.SYMBOL_BITS)) | ranks[at + j]
+        self.raw.append(key)
+        if sum(map(len, self.raw)) >= self.buffer:
+            self._merge()
+
+    def _apart(self, codes: np.ndarray, text: np.ndarray, at: np.ndarray, models: list[str]) -> pa.RecordBatch:
+        """A chunk of more letters or models than the lists hold, counted by itself."""
+        names, which = np.unique(np.array(models, object), return_inverse=True)
+        rows = np.stack([which[text[at]].astype(np.uint32), *[codes[at + j] for j in range(ORDER)]], axis=1)
+        rows, n = np.unique(rows, axis=0, return_counts=True)
+        return pa.record_batch([pa.array(names[rows[:, 0]], pa.string()), _strings(rows[:, 1:]), pa.array(n)], _COUNTED)
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str | None, np.ndarray] = {}
+    counter = GramCounter()
     for batch in batches:
-        lang = batch.column("lang").to_pylist()
+        models = batch.column("model").to_pylist()
         for words in words_of(batch.column("text")):
-            key, text = _grams(words)
-            names = lang[words.first : words.first + words.n_texts]
-            order = {x: i for i, x in enumerate(dict.fromkeys(names))}
-            slot = np.array([order[x] for x in names])[text] if len(text) else text
-            for name, i in order.items():
-                own = np.bincount(key[slot == i] if len(order) > 1 else key, minlength=1 << ORDER * BITS)
-                if name in counts:
-                    counts[name] += own
-                else:
-                    counts[name] = own
-    for name, own in counts.items():
-        at = np.flatnonzero(own)
-        yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], ["lang", "gram", "n"])
-
-
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(model, gram, n): 4-gram counts of every whole text, by model language."""
-    partial = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(_count_batches, "lang string, gram int, n long")
-    return partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(lang, size, gram, logp, back): the interpolated modified Kneser-Ney model in back-off form.
+            yield from counter.add(*letters(words), models[words.first : words.first + words.n_texts])
+    yield from counter.flush()
+
+
+def count_grams(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """(model, gram, n): counts of the n-grams of every whole text."""
+    partial = docs.select(model_name(F.col(lang_column)).alias("model"), F.col(text_column).cast("string").alias("text")).mapInArrow(_count_batches, "model string, gram string, n long")
+    return partial.groupBy("model", "gram").agg(F.sum("n").alias("n"))
+
+
+def kneser_ney(counts: DataFrame) -> list[DataFrame]:
+    """Levels 1 to ORDER of the interpolated modified Kneser-Ney model: (model, gram, context, n, p, gamma).
 
     The highest order takes raw counts, each lower one the number of different letters
-    seen before the n-gram. Discounts come from the counts of counts of each order.
+    seen before the n-gram. Discounts come from the counts of counts of each order; gamma is
+    the weight that the n-gram's context leaves to the order below. Under the lowest order
+    all letters of the model and one unknown one are equally likely.
     """
     levels, level = {}, counts
     for size in range(ORDER, 0, -1):
         levels[size] = level
-        level = level.groupBy("lang", (F.col("gram") % (1 << (size - 1) * BITS)).cast("int").alias("gram")).agg(F.count("*").alias("n"))
-    lower = None
-    out = []
+        if size > 1:
+            level = materialise(level.groupBy("model", F.substring("gram", 2, size - 1).alias("gram")).agg(F.count("*").alias("n")), f"kn-counts{size - 1}")
+    out: list[DataFrame] = []
     for size in range(1, ORDER + 1):
         c = levels[size]
         k = [F.greatest(F.sum((F.col("n") == i).cast("double")), F.lit(0.5)) for i in (1, 2, 3, 4)]
         y = k[0] / (k[0] + 2 * k[1])
         cap = lambda x, most: F.greatest(F.lit(0.05), F.least(x, F.lit(most)))
-        discounts = c.groupBy("lang").agg(
-            cap(1 - 2 * y * k[1] / k[0], 0.95).alias("d1"), cap(2 - 3 * y * k[2] / k[1], 1.9).alias("d2"), cap(3 - 4 * y * k[3] / k[2], 2.85).alias("d3")
-        )
-        c = c.join(F.broadcast(discounts), c.lang.eqNullSafe(discounts.lang)).select(c["*"], "d1", "d2", "d3")
-        c = c.withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        c = c.withColumn("context", F.shiftright("gram", BITS))
-        # a context has at most 32 continuations: this window is bounded
-        w = Window.partitionBy("lang", "context")
+        discounts = c.groupBy("model").agg(cap(1 - 2 * y * k[1] / k[0], 0.95).alias("d1"), cap(2 - 3 * y * k[2] / k[1], 1.9).alias("d2"), cap(3 - 4 * y * k[3] / k[2], 2.85).alias("d3"), F.count("*").alias("letters"))
+        c = c.join(discounts, "model").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+        c = c.withColumn("context", F.substring("gram", 1, size - 1))
+        # a context has at most as many continuations as there are letters: this window is bounded
+        w = Window.partitionBy("model", "context")
         c = c.withColumn("total", F.sum("n").over(w)).withColumn("gamma", F.sum("d").over(w) / F.col("total"))
         own = (F.col("n") - F.col("d")) / F.col("total")
-        if lower is None:
-            c = c.withColumn("p", own + F.col("gamma") / (1 << BITS))
+        if size == 1:
+            c = c.withColumn("p", own + F.col("gamma") / (F.col("letters") + 1))
         else:
-            tail = (F.col("gram") % (1 << (size - 1) * BITS)).cast("int")
-            low = lower.select(F.col("lang").alias("l_lang"), F.col("gram").alias("l_gram"), F.col("p").alias("l_p"))
-            c = c.join(low, c.lang.eqNullSafe(low.l_lang) & (tail == low.l_gram)).withColumn("p", own + F.col("gamma") * F.col("l_p"))
-        lower = materialise(c.select("lang", "gram", "p", "context", "gamma"), f"kn{size}")
-        out.append(lower)
-    tables = []
-    for size in range(1, ORDER + 1):
-        probs = out[size - 1].select("lang", F.lit(size).alias("size"), "gram", F.log("p").alias("logp"), F.lit(0.0).alias("back"))
-        # the back-off weight of a context stands with the context's own length
-        backs = out[size - 1].groupBy("lang", "context").agg(F.first("gamma").alias("g")).select("lang", F.lit(size - 1).alias("size"), F.col("context").alias("gram"), F.lit(0.0).alias("logp"), F.log("g").alias("back"))
-        tables += [probs, backs]
-    model = tables[0]
-    for t in tables[1:]:
-        model = model.unionByName(t)
-    return model.groupBy("lang", "size", "gram").agg(F.sum("logp").alias("logp"), F.sum("back").alias("back"))
-
-
-def _hash(model: np.ndarray, size: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    return mix((model.astype(np.uint64) << np.uint64(40)) | (size.astype(np.uint64) << np.uint64(32)) | gram.astype(np.uint64))
-
-
-@dataclass
-class HashModel:
-    """Sorted n-gram hashes beside log probabilities and back-off weights."""
-
-    langs: dict[str | None, int]
-    hashes: np.ndarray
-    logp: np.ndarray
-    back: np.ndarray
-
-    def find(self, model: int, size: int, gram: np.ndarray) -> np.ndarray:
-        """Places of the n-grams, -1 where unseen."""
-        want = _hash(np.full(len(gram), model), np.full(len(gram), size), gram)
-        at = np.searchsorted(self.hashes, want)
-        at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == want, at, -1) if len(self.hashes) else np.full(len(gram), -1)
-
-    def log_probs(self, model: int, gram: np.ndarray, size: int = ORDER) -> np.ndarray:
-        """Log probability of each n-gram's last letter, backing off where it is unseen."""
-        if size == 0:
-            return np.full(len(gram), -np.log(1 << BITS))
-        at = self.find(model, size, gram)
-        out = self.logp[at].astype(np.float64)
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            rest = gram[missing] & ((1 << (size - 1) * BITS) - 1)
-            context = self.find(model, size - 1, gram[missing] >> BITS)
-            back = np.where(context >= 0, self.back[context], 0.0) if len(self.back) else 0.0
-            out[missing] = back + self.log_probs(model, rest, size - 1)
+            low = out[-1].select("model", F.col("gram").alias("tail"), F.col("p").alias("low"))
+            c = c.withColumn("tail", F.substring("gram", 2, size - 1)).join(low, ["model", "tail"]).withColumn("p", own + F.col("gamma") * F.col("low"))
+        out.append(materialise(c.select("model", "gram", "context", "n", "p", "gamma", "letters"), f"kn{size}"))
+    return out
+
+
+def _log(p: Column) -> Column:
+    return F.round(F.log(p) * UNIT).cast("long")
+
+
+def gram_hashes(codes: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """Hashes of rows of ORDER code points, model: a hash of each row's model."""
+    h = model
+    for j in range(ORDER):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[:, j].astype(np.uint64)
+    return mix(h)
+
+
+def _model_hash(name: str) -> int:
+    return int.from_bytes(blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+class HashArrays:
+    """Sorted n-gram hashes beside log probabilities, with a directory of the hashes' first bits."""
+
+    def __init__(self, hashes: np.ndarray, logp: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        self.hashes, self.logp = hashes[order], logp[order].astype(np.int32)
+        self.bits = max(1, int(len(hashes)).bit_length())
+        self.first = np.searchsorted(self.hashes, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
+        self.longest = int(np.diff(np.append(self.first, len(self.hashes))).max(initial=0))
+
+    def find(self, want: np.ndarray) -> np.ndarray:
+        """Places of the hashes, -1 where they aren't held."""
+        out = np.full(len(want), -1, np.int32)
+        if not len(self.hashes):
+            return out
+        at = self.first[(want >> np.uint64(64 - self.bits)).astype(np.int64)]
+        open_ = np.arange(len(want))
+        for step in range(self.longest):
+            place = np.minimum(at[open_] + step, len(self.hashes) - 1)
+            hit = self.hashes[place] == want[open_]
+            out[open_[hit]] = place[hit]
+            open_ = open_[self.hashes[place] < want[open_]]
         return out
 
-    def table(self, model: int) -> np.ndarray:
-        """Answers to all queries that the alphabet allows, for scoring by plain indexing."""
-        return self.log_probs(model, np.arange(1 << ORDER * BITS)).astype(np.float32)
 
-
-def train(docs: DataFrame, params: QualityParams = QualityParams()) -> HashModel:
-    """Count, estimate and store. Only the bounded model reaches the driver."""
-    counts = materialise(count_grams(docs), "grams")
-    sizes = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.asc_nulls_first("lang")).limit(params.max_models).collect()
-    names = [r["lang"] for r in sizes]
-    if len(names) == params.max_models:
-        pooled = "\x00rest"
-        keep = names[:-1]
-        inside = F.col("lang").isin([x for x in keep if x is not None])
-        inside = F.coalesce(inside, F.lit(False)) | (F.col("lang").isNull() if None in keep else F.lit(False))
-        counts = materialise(counts.withColumn("lang", F.when(inside, F.col("lang")).otherwise(F.lit(pooled))).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams-pooled")
-        names = [*keep, pooled]
-    langs = {x: i for i, x in enumerate(names)}
-    rows = kneser_ney(counts).toArrow()
-    model = np.array([langs[x] for x in rows["lang"].to_pylist()], np.int64)
-    hashes = _hash(model, rows["size"].to_numpy(), rows["gram"].to_numpy())
-    order = np.argsort(hashes)
-    return HashModel(langs, hashes[order], rows["logp"].to_numpy()[order].astype(np.float32), rows["back"].to_numpy()[order].astype(np.float32))
-
-
-def _per_text(words: Words, flags: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Number of set flags in each text, with at the byte position of each flag."""
-    return np.diff(np.searchsorted(at[flags], words.offsets))
+@dataclass
+class NgramModel:
+    levels: list[DataFrame]  # 1 to ORDER
+    head: HashArrays
+
+    def log_probs(self, wanted: DataFrame) -> DataFrame:
+        """wanted (key, model, gram, n) -> (key, nats): sums of n times the n-grams' log probabilities, in units.
+
+        Unseen n-grams back off: the weight of the context, then the n-gram without its
+        first letter; an unknown letter takes the share of one letter of the model.
+        """
+        parts, todo = [], wanted.withColumn("back", F.lit(0).cast("long"))
+        for size in range(ORDER, 0, -1):
+            level = self.levels[size - 1]
+            joined = materialise(todo.join(level.select("model", "gram", _log(F.col("p")).alias("logp")), ["model", "gram"], "left"), "kn-asked")
+            parts.append(joined.filter("logp is not null").select("key", (F.col("n") * (F.col("logp") + F.col("back"))).alias("nats")))
+            todo = joined.filter("logp is null").drop("logp")
+            if todo.isEmpty():
+                break
+            weights = level.groupBy("model", "context").agg(_log(F.first("gamma")).alias("g"), F.first("letters").alias("letters"))
+            todo = todo.withColumn("context", F.substring("gram", 1, size - 1)).join(weights, ["model", "context"], "left")
+            todo = todo.withColumn("back", F.col("back") + F.coalesce("g", F.lit(0).cast("long"))).withColumn("gram", F.substring("gram", 2, size - 1))
+            if size == 1:
+                # neither the letter nor, where letters is null, the model is known
+                parts.append(todo.select("key", (F.col("n") * (F.col("back") + _log(1 / (F.coalesce("letters", F.lit(0)) + 1)))).alias("nats")))
+            todo = todo.select("key", "model", "gram", "n", "back")
+        return reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.sum("nats").alias("nats"))
+
+
+def most_frequent(level: DataFrame, most: int) -> DataFrame:
+    """The n-grams from a frequency on, with at most ``most`` of them: whole classes of an eighth of an octave."""
+    octave = F.floor(8 * F.log2(F.col("n"))).cast("int")
+    classes = level.groupBy(octave.alias("o")).agg(F.count("*").alias("k")).orderBy(F.desc("o")).collect()  # some hundreds at most
+    total, least = 0, None
+    for r in classes:
+        total += r["k"]
+        if total > most:
+            break
+        least = r["o"]
+    return level.filter(octave >= least) if least is not None else level.limit(0)
+
+
+def train(docs: DataFrame, params: QualityParams = QualityParams(), text_column: str = "text", lang_column: str = "lang") -> NgramModel:
+    """Count, estimate and store; only the bounded head reaches the driver."""
+    levels = kneser_ney(materialise(count_grams(docs, text_column, lang_column), "grams"))
+    rows = most_frequent(levels[-1], params.head).select("model", "gram", _log(F.col("p")).cast("int").alias("logp")).toArrow()
+    names, which = np.unique(np.array(rows["model"].to_pylist(), object), return_inverse=True)
+    seeds = np.array([_model_hash(n) for n in names], np.uint64)
+    codes = np.frombuffer("".join(rows["gram"].to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
+    return NgramModel(levels, HashArrays(gram_hashes(codes, seeds[which] if len(seeds) else np.zeros(0, np.uint64)), rows["logp"].to_numpy()))
 
 
 def base_counts(words: Words) -> tuple[np.ndarray, ...]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text of a chunk."""
     n_words = np.diff(words.bounds)
-    heads = np.zeros(len(words.data) + 1, np.int64)
-    lead = (words.data & 0xC0) != 0x80
-    np.cumsum(lead, out=heads[1:])
-    spaces = np.zeros(len(words.data) + 1, np.int64)
-    np.cumsum(_LETTER[words.data] == SPACE, out=spaces[1:])
     o = words.offsets
-    chars = (heads[o[1:]] - heads[o[:-1]]) - (spaces[o[1:]] - spaces[o[:-1]])
+    chars = np.diff(np.searchsorted(np.flatnonzero(_IN_WORD[words.data]), o))
     symbols = np.diff(np.searchsorted(np.flatnonzero(_IS_SYMBOL[words.data]), o))
 
     # lines: cut at \n and at text ends; those with a word count
@@ -260,44 +356,64 @@ def _repeats(text: np.ndarray, hashes: np.ndarray, n_texts: int) -> np.ndarray:
     return np.bincount(text, minlength=n_texts) - np.bincount(text[first], minlength=n_texts)
 
 
-def _least_nats(key: np.ndarray, text: np.ndarray, n_texts: int, tables: list[np.ndarray]) -> np.ndarray:
-    """Nats of each text: every stretch of SEGMENT letters counts under the model that fits it best."""
-    if not len(key) or not tables:
-        return np.zeros(n_texts)
-    bounds = np.searchsorted(text, np.arange(n_texts + 1))
-    first = np.flatnonzero((np.arange(len(key)) - bounds[text]) % SEGMENT == 0)
-    best = np.max([np.add.reduceat(t[key], first) for t in tables], axis=0)
-    return np.bincount(text[first], -best.astype(np.float64), n_texts)
+_SCORES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_letters long, head long, rare array<struct<gram:string,n:long>>"
+
 
+def _scorer(shared, place: int, model_place: int):
+    """Batches with their columns and ``_scores``; ``rare`` lists the n-grams that the task doesn't hold."""
 
-_SCORES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, model int, nats double"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: HashArrays = shared.value
+        seeds: dict[str, int] = {}
+        fields = [x.split()[0] for x in _SCORES.split(", ")]
+        for batch in batches:
+            names = batch.column(model_place).to_pylist()
+            for words in words_of(batch.column(place)):
+                i, n = words.first, words.n_texts
+                codes, text = letters(words)
+                at = _windows(text)
+                own = text[at]
+                seed = np.array([seeds.setdefault(m, _model_hash(m)) for m in names[i : i + n]], np.uint64)
+                h = gram_hashes(np.lib.stride_tricks.sliding_window_view(codes, ORDER)[at] if len(at) else np.zeros((0, ORDER), np.uint32), seed[own])
+                found = known.find(h)
+                hit = found >= 0
+                head = np.bincount(own[hit], known.logp[found[hit]], n).astype(np.int64)  # whole numbers under 2**53
+                miss = np.flatnonzero(~hit)
+                _, first, times = np.unique(mix(h[miss] + own[miss].astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), return_index=True, return_counts=True)
+                order = np.argsort(own[miss[first]], kind="stable")
+                rare, times = miss[first][order], times[order]
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(own[rare], np.arange(n + 1)), pa.int32()), pa.StructArray.from_arrays([_strings(codes[rare_at(at, rare)]), pa.array(times, pa.int64())], ["gram", "n"]))
+                arrays = [*(pa.array(x.astype(np.int64)) for x in (*base_counts(words), np.bincount(own, minlength=n), head)), lists]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, n).columns, pa.StructArray.from_arrays(arrays, fields)], [*batch.schema.names, "_scores"])
 
+    return run
 
-def score_documents(docs: DataFrame, model: HashModel, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """docs with column ``quality``: the counts, the model used and mean nats a letter (null: too short)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf(f"struct<{_SCORES.replace(' ', ':').replace(',:', ',')}>")
-    def score(text: pa.Array, lang: pa.Array) -> pa.Array:
-        known = shared.value
-        tables = known.__dict__.setdefault("tables", {})
-        rest = known.langs.get("\x00rest", -1)
-        models = np.array([known.langs.get(x, rest) for x in lang.to_pylist()], np.int64)
-        parts, nats = [], np.full(len(text), np.nan)
-        for words in words_of(text):
-            parts.append(base_counts(words))
-            key, at = _grams(words)
-            for m in known.langs.values():
-                if m not in tables:
-                    tables[m] = known.table(m)
-            total = _least_nats(key, at, words.n_texts, list(tables.values()))
-            n = np.bincount(at, minlength=words.n_texts)
-            nats[words.first : words.first + words.n_texts] = np.where(n > 0, total / np.maximum(n, 1), np.nan)
-        columns = [np.concatenate(x).astype(np.int64) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 5
-        arrays = [pa.array(x) for x in (*columns, models.astype(np.int32), nats)]
-        return pa.StructArray.from_arrays(arrays, [x.split()[0] for x in _SCORES.split(", ")])
+def rare_at(at: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Places of the letters of the n-grams."""
+    return at[which][:, None] + np.arange(ORDER)
 
-    return docs.withColumn("quality", score(F.col(text_column).cast("string"), F.col(lang_column).cast("string")))
+
+def score_documents(docs: DataFrame, model: NgramModel, text_column: str = "text", lang_column: str = "lang", keep_text: bool = True) -> DataFrame:
+    """docs, written, with column ``quality``: the counts, the model's name and mean nats a letter (null: too short).
+
+    ``keep_text``: whether the text is a column of the result.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model.head)
+    rows = docs.drop("quality").withColumn("_row", F.monotonically_increasing_id()).withColumn("_model", model_name(F.col(lang_column))).withColumn("_text", F.col(text_column).cast("string"))
+    kind = StructType().add("_scores", StructType.fromDDL(_SCORES))
+    scored = rows.mapInArrow(_scorer(shared, rows.columns.index("_text"), rows.columns.index("_model")), StructType([*rows.schema.fields, *kind.fields]))
+    scored = materialise(scored.drop("_text", *([] if keep_text else [text_column])), "scored")
+    s = lambda c: F.col(f"_scores.{c}")
+    rare = scored.filter(F.size(s("rare")) > 0).select(F.col("_row").alias("key"), F.col("_model").alias("model"), F.explode(s("rare")).alias("r")).select("key", "model", "r.gram", "r.n")
+    total = s("head")
+    if not rare.isEmpty():
+        scored = scored.join(materialise(model.log_probs(rare), "rare").withColumnRenamed("key", "_row"), "_row", "left")
+        total = total + F.coalesce("nats", F.lit(0).cast("long"))
+    nats = F.when(s("n_letters") > 0, -total / UNIT / s("n_letters"))
+    counts = [s(x).alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return scored.withColumn("quality", F.struct(*counts, F.col("_model").alias("model"), nats.alias("nats"))).drop("_scores", "_row", "_model", "nats")
 
 
 def base_failed(params: QualityParams = QualityParams()) -> Column:
@@ -311,20 +427,20 @@ def bands(scored: DataFrame, params: QualityParams = QualityParams()) -> DataFra
     Both medians are read from counts of thousandths of a nat, so they are exact to that
     step and the same for any partitioning; no text or score is gathered.
     """
-    q = scored.filter(~base_failed(params) & F.col("quality.nats").isNotNull() & ~F.isnan("quality.nats"))
+    q = scored.filter(~base_failed(params) & F.col("quality.nats").isNotNull())
     bins = materialise(q.groupBy(F.col("quality.model").alias("model"), F.round(F.col("quality.nats") * 1000).cast("int").alias("bin")).agg(F.count("*").alias("n")), "bins")
     middle = bins.groupBy("model").agg(F.percentile("bin", 0.5, F.col("n")).alias("median"))
-    away = bins.join(F.broadcast(middle), "model").withColumn("away", F.abs(F.col("bin") - F.col("median")))
+    away = bins.join(middle, "model").withColumn("away", F.abs(F.col("bin") - F.col("median")))
     both = away.groupBy("model").agg(F.first("median").alias("median"), F.percentile("away", 0.5, F.col("n")).alias("mad"))
     spread = F.greatest(1.4826 * F.col("mad") / 1000, F.lit(params.least_spread))
-    return both.select("model", (F.col("median") / 1000 - params.width * spread).alias("low"), (F.col("median") / 1000 + params.width * spread).alias("high"))
+    return materialise(both.select("model", (F.col("median") / 1000 - params.width * spread).alias("low"), (F.col("median") / 1000 + params.width * spread).alias("high")), "bands")
 
 
 def judge(scored: DataFrame, limits: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """scored with base_failed, low, high and kept; one band for each of at most max_models models."""
-    limits = F.broadcast(limits.select(F.col("model").alias("_model"), "low", "high"))
+    """scored with base_failed, low, high and kept; one band a language."""
+    limits = limits.select(F.col("model").alias("_model"), "low", "high")
     nats = F.col("quality.nats")
-    outside = nats.isNotNull() & ~F.isnan(nats) & ((nats < F.col("low")) | (nats > F.col("high")))
+    outside = (nats < F.col("low")) | (nats > F.col("high"))
     joined = scored.drop("low", "high", "base_failed", "kept", "_model").join(limits, F.col("quality.model") == F.col("_model"), "left").drop("_model")
     return joined.withColumn("base_failed", base_failed(params)).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(outside, F.lit(False)))
 
@@ -332,7 +448,7 @@ def judge(scored: DataFrame, limits: DataFrame, params: QualityParams = QualityP
 def quality_report(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
     """One row for each document: counts, perplexity, band and verdict."""
     model = train(docs, params)
-    scored = materialise(score_documents(docs.select("doc_id", "text", "lang"), model).drop("text"), "quality")
+    scored = score_documents(docs.select("doc_id", "text", "lang"), model, keep_text=False)
     return judge(scored, bands(scored, params), params)
 
 
@@ -341,11 +457,11 @@ def filter_quality(docs: DataFrame, params: QualityParams = QualityParams()) ->
 
     Scores are written beside the documents once, for the bands and the verdicts.
     """
-    model = train(docs, params)
     named = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
     inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()])
-    scored = materialise(score_documents(inner, model, named["text"], named["lang"]), "scored")
-    verdict = judge(scored, materialise(bands(scored, params), "bands"), params).filter("kept")
+    model = train(inner, params, named["text"], named["lang"])
+    scored = score_documents(inner, model, named["text"], named["lang"])
+    verdict = judge(scored, bands(scored, params), params).filter("kept")
     return verdict.select(*[F.col(n).alias(c) for c, n in named.items()])
 
 

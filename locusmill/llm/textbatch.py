@@ -8,21 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+CHUNK_BYTES = 1 << 19
+_BASE = 0x9E3779B97F4A7C15
+_BASE_INV = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20_240_607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _LOWER_BYTE = np.arange(256, dtype=np.uint8)
 _LOWER_BYTE[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER_BYTE]
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (multiply and xor-shift)."""
@@ -31,25 +30,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps)
-    return _POWERS[0], _POWERS[1]
+@cache
+def _powers(base: int) -> np.ndarray:
+    """Powers 0 to CHUNK_BYTES of an odd number; longer spans are hashed in pieces."""
+    steps = np.full(CHUNK_BYTES + 1, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """64-bit hashes of the byte spans [start, end), ascending and not overlapping."""
     out = np.empty(len(starts), np.uint64)
     table = _BYTE_LOWER if lower else _BYTE
+    up, down = _powers(_BASE), _powers(_BASE_INV)
     i = 0
     while i < len(starts):
         base = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, "right")))
+        j = int(np.searchsorted(ends, base + CHUNK_BYTES, "right"))
+        if j <= i:
+            # one long span: its pieces, each moved to its place by a power
+            total, size = 0, int(ends[i]) - base
+            for at in range(0, size, CHUNK_BYTES):
+                piece = table[data[base + at : base + min(at + CHUNK_BYTES, size)]]
+                total += int((piece * up[: len(piece)]).sum()) * pow(_BASE, at, 1 << 64)
+            out[i] = mix(np.array([(total + size) % (1 << 64)], np.uint64))[0]
+            i += 1
+            continue
         piece = table[data[base : int(ends[j - 1])]]
-        up, down = _powers(len(piece) + 1)
         sums = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum(piece * up[: len(piece)], out=sums[1:])
         s, e = starts[i:j] - base, ends[i:j] - base

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .quality import BITS, _grams, base_counts
+from .quality import base_counts, letters
 from ..operators.shared import materialise
 from .textbatch import Words, mix, words_of
 
@@ -130,9 +130,14 @@ def estimate(patterns: list[str], counts: np.ndarray, steps: int = 200) -> Label
 
 
 def _features(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed letter trigrams of a chunk and the text of each."""
-    key, text = _grams(words)
-    return (mix(key.astype(np.uint64) >> np.uint64(BITS)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64), text
+    """Hashed trigrams of a chunk's letters and the text of each."""
+    codes, text = letters(words)
+    n = max(len(codes) - 2, 0)
+    key = codes[:n].astype(np.uint64)
+    for j in (1, 2):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + codes[j : n + j]
+    whole = text[:n] == text[2:]
+    return (mix(key[whole]) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64), text[:n][whole]
 
 
 def train_scorer(sample: list[tuple[np.ndarray, np.ndarray, float]], p: WeakParams) -> np.ndarray:

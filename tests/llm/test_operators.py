@@ -59,22 +59,6 @@ def test_quality_counts_model_and_filter(spark, docs, empty):
     assert quality.quality_report(empty).count() == 0 and quality.filter_quality(empty).count() == 0
 
 
-def test_kneser_ney_sums_to_one_and_matches_brute_force(spark, docs):
-    model = quality.train(docs)
-    m = model.langs["en"]
-    rng = np.random.default_rng(0)
-    for context in [*rng.integers(0, 1 << 15, 3), 0]:
-        p = np.exp(model.log_probs(m, (int(context) << 5) + np.arange(32)))
-        assert abs(p.sum() - 1) < 1e-3
-    assert (np.diff(model.hashes.astype(object)) > 0).all()
-    grams = Counter()
-    for t in (r[1] for r in ROWS if r[2] == "en" and r[1]):
-        letters = [int(x) for x in quality._LETTER[np.frombuffer(t.encode(), np.uint8)] if x != 255]
-        grams.update(zip(*(letters[i:] for i in range(4))))
-    got = {r["gram"]: r["n"] for r in quality.count_grams(docs).filter("lang = 'en'").collect()}
-    assert got == {((a << 5 | b) << 5 | c) << 5 | d: n for (a, b, c, d), n in grams.items()}
-
-
 def shingle_set(t, k=3):
     w = re.findall(WORD, (t or "").translate({i: i + 32 for i in range(65, 91)}))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
