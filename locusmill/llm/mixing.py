@@ -7,15 +7,15 @@ a short child leaves goes to its siblings; only what a whole subtree can't take
 the siblings of its ancestors. All sums are whole tokens, rounded down.
 
 A leaf's budget is ``full`` whole epochs and a rest. The last epoch has an order of its own,
-by md5 of seed, epoch and doc_id, and the rest takes the longest prefix of documents that
-fits. The prefix is found by sums over the first two, then four hexadecimal digits of the
+by md5 of seed, epoch, doc_id and text, and the rest takes the longest prefix of documents
+that fits. The prefix is found by sums over the first two, then four hexadecimal digits of the
 order key, and only documents that share all four with the boundary are ranked, so a leaf
 with a third of all rows meets no single task.
 
 Defined cases: null and empty texts hold no token and are never chosen; a null in a level
-is a value of its own; a null doc_id orders as an empty one; ties order by tokens, and
-repeated rows are documents each; an empty table gives an empty result; further columns
-pass through ``mix_documents``, whose own columns start with an underscore.
+is a value of its own; a null doc_id orders as an empty one; only rows of equal doc_id and
+text tie, and each is a document; an empty table gives an empty result; further columns of
+any name pass through ``mix_documents``.
 """
 
 from __future__ import annotations
@@ -113,31 +113,54 @@ def _leaf_name(levels: list[Column]) -> Column:
     return F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), c), F.lit("-")) for c in levels])
 
 
-def choose(docs: DataFrame, levels: dict[str, Column], params: MixParams = MixParams(), keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (doc_id, levels..., n_tokens, keep..., copies) of all documents that the budgets choose."""
-    names = list(levels)
-    tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    base = docs.select("doc_id", *[levels[c].alias(c) for c in names], tokens.alias("n_tokens"), *keep).filter("n_tokens > 0").withColumn("_leaf", _leaf_name([F.col(c) for c in names]))
-    base = materialise(base, "mix-docs")
+def _identity(doc_id: Column, text: Column) -> Column:
+    """What orders a row in its leaf, besides the epoch: equal only for rows of equal doc_id and text."""
+    return F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text.cast("string"), F.lit("")))))
+
+
+def _limits(base: DataFrame, names: list[str], params: MixParams) -> DataFrame:
+    """One row a leaf: whole epochs, the rest of the last one, and the digits and sum where the rest's prefix ends."""
     leaves = base.groupBy("_leaf", *names).agg(F.sum("n_tokens").alias("tokens"))
     plan = leaf_budgets(leaves.drop("_leaf"), names, params).withColumn("_leaf", _leaf_name([F.col(c) for c in names]))
     plan = materialise(plan.select("_leaf", F.expr("budget div tokens").alias("_full"), F.expr("budget % tokens").alias("_rest")), "mix-plan")
-    key = F.md5(F.concat_ws(":", F.lit(str(params.seed)), F.col("_full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = base.join(plan, "_leaf").withColumn("_key", key).withColumn("_2", F.substring("_key", 1, 2)).withColumn("_4", F.substring("_key", 1, 4))
-    keyed = materialise(keyed, "mix-keyed")
+    keyed = materialise(_keyed(base.select("_leaf", "_id", "n_tokens"), plan, params), "mix-keyed")
     sums = keyed.groupBy("_leaf", "_rest", "_2").agg(F.sum("n_tokens").alias("t")).withColumn("_none", F.lit(0).cast("long"))
     first = materialise(_prefix(sums, "_2", "_none"), "mix-first")
     inside = keyed.join(first, "_leaf").filter(F.col("_2") == F.col("_at_2"))
     fine = inside.groupBy("_leaf", "_rest", "_4", "_sum_2").agg(F.sum("n_tokens").alias("t"))
-    second = materialise(_prefix(fine, "_4", "_sum_2"), "mix-second")
-    marked = keyed.join(second, "_leaf", "left")
-    clear = marked.filter(F.col("_at_4").isNull() | (F.col("_4") != F.col("_at_4")))
+    return materialise(plan.join(_prefix(fine, "_4", "_sum_2"), "_leaf", "left"), "mix-limits")
+
+
+def _keyed(rows: DataFrame, plan: DataFrame, params: MixParams) -> DataFrame:
+    key = F.md5(F.concat_ws(":", F.lit(str(params.seed)), F.col("_full").cast("string"), F.col("_id")))
+    return rows.join(plan, "_leaf").withColumn("_key", key).withColumn("_2", F.substring("_key", 1, 2)).withColumn("_4", F.substring("_key", 1, 4))
+
+
+def _copies(keyed: DataFrame, out: list[str], n_tokens: Column, ties: list[Column]) -> DataFrame:
+    """Rows out... with copies: by comparison of digits, and by rank for those that share the boundary's."""
+    clear = keyed.filter(F.col("_at_4").isNull() | (F.col("_4") != F.col("_at_4")))
     clear = clear.withColumn("copies", F.col("_full") + F.coalesce(F.col("_4") < F.col("_at_4"), F.lit(False)).cast("int"))
-    w = Window.partitionBy("_leaf", "_4").orderBy("_key", "n_tokens", *keep).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = marked.filter(F.col("_4") == F.col("_at_4")).withColumn("_run", F.sum("n_tokens").over(w))
+    w = Window.partitionBy("_leaf", "_4").orderBy("_key", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = keyed.filter(F.col("_4") == F.col("_at_4")).withColumn("_run", F.sum(n_tokens).over(w))
     edge = edge.withColumn("copies", F.col("_full") + (F.col("_sum_4") + F.col("_run") <= F.col("_rest")).cast("int"))
-    out = [*["doc_id", *names, "n_tokens", *keep], F.col("copies").cast("int").alias("copies")]
-    return clear.select(*out).unionByName(edge.select(*out)).filter("copies > 0")
+    done = [*out, F.col("copies").cast("int").alias("copies")]
+    return clear.select(*done).unionByName(edge.select(*done)).filter("copies > 0")
+
+
+def _tokens(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _base(docs: DataFrame, levels: dict[str, Column]) -> DataFrame:
+    base = docs.select("doc_id", *[levels[c].alias(c) for c in levels], _tokens(F.col("text")).alias("n_tokens"), _identity(F.col("doc_id"), F.col("text")).alias("_id")).filter("n_tokens > 0")
+    return materialise(base.withColumn("_leaf", _leaf_name([F.col(c) for c in levels])), "mix-docs")
+
+
+def choose(docs: DataFrame, levels: dict[str, Column], params: MixParams = MixParams()) -> DataFrame:
+    """Rows (doc_id, levels..., n_tokens, copies) of all documents that the budgets choose."""
+    base = _base(docs, levels)
+    keyed = _keyed(base, _limits(base, list(levels), params), params)
+    return _copies(keyed, ["doc_id", *levels, "n_tokens"], F.col("n_tokens"), [])
 
 
 def document_levels() -> dict[str, Column]:
@@ -147,13 +170,14 @@ def document_levels() -> dict[str, Column]:
 def mix_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """The chosen documents with their own columns, a row for each copy.
 
-    Every row has a key of its own, written before the plan, so that repeated rows and a
-    hot or null doc_id are planned and found again one by one.
+    A row's copies follow from its own key and its leaf's limits, so no text is shuffled but
+    those of the few rows at the boundary of a leaf's prefix.
     """
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    chosen = materialise(choose(rows, document_levels(), params, ("_row",)).select("_row", F.col("copies").alias("_copies")), "mix-chosen")
-    kept = rows.join(chosen, "_row")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    levels = document_levels()
+    limits = _limits(_base(docs, levels), list(levels), params)
+    rows = docs.filter(F.col("text").rlike(WORD)).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _leaf_name(list(levels.values())).alias("_leaf"), _identity(F.col("doc_id"), F.col("text")).alias("_id"))
+    chosen = _copies(_keyed(rows, limits, params), ["row"], _tokens(F.col("row.text")), [F.xxhash64("row")])
+    return chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def op10_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +201,7 @@ def _sql(p: MixParams = MixParams()) -> str:
     w = p.weights
     return f"""
 WITH d AS (SELECT doc_id, CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' THEN 'd-' ELSE 'd' || (regexp_extract(source, '([0-9]{{1,9}})$', 1)::INT % 4) END AS domain,
-  lang, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n_tokens FROM documents),
+  lang, source, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS id, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n_tokens FROM documents),
 docs AS (SELECT * FROM d WHERE n_tokens > 0),
 n1 AS (SELECT domain, sum(n_tokens) * {p.max_epochs} AS capacity, ({p.share} * sum(sum(n_tokens)) OVER ()) // 100 AS budget FROM docs GROUP BY domain),
 {_share_sql('n1', 's1', [], 'domain', w[0])},
@@ -187,9 +211,9 @@ n3 AS (SELECT docs.domain, docs.lang, source, sum(n_tokens) * {p.max_epochs} AS
   FROM docs JOIN s2 ON docs.domain = s2.domain AND docs.lang IS NOT DISTINCT FROM s2.lang GROUP BY docs.domain, docs.lang, source),
 {_share_sql('n3', 's3', ['domain', 'lang'], 'source', w[2])},
 plan AS (SELECT domain, lang, source, budget // (capacity // {p.max_epochs}) AS whole, budget % (capacity // {p.max_epochs}) AS rest FROM s3),
-k AS (SELECT docs.*, whole, rest, md5('{p.seed}:' || whole::BIGINT || ':' || coalesce(doc_id::VARCHAR, '')) AS ord FROM docs JOIN plan
+k AS (SELECT docs.*, whole, rest, md5('{p.seed}:' || whole::BIGINT || ':' || id) AS ord FROM docs JOIN plan
   ON docs.domain = plan.domain AND docs.lang IS NOT DISTINCT FROM plan.lang AND docs.source IS NOT DISTINCT FROM plan.source),
-r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY ord, n_tokens ROWS UNBOUNDED PRECEDING) AS run FROM k)
+r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY ord ROWS UNBOUNDED PRECEDING) AS run FROM k)
 SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, (whole + CASE WHEN run <= rest THEN 1 ELSE 0 END)::INTEGER AS copies
 FROM r WHERE whole + CASE WHEN run <= rest THEN 1 ELSE 0 END > 0"""
 

@@ -48,7 +48,8 @@ IBAN_LENGTHS = {
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# possessive and from the start of a run of digits, so that a long run is read once; the matches are the same
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"(?i)(?:(?:https?|ftp)://[a-z0-9.-]+(?::[0-9]+)?(?:[/?#][^\s<>\"'|]*)?|mailto:[^\s<>\"'|]+)")
@@ -207,12 +208,11 @@ def scan_documents(docs: DataFrame, text: str = "text", clean: bool = True) -> D
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced in ``text`` (null stays null) and ``n_chars`` of the new text."""
-    own = docs.columns
-    out = scan_documents(docs.withColumn("text", F.col("text")))
-    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("pii.clean")))
-    if "n_chars" in own:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in own])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    out = scan_documents(rows)
+    clean = F.when(F.col("text").isNotNull(), F.col("pii.clean"))
+    new = {"text": clean, "n_chars": F.length(clean).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select(*[new[c].alias(c) if new.get(c) is not None else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:

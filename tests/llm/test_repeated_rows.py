@@ -30,3 +30,22 @@ def test_near_dedup_keeps_one_row_for_repeated_and_null_ids(spark):
     assert kept.columns == docs.columns
     want = [(4, t(1)), (None, t(2)), (5, t(3)), (3, t(4)), (9, t(5)), (8, ""), (8, "")]
     assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(want)
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, f"a{i} b c", "en", "src0", 1, i, "x", "y") for i in range(30)], SCHEMA + ", _copies long, copies string, row string")
+    mixed = mixing.mix_documents(docs, mixing.MixParams(share=150, max_epochs=2))
+    assert mixed.columns == docs.columns
+    rows = mixed.collect()
+    assert len(rows) == 45 and all(r["_copies"] == r["doc_id"] and r["row"] == "y" for r in rows)
+
+
+def test_op10_sql_on_edge_rows(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "a b c", None, "src1", 1)] * 3 + [(None, "d e", "en", None, 1)] * 2 + [(2, None, "en", "src0", 1), (3, "", "fr", "x", 1)] + [(i, f"w{i} x y", ("en", "fr")[i % 2], f"src{i % 3}", 1) for i in range(10, 60)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter(tuple(r) for r in mixing.op10_hierarchical_budgets(spark, str(tmp_path)).select("doc_id", "domain", "lang", "source", "n_tokens", "copies").collect())
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == Counter(con.execute(f"select doc_id, domain, lang, source, n_tokens, copies from ({mixing.OP10_SQL})").fetchall())
