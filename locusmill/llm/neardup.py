@@ -319,7 +319,13 @@ def _moved(docs: DataFrame, sketches: DataFrame, p: SketchParams) -> DataFrame:
     """(doc_id, component_id) of the documents that are not the smallest of their component, once each."""
     members, labels = near_duplicate_links(docs, sketches, p)
     chosen = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc_id"), F.coalesce("component", "rep").alias("c"))
-    # a repeated doc_id is in as many classes as it has texts: it takes the smallest component
+    chosen = materialise(chosen, "chosen")
+    # a repeated doc_id is in as many components as it has texts: it joins them
+    several = chosen.groupBy("doc_id").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
+    several = materialise(several, "several")
+    if not several.isEmpty():
+        joins = connected_components(chosen.join(several, "doc_id").select("c", "lo"), "c", "lo").withColumnRenamed("node", "c")
+        chosen = chosen.join(joins, "c", "left").select("doc_id", F.coalesce("component", "c").alias("c"))
     return materialise(chosen.filter("c <> doc_id").groupBy("doc_id").agg(F.min("c").alias("component_id")), "moved")
 
 

@@ -28,17 +28,25 @@ from .quality import base_counts, letters
 from ..operators.shared import materialise
 from .textbatch import Words, mix, words_of
 
-FEATURE_BITS = 15
+FEATURE_BITS = 13
 LABELLERS = ("length", "word_length", "symbols", "repeats", "lines", "capitals", "stops", "tables", "shouts")
 
 
 @dataclass(frozen=True)
 class WeakParams:
-    train_rows: int = 8192
-    em_steps: int = 200
+    """``slip``, ``catch``, ``weights``: prior of the label model, see ``estimate``; ``threshold``: a score above it is good.
+
+    The driver gets ``train_rows`` lists of at most 2**FEATURE_BITS features, 200 MB at most.
+    """
+
+    train_rows: int = 4096
+    em_steps: int = 500
     train_steps: int = 150
     ridge: float = 1e-4
-    threshold: float = 0.35
+    slip: float = 0.002
+    catch: float = 0.2
+    weights: tuple[float, float] = (1.0, 3.0)
+    threshold: float = 0.5
 
 
 def _count(words: Words, wanted: bytes | range) -> np.ndarray:
@@ -98,12 +106,15 @@ class LabelModel:
         """Probability of good for each pattern."""
         if not patterns:
             return np.zeros(0)
-        v = np.array([["01-".index(c) for c in p] for p in patterns])
-        logs = np.log(self.tables)
-        bad = np.log(1 - self.share) + sum(logs[k, 0, v[:, k]] for k in range(v.shape[1]))
-        good = np.log(self.share) + sum(logs[k, 1, v[:, k]] for k in range(v.shape[1]))
+        bad, good = self.logs(_places(patterns))
         return 1 / (1 + np.exp(np.clip(bad - good, -700, 700)))
 
+    def logs(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities of each row of votes together with the bad and the good class."""
+        t = np.log(self.tables)
+        each = [np.log(share) + sum(t[k, c, v[:, k]] for k in range(v.shape[1])) for c, share in ((0, 1 - self.share), (1, self.share))]
+        return each[0], each[1]
+
     def accuracies(self) -> dict[str, float]:
         """Probability of a right vote, where the labeller votes."""
         t = self.tables
@@ -111,22 +122,50 @@ class LabelModel:
         return dict(zip(LABELLERS, (right / (right + self.share * t[:, 1, 0] + (1 - self.share) * t[:, 0, 1])).round(6).tolist()))
 
 
-def estimate(patterns: list[str], counts: np.ndarray, steps: int = 200) -> LabelModel:
-    """Expectation-maximisation over pattern counts, from soft majority votes."""
-    v = np.array([["01-".index(c) for c in p] for p in patterns])
-    good = np.where((v == 0).sum(axis=1) >= 2, 0.1, np.where((v == 0).any(axis=1), 0.5, 0.9))
-    model = None
-    for _ in range(steps):
-        weights = np.stack([counts * (1 - good), counts * good])
-        tables = np.stack([[np.bincount(v[:, k], w, 3) + 1.0 for w in weights] for k in range(v.shape[1])])
-        tables /= tables.sum(axis=2, keepdims=True)
-        share = float(np.clip((weights[1].sum() + 1) / (counts.sum() + 2), 1e-6, 1 - 1e-6))
-        model = LabelModel(share, tables)
-        new = model.posterior(patterns)
-        if np.abs(new - good).max() < 1e-10:
-            break
-        good = new
-    return model
+def _places(patterns: list[str]) -> np.ndarray:
+    return np.array([["01-".index(c) for c in p] for p in patterns])
+
+
+def _step(v: np.ndarray, counts: np.ndarray, good: np.ndarray, prior: np.ndarray, weight: np.ndarray) -> LabelModel:
+    """The most probable model for the given class of each pattern (maximisation)."""
+    weights = np.stack([counts * (1 - good), counts * good])
+    n = weights.sum(axis=1)
+    tables = np.stack([[np.bincount(v[:, k], w, 3) for w in weights] for k in range(v.shape[1])]) + (weight * n)[None, :, None] * prior + 1e-3
+    return LabelModel(float(np.clip((n[1] + 1) / (n.sum() + 2), 1e-6, 1 - 1e-6)), tables / tables.sum(axis=2, keepdims=True))
+
+
+def estimate(patterns: list[str], counts: np.ndarray, steps: int = 500, p: WeakParams | None = None) -> LabelModel:
+    """Expectation-maximisation over pattern counts, the best of several starts.
+
+    With ``p``, labellers are taken to be precise: a vote against a good document is rare (``slip``), while
+    a bad document need only be seen by some of them (``catch``). Without that, two labellers
+    that see the same kind of bad document are explained by a class of that kind alone, and
+    all other bad documents count as good. The prior weighs as much as so many documents of
+    the class (``weights``), so its share of the evidence is the same for any input. Without ``p``
+    nothing is known beforehand, but that labellers are right more often than not.
+    """
+    p = p or WeakParams(weights=(0.0, 0.0))
+    v = _places(patterns)
+    abstain = np.stack([np.bincount(v[:, k], counts, 3) for k in range(v.shape[1])])[:, 2] / counts.sum()
+    mean = np.array([[p.catch, 1 - p.catch], [p.slip, 1 - p.slip]])
+    prior = np.concatenate([mean[None] * (1 - abstain)[:, None, None], np.repeat(abstain[:, None, None], 2, axis=1)], axis=2)
+    weight = np.array(p.weights)
+    best = None
+    for against in (1, 2, 3):
+        good = np.where((v == 0).sum(axis=1) >= against, 0.1, 0.9)
+        for _ in range(steps):
+            model = _step(v, counts, good, prior, weight)
+            new = model.posterior(patterns)
+            if np.abs(new - good).max() < 1e-10:
+                break
+            good = new
+        n = np.array([(counts * (1 - good)).sum(), (counts * good).sum()])
+        value = float((counts * np.logaddexp(*model.logs(v))).sum() + ((weight * n)[None, :, None] * prior * np.log(model.tables)).sum())
+        # the mirror image of a model, with its classes exchanged, fits as well
+        mirrored = np.mean(list(model.accuracies().values())) < 0.5
+        if best is None or (not mirrored, value) > best[:2]:
+            best = (not mirrored, value, model)
+    return best[2]
 
 
 def _features(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +207,7 @@ def classify(docs: DataFrame, p: WeakParams = WeakParams()) -> DataFrame:
     voted = materialise(vote_table(docs), "votes")
     table = voted.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()  # at most 3**9 rows
     patterns, counts = [r["votes"] for r in table], np.array([r["n"] for r in table], float)
-    model = estimate(patterns, counts, p.em_steps) if patterns else None
+    model = estimate(patterns, counts, p.em_steps, p) if patterns else None
     posterior = dict(zip(patterns, model.posterior(patterns).tolist())) if model else {}
 
     # the bounded training sample

@@ -237,6 +237,26 @@ def test_topk_equals_brute_force(spark):
     assert topk.top_products(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 3e4, 1e20])
+def test_sliced_sums_select_the_exact_top(scale):
+    rng = np.random.default_rng(int(scale) % 97)
+    x, q = np.floor(1024 * scale * rng.normal(size=(200, 9)) // 50 * 50), np.floor(1024 * scale * rng.normal(size=(70, 9)))
+    x[20:60] = x[10]
+    q[3] = 0
+    ids, q_ids = rng.permutation(200), np.arange(70)
+    got = list(zip(*topk.block_top(ids, x, q_ids, q, 7)))
+    want = []
+    for i, w in zip(q_ids, q):
+        scores = sorted((-sum(int(a) * int(b) for a, b in zip(w, v)), int(j)) for j, v in zip(ids, x) if j != i)[:7]
+        want += [(int(i), j, max(min(-s, 2**63 - 1), -(2**63))) for s, j in scores]
+    assert [tuple(map(int, r)) for r in got] == want
+    if scale == 1.0:
+        block = topk.SlicedBlock(x.astype(np.int64))
+        sums, shift = block.sums(q.astype(np.int64))
+        bits = [np.unpackbits(s.view(np.uint8), axis=1, bitorder="little")[:, :200].astype(np.int64) for s in sums]
+        assert (sum(b << i for i, b in enumerate(bits)) + shift[:, None] == (q @ x.T).astype(np.int64)).all()
+
+
 def test_weak_labels(spark, docs, empty):
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.8
@@ -244,6 +264,9 @@ def test_weak_labels(spark, docs, empty):
     votes = np.stack([np.where(rng.random(4000) < 0.2, 2, np.where(rng.random(4000) < a, truth, ~truth)) for a in accuracy], axis=1)
     c = Counter("".join("01-"[int(x)] for x in v) for v in votes)
     model = weaklabels.estimate(list(c), np.array(list(c.values()), float))
+    # on explicit rows, one at a time, the same steps end at the same model
+    each = weaklabels.estimate(["".join("01-"[int(x)] for x in v) for v in votes], np.ones(len(votes)))
+    assert np.allclose(each.tables, model.tables, atol=1e-4) and abs(each.share - model.share) < 1e-4
     assert abs(model.share - 0.8) < 0.05 and all(abs(a - b) < 0.06 for a, b in zip(list(model.accuracies().values()), accuracy))
     junk = spark.createDataFrame([(100 + i, "### $$$ !!! " * 60, "en", "s", 1, "", "") for i in range(12)], SCHEMA)
     rows = weaklabels.classify(docs.unionByName(junk)).collect()
@@ -252,6 +275,19 @@ def test_weak_labels(spark, docs, empty):
     assert weaklabels.classify(empty).count() == 0
 
 
+def test_weak_labels_find_the_labelled_quality(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = weaklabels.op8_weak_label_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+
+    def area(column):
+        good, bad = ([r[column] for r in rows if r["quality"] == q] for q in (1, 0))
+        return sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / len(good) / len(bad)
+
+    assert area("posterior") > 0.95 and area("score") > 0.95
+    kept = [np.mean([r["kept"] for r in rows if r["quality"] == q]) for q in (0, 1)]
+    assert kept[0] < 0.2 and kept[1] > 0.95
+
+
 def test_pii(spark, docs, empty):
     row = pii.scan_documents(docs).filter("doc_id = 12").first()["pii"]
     assert (row["n_email"], row["n_ip"], row["n_card"], row["n_phone"]) == (1, 1, 1, 1) and "secret:" in row["spans"]

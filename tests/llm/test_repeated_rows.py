@@ -49,3 +49,10 @@ def test_op10_sql_on_edge_rows(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert got == Counter(con.execute(f"select doc_id, domain, lang, source, n_tokens, copies from ({mixing.OP10_SQL})").fetchall())
+
+
+def test_a_repeated_doc_id_joins_the_components_of_its_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, a), (2, b), (5, a), (5, b), (7, "own words"), (None, a)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect() if r["doc_id"] is not None)
+    assert got == [(1, 1, True), (2, 1, False), (5, 1, False), (5, 1, False), (7, 7, True)]
