@@ -9,13 +9,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Add the package's sources to the session's Python files, once an application.
 
-    Workers then import it wherever they run, also without a PYTHONPATH.
+    Workers then import it wherever they run, also without a PYTHONPATH. Where the session
+    leaves the rows of an Arrow batch at their default of 10000, they become 2000: rows hold
+    whole texts here, and a worker holds a batch or two.
     """
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, "2000")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from .shared import materialise
 
 
-def with_row_index(df: DataFrame, order: list[str], name: str = "row_idx", parts: int = 32) -> DataFrame:
+def with_row_index(df: DataFrame, order: list[str], name: str = "row_idx", parts: int | None = None) -> DataFrame:
     """Dense 0-based numbers in the order of ``order``, without a single sorting task.
 
     Rows are dealt by range and numbered inside each range; the ranges' sizes, a handful of
-    rows, give the offsets.
+    rows, give the offsets. ``parts`` is the session's number of shuffle partitions unless given.
     """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = materialise(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), "ranges")
     offsets = dealt.groupBy("_p").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,12 +13,22 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a local master gets a temporary folder that goes when Python ends; on a
+    cluster that is an error, as each executor would write to a disk of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.split("[")[0] == "local":
+        raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
     app = spark.sparkContext.applicationId
-    return _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="locusmill-"))
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="locusmill-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+    return _LOCAL[app]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
