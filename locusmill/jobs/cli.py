@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.assoc import associate, widen
-from ..operators.variants import include_filter, maf_filter, summarise
+from ..operators.variants import check_included, include_filter, maf_filter, summarise
 from ..sources.genotype import bgen_header, genotypes
 from ..sources.text import read_corrections, read_covariates, read_fam, read_include_list, read_phenotypes, read_sample_ids
 from .study import fit_null, output_name, to_text, traits_of, write_corrections
@@ -49,9 +49,12 @@ def parser() -> argparse.ArgumentParser:
 def genotype_ids(spark: SparkSession, path: str, sample: str | None) -> list[str]:
     if path.endswith(".bed"):
         return [r["sample_id"] for r in read_fam(spark, path.removesuffix(".bed") + ".fam").collect()]
-    ids = read_sample_ids(sample) if sample else list(bgen_header(path).ids)
+    head = bgen_header(path)
+    ids = read_sample_ids(sample) if sample else list(head.ids)
     if not ids:
         raise ValueError(f"{path} has no sample ids; give --sample")
+    if len(ids) != head.samples:
+        raise ValueError(f"{sample} lists {len(ids)} samples, {path} has {head.samples}")
     return ids
 
 
@@ -91,7 +94,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
             g = genotypes(spark, path).withColumn("dosage", F.transform(wanted, lambda i: F.when(i >= 0, F.get("dosage", i))))
             g = maf_filter(summarise(g), a.maf).withColumn("variant_id", F.col("variant_idx").cast("string"))
             if a.include_snp_file:
-                g = include_filter(g, read_include_list(spark, a.include_snp_file).withColumnRenamed("variant_id", "rsid"), "rsid")
+                include = read_include_list(spark, a.include_snp_file).withColumnRenamed("variant_id", "rsid")
+                if path.endswith(".bgen"):
+                    check_included(genotypes(spark, path).select("rsid"), include, "rsid")
+                g = include_filter(g, include, "rsid")
             wide = widen(associate(g, traits), traits.names)
             meta = g.select("variant_id", "variant_idx", F.col("snpid").alias("SNPID"), F.col("rsid").alias("RSID"), F.col("chr").alias("CHR"), F.col("pos").cast("string").alias("POS"), F.col("non_effect").alias("Non_Effect_Allele"), F.col("effect").alias("Effect_Allele"), F.col("n_samples").cast("string").alias("N_Samples"), F.col("af").cast("float").alias("AF"), F.col("gv").cast("float").alias("GV"))
             folder = a.out.rpartition("/")[0]

@@ -9,6 +9,7 @@ connected components of the kinship, so families are inverted one by one in thei
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -150,7 +151,7 @@ def families(rows: DataFrame, matrix: DataFrame) -> DataFrame:
 def _blocks(rows: DataFrame, kernels: list[DataFrame], covariates: list[str], y: str) -> DataFrame:
     """One row a family: index, y, design and the kernels' entries by place in the family."""
     w = Window.partitionBy("family").orderBy("row_idx")
-    placed = materialise(families(rows, kernels[0] if len(kernels) == 1 else kernels[0].unionByName(kernels[1])).withColumn("place", F.row_number().over(w) - 1), "placed")
+    placed = materialise(families(rows, reduce(DataFrame.unionByName, kernels)).withColumn("place", F.row_number().over(w) - 1), "placed")
     record = F.struct("place", "row_idx", F.col(y).alias("y"), F.array(F.lit(1.0), *[F.col(c).cast("double") for c in covariates]).alias("x"))
     out = placed.groupBy("family").agg(F.sort_array(F.collect_list(record)).alias("r"))
     for k, kernel in enumerate(kernels):

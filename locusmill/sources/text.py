@@ -83,8 +83,11 @@ def read_fam(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sample_ids(path: str) -> list[str]:
     """Ids of a .sample file in order: the first token of each line after two header lines."""
-    with open(path) as f:
-        return [line.split()[0] for i, line in enumerate(f) if i >= 2 and line.strip()]
+    from .genotype import _open
+
+    with _open(path) as f:
+        lines = f.read().decode().splitlines()
+    return [line.split()[0] for line in lines[2:] if line.strip()]
 
 
 def read_include_list(spark: SparkSession, path: str) -> DataFrame:
