@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,16 +161,72 @@ def _blocks(rows: DataFrame, kernels: list[DataFrame], covariates: list[str], y:
     return materialise(out, "families")
 
 
-def _unpack(r: pd.Series, q: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    y = np.array([np.nan if t["y"] is None else t["y"] for t in r["r"]])
-    x = np.array([list(t["x"]) for t in r["r"]], float)
-    kernels = []
-    for k in range(q):
-        m = np.zeros((len(y), len(y)))
-        for e in r[f"k{k}"] if r[f"k{k}"] is not None else []:
-            m[e["a"], e["b"]] = e["value"]
-        kernels.append(m)
-    return y, x, kernels
+_STACKS = "size int, families int, rows long, trace double, ids binary, y binary, x binary, k binary"
+
+
+def _stacks(rows: DataFrame, kernels: list[DataFrame], covariates: list[str], y: str, most_bytes: int = 4 << 20) -> DataFrame:
+    """Families with equally many observed rows, packed into stacked arrays: one written row a stack.
+
+    Only observed rows are kept; ``rows`` and ``trace`` count all rows and the first kernel's
+    trace over them. A stack holds ``most_bytes`` of kernels, or one family.
+    """
+    q, p = len(kernels), 1 + len(covariates)
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: dict[int, list] = {}
+        size_of = lambda m: 8 * m * (q * m + p + 2) + 64
+
+        def stack(m):
+            f = held.pop(m)
+            cells = [np.concatenate([t[i].ravel() for t in f]).tobytes() for i in (2, 3, 4)]
+            k = np.stack([t[5] for t in f], axis=1).tobytes()
+            return pa.RecordBatch.from_pylist([dict(size=m, families=len(f), rows=sum(t[0] for t in f), trace=sum(t[1] for t in f), ids=cells[0], y=cells[1], x=cells[2], k=k)], schema=schema)
+
+        schema = pa.schema([("size", pa.int32()), ("families", pa.int32()), ("rows", pa.int64()), ("trace", pa.float64()), *[(c, pa.binary()) for c in ("ids", "y", "x", "k")]])
+        bytes_held = 0
+        for batch in batches:
+            members = batch.column("r")
+            at = members.offsets.to_numpy() - members.offsets[0].as_py()
+            _, ids, v, x = members.flatten().flatten()
+            ids, v, x = ids.to_numpy(), v.to_numpy(zero_copy_only=False).astype(float), x.flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+            entries = []
+            for k in range(q):
+                column = batch.column(f"k{k}")
+                a, b, value = (c.to_numpy(zero_copy_only=False) for c in column.flatten().flatten())
+                entries.append((column.offsets.to_numpy() - column.offsets[0].as_py(), a, b, value))
+            for f in range(batch.num_rows):
+                own = slice(at[f], at[f + 1])
+                seen = ~np.isnan(v[own])
+                m = int(seen.sum())
+                full = np.zeros((q, len(seen), len(seen)))
+                for k, (o, a, b, value) in enumerate(entries):
+                    e = slice(o[f], o[f + 1])
+                    full[k, a[e], b[e]] = value[e]
+                held.setdefault(m, []).append((len(seen), float(np.trace(full[0])), ids[own][seen], v[own][seen], x[own][seen], full[:, seen][:, :, seen]))
+                bytes_held += size_of(m)
+                if len(held[m]) * size_of(m) >= most_bytes or bytes_held >= 8 * most_bytes:
+                    for m in [m] if bytes_held < 8 * most_bytes else list(held):
+                        bytes_held -= len(held[m]) * size_of(m)
+                        yield stack(m)
+        for m in list(held):
+            yield stack(m)
+
+    return materialise(_blocks(rows, kernels, covariates, y).mapInArrow(run, _STACKS), "stacks")
+
+
+def _arrays(batch, p: int, q: int):
+    """(ids, y, x, kernels) of each stack of a batch, families along the first axis (kernels: the second)."""
+    for r in batch.to_pylist():
+        f, m = r["families"], r["size"]
+        if m:
+            cell = lambda c, *shape: np.frombuffer(r[c]).reshape(shape)
+            yield np.frombuffer(r["ids"], np.int64), cell("y", f, m), cell("x", f, m, p), cell("k", q, f, m, m)
+
+
+def _sigma_inverse(tau: np.ndarray, k: np.ndarray) -> np.ndarray:
+    return np.linalg.inv(tau[0] * np.eye(k.shape[-1]) + np.tensordot(tau[1:], k, 1))
 
 
 @dataclass
@@ -184,100 +239,107 @@ class MixedFit:
     steps: int
 
 
-def fit_reml(rows: DataFrame, kernels: list[DataFrame], covariates: list[str], y: str = "y", tol: float = 1e-5, most: int = 500) -> tuple[MixedFit, DataFrame]:
-    """Average-information REML of a Gaussian mixed model, one row a sample.
+class _Families:
+    """Sums over packed families that a mixed model needs.
 
-    Every step makes two passes over the families: X'S^-1X and X'S^-1Y first, then, with the
-    coefficients known, the scores and average information, each a sum over families.
-    Components at the boundary are fixed at zero and the rest refitted until the set is stable.
+    With Z = [X, y], S the inverse covariance and K_0 = I, everything of an average-information
+    step follows from Z'SZ, Z'SK_iSZ, Z'SK_iSK_jSZ and tr(SK_i), so a step is one pass.
     """
-    q = len(kernels)
-    blocks = _blocks(rows, kernels, covariates, y)
-    p = 1 + len(covariates)
 
-    def over_families(fn, width: int) -> np.ndarray:
+    def __init__(self, rows: DataFrame, kernels: list[DataFrame], covariates: list[str], y: str):
+        self.p, self.q = 1 + len(covariates), len(kernels)
+        self.stacks = _stacks(rows.dropna(subset=covariates) if covariates else rows, kernels, covariates, y)
+        total = self.stacks.agg(F.sum("rows"), F.sum("trace")).first()
+        self.n_all, self.trace_all = total[0] or 0, total[1] or 0.0
+        first = self.sums(lambda y, x, k: np.concatenate([[y.size, y.sum(), (y * y).sum()], np.einsum("kfmm->k", k)]), 3 + self.q)
+        self.n = int(first[0])
+        if self.n <= self.p:
+            raise ValueError(f"{self.n} rows for {self.p} columns")
+        self.mean = first[1] / self.n
+        self.variance = (first[2] - first[1] ** 2 / self.n) / (self.n - 1)
+        self.diagonal = first[3:] / self.n
+
+    def sums(self, fn, width: int) -> np.ndarray:
+        p, q = self.p, self.q
+
+        def run(batches):
+            import pyarrow as pa
+
+            total = np.zeros(width)
+            for b in batches:
+                for _, y, x, k in _arrays(b, p, q):
+                    total += fn(y, x, k)
+            yield pa.record_batch([pa.array([total.tolist()], pa.list_(pa.float64()))], ["v"])
+
+        row = self.stacks.mapInArrow(run, "v array<double>").agg(*[F.sum(F.get("v", F.lit(i))) for i in range(width)]).first()
+        return np.array([v or 0.0 for v in row])
+
+    def information(self, tau: np.ndarray):
+        """Score, average information, tr(PK_i), y'PK_iPy and the coefficients."""
+        p, kq, mean, z = self.p, self.q + 1, self.mean, (self.p + 1) ** 2
+
+        def fn(y, x, k):
+            design = np.concatenate([x, (y - mean)[..., None]], axis=-1)
+            s = _sigma_inverse(tau, k)
+            sz = s @ design
+            kz = [sz, *[m @ sz for m in k]]
+            skz = [s @ v for v in kz]
+            inner = lambda a, b: np.einsum("fmi,fmj->ij", a, b).ravel()
+            trace = [np.einsum("fmm->", s), *[(s * m).sum() for m in k]]
+            return np.concatenate([trace, inner(design, sz), *[inner(sz, v) for v in kz], *[inner(v, w) for v in kz for w in skz]])
+
+        t = self.sums(fn, kq + z * (1 + kq + kq * kq))
+        trace, m = t[:kq], t[kq:].reshape(-1, p + 1, p + 1)
+        c = np.linalg.inv(m[0, :p, :p])
+        alpha = c @ m[0, :p, p]
+        w = np.append(-alpha, 1.0)
+        a, cross = m[1 : 1 + kq], np.einsum("kij,i,j->k", m[1 + kq :], w, w).reshape(kq, kq)
+        quad, xk = np.einsum("kij,i,j->k", a, w, w), (a @ w)[:, :p]
+        trace_pk = trace - np.array([(c * b[:p, :p]).sum() for b in a])
+        alpha[0] += mean
+        return quad - trace_pk, cross - xk @ c @ xk.T, trace_pk, quad, alpha
+
+    def corrected(self, tau: np.ndarray, converged: bool = True, steps: int = 0) -> tuple[MixedFit, DataFrame]:
+        """The fit at tau and (row_idx, resid = c1 Py); c1 takes the first kernel over all rows, with and without y."""
+        p, q = self.p, self.q
+        _, _, trace_pk, quad, alpha = self.information(tau)
+        c1 = float(self.trace_all / trace_pk[1])
+
         def run(batches):
-            for pdf in batches:
-                total = np.zeros(width)
-                for _, r in pdf.iterrows():
-                    v, x, ks = _unpack(r, q)
-                    seen = ~np.isnan(v)
-                    total += fn(v[seen], x[seen], [k[np.ix_(seen, seen)] for k in ks], ks)
-                yield pd.DataFrame({"v": [total.tolist()]})
-
-        parts = blocks.mapInPandas(run, "v array<double>").select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
-        out = np.zeros(width)
-        for row in parts:
-            out[row["i"]] = row["v"]
-        return out
-
-    first = over_families(lambda v, x, ks, _: np.concatenate([[len(v), v.sum(), (v * v).sum()], [np.trace(k) for k in ks]]), 3 + q)
-    n = int(first[0])
-    variance = (first[2] - first[1] ** 2 / n) / (n - 1)
-    diagonal = first[3:] / n
-
-    def sigma_inverse(tau, ks, size):
-        return np.linalg.inv(tau[0] * np.eye(size) + sum(t * k for t, k in zip(tau[1:], ks)))
-
-    def normal_equations(tau):
-        def fn(v, x, ks, _):
-            if not len(v):
-                return np.zeros(p * p + p)
-            s = sigma_inverse(tau, ks, len(v))
-            return np.concatenate([(x.T @ s @ x).ravel(), x.T @ s @ v])
-
-        t = over_families(fn, p * p + p)
-        c = np.linalg.inv(t[: p * p].reshape(p, p))
-        return c, c @ t[p * p :]
-
-    def information(tau):
-        """Score and average information of all components; cross terms of P between families are p x p sums."""
-        c, alpha = normal_equations(tau)
-        kq = q + 1
-
-        def fn(v, x, ks, _):
-            out = np.zeros(kq * 2 + kq * p * p + kq * kq + kq * p)
-            if not len(v):
-                return out
-            s = sigma_inverse(tau, ks, len(v))
-            sx, py = s @ x, s @ (v - x @ alpha)
-            ms = [np.eye(len(v)), *ks]
-            kp = [m @ py for m in ms]
-            at = 0
-            for k in range(kq):
-                out[at], out[at + 1] = py @ kp[k], np.sum(s * ms[k])
-                at += 2
-            for k in range(kq):
-                out[at : at + p * p] = (sx.T @ ms[k] @ sx).ravel()
-                at += p * p
-            for k in range(kq):
-                for m in range(kq):
-                    out[at] = kp[k] @ s @ kp[m]
-                    at += 1
-            for k in range(kq):
-                out[at : at + p] = sx.T @ kp[k]
-                at += p
-            return out
-
-        t = over_families(fn, kq * 2 + kq * p * p + kq * kq + kq * p)
-        quad, trace = t[0 : 2 * kq : 2], t[1 : 2 * kq : 2]
-        at = 2 * kq
-        xkx = t[at : at + kq * p * p].reshape(kq, p, p)
-        at += kq * p * p
-        cross = t[at : at + kq * kq].reshape(kq, kq)
-        xk = t[at + kq * kq :].reshape(kq, p)
-        trace_pk = trace - np.array([(c * m).sum() for m in xkx])
-        return quad - trace_pk, cross - xk @ c @ xk.T, trace_pk, c, alpha
+            import pyarrow as pa
+
+            for b in batches:
+                for ids, y, x, k in _arrays(b, p, q):
+                    py = _sigma_inverse(tau, k) @ (y - x @ alpha)[..., None]
+                    yield pa.record_batch([pa.array(ids), pa.array(c1 * py.ravel())], ["row_idx", "resid"])
 
+        fit = MixedFit(tau, alpha, c1, float(c1 * quad[0] / (self.n_all - 1)), converged, steps)
+        return fit, self.stacks.mapInArrow(run, "row_idx long, resid double")
+
+
+def mixed_at(rows: DataFrame, kernels: list[DataFrame], covariates: list[str], tau: list[float], y: str = "y") -> tuple[MixedFit, DataFrame]:
+    """Coefficients, correction and (row_idx, resid) of a Gaussian mixed model at given variance components."""
+    return _Families(rows, kernels, covariates, y).corrected(np.array(tau, float))
+
+
+def fit_reml(rows: DataFrame, kernels: list[DataFrame], covariates: list[str], y: str = "y", tol: float = 1e-5, most: int = 500) -> tuple[MixedFit, DataFrame]:
+    """Average-information REML of a Gaussian mixed model over rows (row_idx, y, covariates...), one row a sample.
+
+    Rows without y count in the correction only, rows without a covariate not at all. Every step
+    is one pass over the packed families. Components at the boundary are fixed at zero and the
+    rest refitted until the set is stable.
+    """
+    known = _Families(rows, kernels, covariates, y)
+    q, n = known.q, known.n
     fixed = np.zeros(q + 1, bool)
     steps, converged = 0, False
     while True:
-        tau = np.where(fixed, 0.0, variance / (q + 1) / np.concatenate([[1.0], diagonal]))
-        score, ai, _, _, alpha = information(tau)
+        tau = np.where(fixed, 0.0, known.variance / (q + 1) / np.concatenate([[1.0], known.diagonal]))
+        score, *_, alpha = known.information(tau)
         tau = np.where(fixed, 0.0, np.maximum(0.0, tau + tau**2 * score / n))
         converged = False
         for steps in range(1, most + 1):
-            score, ai, _, _, new_alpha = information(tau)
+            score, ai, _, _, new_alpha = known.information(tau)
             free = np.flatnonzero(~fixed)
             step = np.zeros(q + 1)
             step[free] = np.linalg.solve(ai[np.ix_(free, free)], score[free])
@@ -299,36 +361,7 @@ def fit_reml(rows: DataFrame, kernels: list[DataFrame], covariates: list[str], y
         if (at_edge == fixed).all() or at_edge.all():
             break
         fixed = at_edge
-
-    _, _, trace_pk, c, alpha = information(tau)
-    # the correction takes the first kernel over all rows, with and without y
-    totals = over_families(lambda v, x, ks, every: np.array([np.trace(every[0]), len(every[0]), (((v - x @ alpha - _blup(tau, v, x, ks, alpha)) / tau[0]) ** 2).sum() if len(v) else 0.0]), 3)
-    c1 = totals[0] / trace_pk[1]
-    c2 = float(c1 * totals[2] / (totals[1] - 1))
-
-    def emit(batches):
-        for pdf in batches:
-            ids, res = [], []
-            for _, r in pdf.iterrows():
-                v, x, ks = _unpack(r, q)
-                seen = ~np.isnan(v)
-                if not seen.any():
-                    continue
-                sub = [k[np.ix_(seen, seen)] for k in ks]
-                e = v[seen] - x[seen] @ alpha - _blup(tau, v[seen], x[seen], sub, alpha)
-                ids += [t["row_idx"] for t, s in zip(r["r"], seen) if s]
-                res += (c1 * e / tau[0]).tolist()
-            yield pd.DataFrame({"row_idx": np.array(ids, np.int64), "resid": np.array(res, float)})
-
-    return MixedFit(tau, alpha, float(c1), c2, converged, steps), blocks.mapInPandas(emit, "row_idx long, resid double")
-
-
-def _blup(tau: np.ndarray, v: np.ndarray, x: np.ndarray, ks: list[np.ndarray], alpha: np.ndarray) -> np.ndarray:
-    """Random effects of the observed rows."""
-    if not len(v):
-        return np.zeros(0)
-    g = sum(t * k for t, k in zip(tau[1:], ks))
-    return g @ np.linalg.solve(tau[0] * np.eye(len(v)) + g, v - x @ alpha)
+    return known.corrected(tau, converged, steps)
 
 
 def slope_kernels(matrix: DataFrame, slopes: DataFrame) -> tuple[DataFrame, DataFrame]:
