@@ -15,26 +15,28 @@ from pyspark.sql import functions as F
 from ..operators.assoc import associate, widen
 from ..operators.variants import check_included, include_filter, maf_filter, summarise
 from ..sources.genotype import bgen_header, genotypes
-from ..sources.text import read_corrections, read_covariates, read_fam, read_include_list, read_phenotypes, read_sample_ids
+from ..sources.text import read_corrections, read_covariates, read_fam, read_include_list, read_kinship, read_phenotypes, read_sample_ids
 from .study import fit_null, output_name, to_text, traits_of, write_corrections
 
 log = logging.getLogger("locusmill")
 
 
-LEFT_OUT = ("--kin-file", "--kin-diag", "--kin-delim", "--random-slope-name")
+LEFT_OUT = ("--random-slope-name",)
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="locusmill")
     p.add_argument("--step", choices=("all", "step1", "step2", "step3"), default="all")
-    for name in ("--pheno-file", "--cov-file", "--corr-file", "--include-snp-file", "--sample"):
+    for name in ("--pheno-file", "--cov-file", "--corr-file", "--include-snp-file", "--sample", "--kin-file"):
         p.add_argument(name)
     for name in LEFT_OUT:
-        p.add_argument(name, nargs="*", help="left out: null models take unrelated samples with one row each")
+        p.add_argument(name, nargs="*", help="left out")
     p.add_argument("--sampleid-name", default="IID")
     p.add_argument("--covar-names", nargs="*", default=[])
     p.add_argument("--pheno-delim", default=",")
     p.add_argument("--cov-delim", default=",")
+    p.add_argument("--kin-delim", default=",")
+    p.add_argument("--kin-diag", type=float, default=1.0, help="added to the diagonal entries of --kin-file")
     p.add_argument("--missing-value", default="NA")
     geno = p.add_mutually_exclusive_group()
     for name in ("--bed", "--bgen", "--pgen"):
@@ -64,7 +66,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
         raise SystemExit("PGEN files are not supported")
     for name in LEFT_OUT:
         if getattr(a, name[2:].replace("-", "_")) is not None:
-            raise SystemExit(f"{name} is not supported: null models take unrelated samples with one row each")
+            raise SystemExit(f"{name} is not supported")
     files = [*a.bed, *a.bgen]
     if a.step != "step3" and not files:
         raise SystemExit("a genotype file is needed")
@@ -78,7 +80,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
         samples = index.join(cov, "sample_id")
     if a.step in ("all", "step1"):
         pheno = read_phenotypes(spark, a.pheno_file, a.pheno_delim, a.missing_value)
-        resid, c2, fits = fit_null(samples.select("sample_id", *a.covar_names), pheno, a.covar_names)
+        kinship = read_kinship(spark, a.kin_file, a.kin_delim).withColumn("edge_idx", F.monotonically_increasing_id()) if a.kin_file else None
+        resid, c2, fits = fit_null(samples.select("sample_id", *a.covar_names), pheno, a.covar_names, kinship, a.kin_diag)
         write_corrections(samples.select("sample_idx", "sample_id"), resid, c2, corr)
         for f in fits:
             for row in f.report():

@@ -13,7 +13,7 @@ from ..operators.components import connected_components
 from ..operators.shared import materialise
 from ..streaming.landing import associate_stream, run_until_done
 from . import cohort as C
-from . import study
+from . import sqlforms, study
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -126,7 +126,17 @@ def assoc_streaming(spark, sf):
     return out.select("variant_id", "pheno", r("beta", 3).alias("beta"))
 
 
-@query()
+@query(f"""WITH n AS (SELECT count(*) AS n_all FROM cov),
+d AS (SELECT sample_id, 1.0::DOUBLE AS x0, n_orders AS x1, nation AS x2, y FROM cov JOIN phe USING (sample_id) WHERE pheno = 'positive'),
+{sqlforms.logistic("d", 3)},
+e AS MATERIALIZED (SELECT sample_id, x0, x1, x2, y - mu AS s, mu * (1 - mu) AS w FROM (SELECT d.*, 1 / (1 + exp(-(b0 * x0 + b1 * x1 + b2 * x2))) AS mu FROM d, beta)),
+c AS MATERIALIZED (SELECT n_all / (sum(w) - ({" + ".join(f"max(i{i}_{j}) * sum(w * w * x{i} * x{j})" for i in range(3) for j in range(3))})) AS c1, sum(s * s) AS ss FROM e, beta, n GROUP BY n_all),
+xg AS MATERIALIZED (SELECT variant_id, {", ".join([f"sum(x{i} * x{j}) AS m{i}_{j}" for i in range(3) for j in range(3)] + [f"sum(x{i} * dosage) AS m{i}_3" for i in range(3)])} FROM dos JOIN d USING (sample_id) GROUP BY variant_id),
+{sqlforms.solve("u", "xg", 3, 1, ("variant_id",))},
+g AS (SELECT variant_id, dosage - m0_3 * x0 - m1_3 * x1 - m2_3 * x2 AS g, c1 * s AS r FROM dos JOIN e USING (sample_id) JOIN u USING (variant_id), c),
+q AS (SELECT variant_id, corr(g, r) AS rho, stddev_pop(r) / stddev_pop(g) AS ratio FROM g GROUP BY variant_id),
+t AS MATERIALIZED (SELECT variant_id, rho * ratio AS beta, sqrt((1 - rho * rho) / (n_all - 2)) * ratio / sqrt(c1 * ss / (n_all - 1)) AS se FROM q, n, c)
+SELECT variant_id, round(beta, 5) + 0.0 AS beta, round(se, 5) + 0.0 AS se, round(-log10({sqlforms.two_sided("z")}), 5) + 0.0 AS neg_log10_p FROM (SELECT *, beta / se AS z FROM t)""")
 def assoc_p_values(spark, sf):
     """-log10 p of a binary trait with three covariates, logistic null model."""
     cov = ["n_orders", "nation"]
@@ -381,7 +391,10 @@ def null_coefficients(spark, sf):
     return n.select(table).select("c.name", r("c.b", 4).alias("estimate"))
 
 
-@query()
+@query(f"""WITH d AS (SELECT 1.0::DOUBLE AS x0, n_orders AS x1, nation AS x2, month AS x3, y FROM cov JOIN phe USING (sample_id) WHERE pheno = 'positive' AND month IS NOT NULL),
+{sqlforms.logistic("d", 4)},
+c AS (SELECT unnest([{", ".join(f"{{'name': '{n}', 'b': b{i}, 'se': sqrt(i{i}_{i})}}" for i, n in enumerate(("intercept", "n_orders", "nation", "month")))}], recursive := true) FROM beta)
+SELECT 'positive' AS pheno, name, round(b, 5) + 0.0 AS estimate, round(se, 5) + 0.0 AS se, round(z, 5) + 0.0 AS z, round({sqlforms.two_sided("z")}, 5) + 0.0 AS p FROM (SELECT *, b / se AS z FROM c)""")
 def null_logistic(spark, sf):
     """Coefficients of the logistic null model with standard errors and Wald p."""
     rows = _ready(spark, sf).join(C.phenotypes(spark, sf).filter("pheno = 'positive'"), "sample_id")
@@ -390,13 +403,39 @@ def null_logistic(spark, sf):
     return out.select("pheno", "name", *[r(c, 5).alias(c) for c in ("estimate", "se", "z", "p")])
 
 
-@query()
-def null_mixed(spark, sf):
-    """AI-REML with a kinship of families: variance components, correction and residual sums."""
+def _mixed_input(spark, sf):
+    """(rows, kinship matrix) of the trait balance."""
     rows = C.samples(spark, sf).select("sample_id", F.col("sample_idx").alias("row_idx")).join(C.covariates(spark, sf).select("sample_id", "n_orders"), "sample_id").join(C.phenotypes(spark, sf).filter("pheno = 'balance'").select("sample_id", "y"), "sample_id")
     index = rows.select("sample_id", "row_idx")
     k = materialise(align.kinship_matrix(align.kinship_pairs(C.kinship_edges(spark, sf), index), index), "kinship")
-    fit, resid = nullmodel.fit_reml(materialise(rows, "cohort"), [k], ["n_orders"])
+    return materialise(rows, "cohort"), k
+
+
+@query("""WITH a AS (SELECT sample_id, sample_id // 4 AS f, n_orders AS x, y FROM cov JOIN phe USING (sample_id) WHERE pheno = 'balance' AND y IS NOT NULL),
+t AS (SELECT 6e6 + 2e6 AS a, 2e6 AS b),
+fam AS MATERIALIZED (SELECT f, any_value(t.a) AS a, count(*) AS m, any_value(t.b) / (any_value(t.a) + count(*) * any_value(t.b)) AS h, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM a, t GROUP BY f),
+e AS MATERIALIZED (SELECT sum((m - h * m * m) / a) AS e11, sum((sx - h * m * sx) / a) AS e1x, sum((sxx - h * sx * sx) / a) AS exx, sum((sy - h * m * sy) / a) AS e1y, sum((sxy - h * sx * sy) / a) AS exy,
+  sum((m - 1) * 0.5 / a + (1 - h * m) / a * (0.5 + 0.5 * m)) AS tr,
+  sum((0.5 * (m - 2 * h * m * m + m * h * h * m * m) + 0.5 * m * m * (1 - h * m) ** 2) / a ** 2) AS k11,
+  sum((0.5 * (sx - 2 * h * m * sx + m * h * h * m * sx) + 0.5 * m * sx * (1 - h * m) ** 2) / a ** 2) AS k1x,
+  sum((0.5 * (sxx - 2 * h * sx * sx + m * h * h * sx * sx) + 0.5 * sx * sx * (1 - h * m) ** 2) / a ** 2) AS kxx FROM fam),
+c AS MATERIALIZED (SELECT (e1y * exx - exy * e1x) / (e11 * exx - e1x * e1x) AS b0, (exy * e11 - e1y * e1x) / (e11 * exx - e1x * e1x) AS b1,
+  (SELECT count(*) FROM cov) / (tr - (exx * k11 - 2 * e1x * k1x + e11 * kxx) / (e11 * exx - e1x * e1x)) AS c1 FROM e),
+r AS (SELECT sample_id, (y - b0 - b1 * x - h * (sy - b0 * m - b1 * sx)) / fam.a AS py, c1 FROM a JOIN fam USING (f), c),
+c2 AS (SELECT max(c1) * sum(py * py) / ((SELECT count(*) FROM cov) - 1) AS c2 FROM r)
+SELECT sample_id, round(c1 * py, 3) + 0.0 AS resid, round(c2, 6) AS c2 FROM r, c2""")
+def mixed_corrections(spark, sf):
+    """Corrected residuals and c2 of a mixed model at given variance components."""
+    rows, k = _mixed_input(spark, sf)
+    fit, resid = nullmodel.mixed_at(rows, [k], ["n_orders"], [6e6, 4e6])
+    return resid.select(F.col("row_idx").alias("sample_id"), r("resid", 3).alias("resid"), r(F.lit(fit.c2)).alias("c2"))
+
+
+@query()
+def null_mixed(spark, sf):
+    """AI-REML with a kinship of families: variance components, correction and residual sums."""
+    rows, k = _mixed_input(spark, sf)
+    fit, resid = nullmodel.fit_reml(rows, [k], ["n_orders"])
     total = resid.agg(F.count("*").alias("n"), F.sum(F.col("resid") * F.col("resid")).alias("ss"))
     values = [F.lit(float(x)) for x in (*fit.tau, fit.c1, fit.c2)]
     return total.select("n", r("ss", 2).alias("ss"), *[r(v, 4).alias(a) for v, a in zip(values, ("tau_residual", "tau_kinship", "c1", "c2"))])

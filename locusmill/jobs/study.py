@@ -10,9 +10,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.align import binary_traits
+from ..operators.align import binary_traits, kinship_matrix, kinship_pairs, with_row_index
 from ..operators.assoc import RepeatedProjector, Traits, associate
-from ..operators.nullmodel import Fit, correct_unrelated, fit_gaussian, fit_logistic, gram
+from ..operators.nullmodel import Fit, correct_unrelated, fit_gaussian, fit_logistic, fit_reml, gram
+from ..operators.shared import materialise
 
 
 @dataclass(frozen=True)
@@ -30,23 +31,43 @@ class StudyOptions:
             raise ValueError("variance is sample or population")
 
 
-def fit_null(cohort: DataFrame, phenotypes: DataFrame, covariates: list[str]) -> tuple[DataFrame, dict[str, float], list[Fit]]:
-    """(sample_id, pheno, resid), c2 by trait and the fits, for unrelated samples with one row each.
+def fit_null(cohort: DataFrame, phenotypes: DataFrame, covariates: list[str], kinship: DataFrame | None = None, diagonal: float = 1.0) -> tuple[DataFrame, dict[str, float], list[Fit]]:
+    """(sample_id, pheno, resid), c2 by trait and the fits, for samples with one row each.
 
     cohort: (sample_id, covariates...), complete. Every trait has its own samples; its family
-    follows from its values. Repeated samples (longitudinal files) are an error.
+    follows from its values. With kinship (id1, id2, edge_idx, value) a Gaussian trait gets a
+    mixed model whose matrix is ``diagonal`` on every row plus the listed entries; a binary
+    trait is an error then. Repeated samples (longitudinal files) are an error.
     """
     repeated = cohort.join(phenotypes.select("sample_id", "pheno"), "sample_id").groupBy("sample_id", "pheno").count().filter("count > 1")
     if not repeated.isEmpty():
         raise ValueError("a sample has several rows: null models for repeated samples are left out")
     n_all = cohort.count()
+    if kinship is not None:
+        cohort = materialise(with_row_index(cohort, ["sample_id"]), "cohort")
+        index = cohort.select("sample_id", "row_idx")
+        matrix = materialise(kinship_matrix(kinship_pairs(kinship, index), index, diagonal), "kinship")
     fits, c2, out = [], {}, None
     for r in binary_traits(phenotypes).orderBy("pheno").collect():
         if r["family"] == "constant":
             raise ValueError(f"{r['pheno']} is constant")
-        rows = cohort.join(phenotypes.filter(F.col("pheno") == r["pheno"]).select("sample_id", "y"), "sample_id")
-        fit = (fit_logistic if r["family"] == "binomial" else fit_gaussian)(rows, covariates, pheno=r["pheno"])
-        resid, c2[r["pheno"]] = correct_unrelated(rows, fit, n_all)
+        y = phenotypes.filter(F.col("pheno") == r["pheno"]).select("sample_id", "y")
+        if kinship is None:
+            rows = cohort.join(y, "sample_id")
+            fit = (fit_logistic if r["family"] == "binomial" else fit_gaussian)(rows, covariates, pheno=r["pheno"])
+            resid, c2[r["pheno"]] = correct_unrelated(rows, fit, n_all)
+        elif r["family"] == "binomial":
+            raise ValueError(f"{r['pheno']} is binary: mixed models for binary traits are left out")
+        else:
+            # samples without the trait stay: the correction's trace runs over the whole cohort
+            rows = cohort.join(y, "sample_id", "left")
+            names = fit_gaussian(rows, covariates, pheno=r["pheno"]).names
+            mixed, by_row = fit_reml(rows, [matrix], names[1:])
+            if not mixed.converged:
+                raise ValueError(f"{r['pheno']}: the mixed model doesn't converge")
+            fit = Fit(r["pheno"], names, mixed.coef, mixed.cov, float(mixed.tau[0]), int(rows.filter("y is not null").count()))
+            resid = by_row.join(index, "row_idx").select("sample_id", F.lit(r["pheno"]).alias("pheno"), "resid")
+            c2[r["pheno"]] = mixed.c2
         out = resid if out is None else out.unionByName(resid)
         fits.append(fit)
     return out, c2, fits

@@ -233,6 +233,7 @@ def _sigma_inverse(tau: np.ndarray, k: np.ndarray) -> np.ndarray:
 class MixedFit:
     tau: np.ndarray  # residual, then one for each kernel
     coef: np.ndarray
+    cov: np.ndarray
     c1: float
     c2: float
     converged: bool
@@ -275,7 +276,7 @@ class _Families:
         return np.array([v or 0.0 for v in row])
 
     def information(self, tau: np.ndarray):
-        """Score, average information, tr(PK_i), y'PK_iPy and the coefficients."""
+        """Score, average information, tr(PK_i), y'PK_iPy, the coefficients' covariance and the coefficients."""
         p, kq, mean, z = self.p, self.q + 1, self.mean, (self.p + 1) ** 2
 
         def fn(y, x, k):
@@ -297,12 +298,12 @@ class _Families:
         quad, xk = np.einsum("kij,i,j->k", a, w, w), (a @ w)[:, :p]
         trace_pk = trace - np.array([(c * b[:p, :p]).sum() for b in a])
         alpha[0] += mean
-        return quad - trace_pk, cross - xk @ c @ xk.T, trace_pk, quad, alpha
+        return quad - trace_pk, cross - xk @ c @ xk.T, trace_pk, quad, c, alpha
 
     def corrected(self, tau: np.ndarray, converged: bool = True, steps: int = 0) -> tuple[MixedFit, DataFrame]:
         """The fit at tau and (row_idx, resid = c1 Py); c1 takes the first kernel over all rows, with and without y."""
         p, q = self.p, self.q
-        _, _, trace_pk, quad, alpha = self.information(tau)
+        _, _, trace_pk, quad, c, alpha = self.information(tau)
         c1 = float(self.trace_all / trace_pk[1])
 
         def run(batches):
@@ -313,7 +314,7 @@ class _Families:
                     py = _sigma_inverse(tau, k) @ (y - x @ alpha)[..., None]
                     yield pa.record_batch([pa.array(ids), pa.array(c1 * py.ravel())], ["row_idx", "resid"])
 
-        fit = MixedFit(tau, alpha, c1, float(c1 * quad[0] / (self.n_all - 1)), converged, steps)
+        fit = MixedFit(tau, alpha, c, c1, float(c1 * quad[0] / (self.n_all - 1)), converged, steps)
         return fit, self.stacks.mapInArrow(run, "row_idx long, resid double")
 
 
@@ -339,7 +340,7 @@ def fit_reml(rows: DataFrame, kernels: list[DataFrame], covariates: list[str], y
         tau = np.where(fixed, 0.0, np.maximum(0.0, tau + tau**2 * score / n))
         converged = False
         for steps in range(1, most + 1):
-            score, ai, _, _, new_alpha = known.information(tau)
+            score, ai, _, _, _, new_alpha = known.information(tau)
             free = np.flatnonzero(~fixed)
             step = np.zeros(q + 1)
             step[free] = np.linalg.solve(ai[np.ix_(free, free)], score[free])

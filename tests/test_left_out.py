@@ -3,10 +3,17 @@ import pytest
 from locusmill.jobs import cli, study
 
 
-@pytest.mark.parametrize("name", ["--kin-file", "--kin-diag", "--kin-delim", "--random-slope-name"])
-def test_options_of_left_out_null_models_say_so(name):
+def test_options_of_left_out_null_models_say_so():
     with pytest.raises(SystemExit, match="not supported"):
-        cli.main([name, "x"])
+        cli.main(["--random-slope-name", "x"])
+
+
+def test_a_binary_trait_with_kinship_is_an_error(spark):
+    cohort = spark.createDataFrame([(str(i), float(i * i % 7)) for i in range(12)], "sample_id string, x double")
+    phenotypes = spark.createDataFrame([(str(i), "p", float(i % 2)) for i in range(12)], "sample_id string, pheno string, y double")
+    edges = spark.createDataFrame([("0", "1", 0, 0.5)], "id1 string, id2 string, edge_idx long, value double")
+    with pytest.raises(ValueError, match="binary"):
+        study.fit_null(cohort, phenotypes, ["x"], edges)
 
 
 def test_repeated_samples_are_an_error(spark):

@@ -13,7 +13,7 @@ from locusmill.jobs import queries as Q
 from locusmill.operators import align, nullmodel, variants
 from locusmill.operators.components import connected_components
 from locusmill.sources import genotype
-from locusmill.sources.text import read_delimited, read_include_list
+from locusmill.sources.text import read_corrections, read_delimited, read_include_list
 
 SF = "/root/testdata/sf0.001"
 
@@ -213,3 +213,32 @@ def test_command_line(spark, tmp_path):
     for row, b in zip(np.array(dosage, float)[:, keep], t):
         g = row - x @ np.linalg.lstsq(x, row, rcond=None)[0]
         assert abs(g @ e / (g @ g) - b) < 1e-4
+
+
+def test_command_line_with_kinship(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    n = 120
+    k = np.kron(np.eye(n // 4), np.full((4, 4), 0.5) + 0.5 * np.eye(4))
+    age = rng.normal(size=n)
+    y = 0.7 * age + np.linalg.cholesky(1.5 * k + 0.5 * np.eye(n)) @ rng.normal(size=n)
+    write_bed(tmp_path / "g.bed", rng.integers(0, 3, (3, n)).tolist())
+    seen = np.arange(n) % 9 != 4
+    (tmp_path / "p.csv").write_text("FID,IID,t1\n" + "".join(f"0,s{i},{y[i] if seen[i] else 'NA'}\n" for i in range(n)))
+    (tmp_path / "c.csv").write_text("FID,IID,age,twice\n" + "".join(f"0,s{i},{a},{2 * a}\n" for i, a in enumerate(age)))
+    # the diagonal is half from the file and half from the option
+    (tmp_path / "k.csv").write_text("id1,id2,v\n" + "".join(f"s{i},s{j},0.5\n" for i, j in zip(*np.nonzero(k)) if i <= j))
+    args = ["--step", "step1", "--covar-names", "age", "twice", "--kin-diag", "0.5"]
+    for name, file in (("--pheno-file", "p.csv"), ("--cov-file", "c.csv"), ("--kin-file", "k.csv"), ("--bed", "g.bed"), ("--corr-file", "corr")):
+        args += [name, str(tmp_path / file)]
+    cli.main(args, spark)
+    c2, resid = read_corrections(spark, str(tmp_path / "corr"))
+    x = np.stack([np.ones(n), age], axis=1)[seen]
+    ks, v = k[np.ix_(seen, seen)], y[seen]
+    t0, t1 = dense_reml(v, x, ks)
+    s = np.linalg.inv(t0 * np.eye(len(v)) + t1 * ks)
+    p = s - s @ x @ np.linalg.inv(x.T @ s @ x) @ x.T @ s
+    c1 = n / np.trace(p @ ks)
+    got = {r["sample_id"]: r["resid"] for r in resid.collect()}
+    want = dict(zip(np.flatnonzero(seen), c1 * (p @ v)))
+    assert all(abs(got[f"s{i}"] - w) < 2e-2 for i, w in want.items()) and all(got[f"s{i}"] == 0 for i in np.flatnonzero(~seen))
+    assert abs(c2.first()["c2"] - c1 * ((p @ v) ** 2).sum() / (n - 1)) < 2e-2
