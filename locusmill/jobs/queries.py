@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..operators import align, assoc, nullmodel, variants
 from ..operators.components import connected_components
-from ..operators.shared import materialise
+from ..operators.shared import materialise, shared_dir
+from ..sources.genotype import genotypes, write_genotypes
 from ..streaming.landing import associate_stream, run_until_done
 from . import cohort as C
 from . import sqlforms, study
@@ -453,3 +454,40 @@ def text_round_trip(spark, sf):
     study.write_corrections(C.samples(spark, sf), resid, {"spend": 1.5}, path)
     _, back = read_corrections(spark, path)
     return back.agg(F.count("*").alias("n"), r(F.sum("resid"), 2).alias("total")).select(F.lit("text").alias("kind"), "n", "total")
+
+
+def _files_sql(keep: str) -> str:
+    return f"""
+WITH d AS (SELECT variant_id, CASE WHEN sample_id % 11 <> 5 THEN dosage END AS dosage FROM dos),
+v AS (SELECT variant_id, row_number() OVER (ORDER BY variant_id) - 1 AS i FROM (SELECT DISTINCT variant_id FROM dos))
+SELECT variant_id AS rsid, i::BIGINT AS variant_idx, CASE WHEN i % 2 = 0 THEN '1' ELSE 'X' END AS chr, (100 * i + 1)::BIGINT AS pos, 'A' AS non_effect, 'G' AS effect,
+  count(dosage) AS n_samples, round(avg(dosage) / 2, 6) AS af, round(var_samp(dosage), 6) AS gv FROM d JOIN v USING (variant_id){keep} GROUP BY variant_id, i"""
+
+
+def _through_files(spark, sf: str, kind: str) -> DataFrame:
+    """The study's dosages, every 11th sample missing, written as genotype files and read back."""
+    import uuid
+
+    d = C.dosages(spark, sf).withColumn("dosage", F.when(F.col("sample_id") % 11 != 5, F.col("dosage")))
+    g = align.with_row_index(assoc.dosage_arrays(d), ["variant_id"], "variant_idx")
+    i = F.col("variant_idx")
+    g = g.select(i, F.col("variant_id").alias("rsid"), F.when(i % 2 == 0, "1").otherwise("X").alias("chr"), (100 * i + 1).alias("pos"), F.lit("A").alias("non_effect"), F.lit("G").alias("effect"), "dosage")
+    path = f"{shared_dir(spark)}/study-{uuid.uuid4().hex}.{kind}"
+    write_genotypes(g, path)
+    back = variants.summarise(genotypes(spark, path))
+    return back.select("rsid", "variant_idx", "chr", "pos", "non_effect", "effect", "n_samples", r("af").alias("af"), r("gv").alias("gv"))
+
+
+@query(_files_sql(""))
+def bed_round_trip(spark, sf):
+    """Packed genotype files written by the tasks, read back and summarised."""
+    return _through_files(spark, sf, "bed")
+
+
+@query(_files_sql(" WHERE i % 3 = 0"))
+def bgen_include_list(spark, sf):
+    """Probabilistic genotype files written by the tasks and read back for every third variant of an include list, all of which must be there."""
+    back = _through_files(spark, sf, "bgen")
+    include = align.with_row_index(C.table(spark, sf, "part").select(F.col("p_brand").alias("rsid")).distinct(), ["rsid"], "i").filter("i % 3 = 0").select("rsid")
+    variants.check_included(back, include, "rsid")
+    return variants.include_filter(back, include, "rsid")

@@ -69,6 +69,45 @@ def test_bed_round_trip(spark, tmp_path):
     assert rows[3]["effect"] == "A" and rows[3]["pos"] == 4
 
 
+def rows_of(spark, dosage):
+    rows = [(i, f"v{i}", "1", 10 * i + 1, "A", "G", d) for i, d in enumerate(dosage)]
+    return spark.createDataFrame(rows, "variant_idx long, rsid string, chr string, pos long, non_effect string, effect string, dosage array<float>")
+
+
+@pytest.mark.parametrize("kind", ["bed", "bgen"])
+@pytest.mark.parametrize("parts", [None, 1, 7])
+def test_written_folders_read_back(spark, tmp_path, kind, parts):
+    rng = np.random.default_rng(3)
+    dosage = [[[0.0, 1.0, 2.0, None][x] for x in row] for row in rng.integers(0, 4, (23, 9))]
+    path = f"file://{tmp_path}/x.{kind}"
+    genotype.write_genotypes(rows_of(spark, dosage).repartition(5), path)
+    (tmp_path / f"x.{kind}" / f"left-over.{kind}").write_bytes(b"a task that was run again")
+    rows = genotype.genotypes(spark, path, parts).orderBy("variant_idx").collect()
+    assert [r["dosage"] for r in rows] == dosage
+    assert [(r["variant_idx"], r["rsid"], r["chr"], r["pos"], r["non_effect"], r["effect"]) for r in rows] == [(i, f"v{i}", "1", 10 * i + 1, "A", "G") for i in range(23)]
+
+
+def test_written_folders_of_no_rows_and_of_bad_rows(spark, tmp_path):
+    for kind in ("bed", "bgen"):
+        genotype.write_genotypes(rows_of(spark, []), f"{tmp_path}/none.{kind}")
+        assert genotype.genotypes(spark, f"{tmp_path}/none.{kind}").count() == 0
+        for bad in ([[0.0, 3.0]], [[0.0], [1.0, 2.0]], [[], []]):
+            with pytest.raises(Exception, match="BED files|BGEN files|same samples"):
+                genotype.write_genotypes(rows_of(spark, bad).coalesce(1), f"{tmp_path}/bad.{kind}")
+    genotype.write_genotypes(rows_of(spark, [[0.0, 0.25, 1.5]]), f"{tmp_path}/part.bgen")
+    assert np.allclose(genotype.genotypes(spark, f"{tmp_path}/part.bgen").first()["dosage"], [0, 0.25, 1.5], atol=1e-4)
+    with pytest.raises(Exception, match="BED files"):
+        genotype.write_genotypes(rows_of(spark, [[0.0, 0.25, 1.5]]), f"{tmp_path}/part.bed")
+
+
+def test_ranges_of_a_companion_file_with_blank_lines(spark, tmp_path):
+    write_bed(tmp_path / "x.bed", [[0, 1, 2]] * 10)
+    bim = (tmp_path / "x.bim").read_text().splitlines()
+    (tmp_path / "x.bim").write_text("\n\n".join(bim))
+    for parts in (1, 3, 10):
+        assert [r["rsid"] for r in genotype.genotypes(spark, str(tmp_path / "x.bed"), parts).orderBy("variant_idx").collect()] == [f"v{i}" for i in range(10)]
+
+
 @pytest.mark.parametrize("layout,compression,bits,phased", [(1, 0, 16, 0), (1, 1, 16, 0), (2, 0, 8, 0), (2, 1, 16, 1), (2, 2, 24, 0), (2, 2, 32, 1)])
 def test_bgen_round_trip(spark, tmp_path, layout, compression, bits, phased):
     import zstandard
