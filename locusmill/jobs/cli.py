@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.assoc import associate, widen
 from ..operators.variants import check_included, include_filter, maf_filter, summarise
-from ..sources.genotype import bgen_header, genotypes
+from ..sources.genotype import bgen_header, gather, genotypes
 from ..sources.text import read_corrections, read_covariates, read_fam, read_include_list, read_kinship, read_phenotypes, read_sample_ids
 from .study import fit_null, output_name, to_text, traits_of, write_corrections
 
@@ -89,12 +89,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     if a.step in ("all", "step2"):
         c2_rows, resid = read_corrections(spark, corr)
         traits = traits_of(samples, resid, {r["pheno"]: r["c2"] for r in c2_rows.collect()}, a.covar_names)
-        place = spark.sparkContext.broadcast(sorted(r["sample_idx"] for r in samples.select("sample_idx").collect()))
+        place = sorted(r["sample_idx"] for r in samples.select("sample_idx").collect())
         for path in files:
             own = {x: i for i, x in enumerate(genotype_ids(spark, path, a.sample))}
-            at = [own.get(ids[i], -1) for i in place.value]
-            wanted = F.array(*[F.lit(i) for i in at])
-            g = genotypes(spark, path).withColumn("dosage", F.transform(wanted, lambda i: F.when(i >= 0, F.get("dosage", i))))
+            g = gather(genotypes(spark, path), [own.get(ids[i], -1) for i in place])
             g = maf_filter(summarise(g), a.maf).withColumn("variant_id", F.col("variant_idx").cast("string"))
             if a.include_snp_file:
                 include = read_include_list(spark, a.include_snp_file).withColumnRenamed("variant_id", "rsid")

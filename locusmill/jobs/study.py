@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.align import binary_traits, kinship_matrix, kinship_pairs, with_row_index
 from ..operators.assoc import RepeatedProjector, Traits, associate
-from ..operators.nullmodel import Fit, correct_unrelated, fit_gaussian, fit_logistic, fit_reml, gram
+from ..operators.nullmodel import Fit, correct_traits, fit_gaussian, fit_logistic_traits, fit_reml, fit_traits, gram
 from ..operators.shared import materialise
 
 
@@ -47,29 +47,35 @@ def fit_null(cohort: DataFrame, phenotypes: DataFrame, covariates: list[str], ki
         cohort = materialise(with_row_index(cohort, ["sample_id"]), "cohort")
         index = cohort.select("sample_id", "row_idx")
         matrix = materialise(kinship_matrix(kinship_pairs(kinship, index), index, diagonal), "kinship")
+    kinds = {r["pheno"]: r["family"] for r in binary_traits(phenotypes).orderBy("pheno").collect()}
+    for pheno, kind in kinds.items():
+        if kind == "constant":
+            raise ValueError(f"{pheno} is constant")
+        if kind == "binomial" and kinship is not None:
+            raise ValueError(f"{pheno} is binary: mixed models for binary traits are left out")
+    if kinship is None:
+        # all traits at once: the number of jobs doesn't follow the number of traits
+        rows = materialise(cohort.join(phenotypes.filter("y is not null").select("sample_id", "pheno", "y"), "sample_id"), "traits")
+        found = fit_traits(rows, covariates)
+        if lost := [p for p in kinds if p not in found]:
+            raise ValueError(f"{lost[0]}: no sample of the cohort has a value")
+        found |= fit_logistic_traits(rows, covariates, {p: f for p, f in found.items() if kinds[p] == "binomial"})
+        fits = [found[p] for p in kinds]
+        out, c2 = correct_traits(rows, fits, covariates, n_all)
+        return out, {p: c2[p] for p in kinds}, fits
     fits, c2, out = [], {}, None
-    for r in binary_traits(phenotypes).orderBy("pheno").collect():
-        if r["family"] == "constant":
-            raise ValueError(f"{r['pheno']} is constant")
-        y = phenotypes.filter(F.col("pheno") == r["pheno"]).select("sample_id", "y")
-        if kinship is None:
-            rows = cohort.join(y, "sample_id")
-            fit = (fit_logistic if r["family"] == "binomial" else fit_gaussian)(rows, covariates, pheno=r["pheno"])
-            resid, c2[r["pheno"]] = correct_unrelated(rows, fit, n_all)
-        elif r["family"] == "binomial":
-            raise ValueError(f"{r['pheno']} is binary: mixed models for binary traits are left out")
-        else:
-            # samples without the trait stay: the correction's trace runs over the whole cohort
-            rows = cohort.join(y, "sample_id", "left")
-            names = fit_gaussian(rows, covariates, pheno=r["pheno"]).names
-            mixed, by_row = fit_reml(rows, [matrix], names[1:])
-            if not mixed.converged:
-                raise ValueError(f"{r['pheno']}: the mixed model doesn't converge")
-            fit = Fit(r["pheno"], names, mixed.coef, mixed.cov, float(mixed.tau[0]), int(rows.filter("y is not null").count()))
-            resid = by_row.join(index, "row_idx").select("sample_id", F.lit(r["pheno"]).alias("pheno"), "resid")
-            c2[r["pheno"]] = mixed.c2
+    for pheno in kinds:
+        y = phenotypes.filter(F.col("pheno") == pheno).select("sample_id", "y")
+        # samples without the trait stay: the correction's trace runs over the whole cohort
+        rows = cohort.join(y, "sample_id", "left")
+        names = fit_gaussian(rows, covariates, pheno=pheno).names
+        mixed, by_row = fit_reml(rows, [matrix], names[1:])
+        if not mixed.converged:
+            raise ValueError(f"{pheno}: the mixed model doesn't converge")
+        fits.append(Fit(pheno, names, mixed.coef, mixed.cov, float(mixed.tau[0]), int(rows.filter("y is not null").count())))
+        resid = by_row.join(index, "row_idx").select("sample_id", F.lit(pheno).alias("pheno"), "resid")
+        c2[pheno] = mixed.c2
         out = resid if out is None else out.unionByName(resid)
-        fits.append(fit)
     return out, c2, fits
 
 

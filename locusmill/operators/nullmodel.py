@@ -74,70 +74,115 @@ def design(df: DataFrame, covariates: list[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumn("intercept", F.lit(1.0)), ["intercept", *covariates]
 
 
-def fit_gaussian(rows: DataFrame, covariates: list[str], y: str = "y", pheno: str = "y") -> Fit:
-    """Least squares over rows with y and all covariates."""
-    rows, names = design(rows.dropna(subset=[y, *covariates]), covariates)
-    g = gram(rows, [*names, y])
-    n = rows.count()
-    names = independent_columns(g[:-1, :-1], names)
-    at = [i for i, c in enumerate(["intercept", *covariates]) if c in names]
-    if n <= len(names):
-        raise ValueError(f"{pheno}: {n} rows for {len(names)} columns")
-    a, b = g[np.ix_(at, at)], g[at, -1]
-    coef = np.linalg.solve(a, b)
-    sigma2 = float(max(g[-1, -1] - coef @ b, 0.0) / (n - len(names)))
-    return Fit(pheno, names, coef, sigma2 * np.linalg.inv(a), sigma2, n)
-
-
-def linear_predictor(fit: Fit):
-    out = F.lit(0.0)
-    for name, b in zip(fit.names, fit.coef):
-        out = out + F.lit(float(b)) * (F.lit(1.0) if name == "intercept" else F.col(name))
+def grams(rows: DataFrame, columns: list[str], weight: str | None = None) -> dict[str, tuple[int, np.ndarray]]:
+    """Rows and sums of products of all pairs of columns, by ``pheno``, in one aggregation for all traits."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    k = len(columns)
+    places = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = F.array(*[F.sum(w * F.col(columns[i]) * F.col(columns[j])) for i, j in places])
+    out = {}
+    for row in rows.groupBy("pheno").agg(F.count("*").alias("n"), sums.alias("s")).collect():
+        g = np.zeros((k, k))
+        for (i, j), value in zip(places, row["s"]):
+            g[i, j] = g[j, i] = value or 0.0
+        out[row["pheno"]] = row["n"], g
     return out
 
 
-def fit_logistic(rows: DataFrame, covariates: list[str], y: str = "y", pheno: str = "y", tol: float = 1e-5, most: int = 500) -> Fit:
-    """Iteratively reweighted least squares from the least squares start; one aggregation a step."""
-    fit = fit_gaussian(rows, covariates, y, pheno)
-    rows = rows.dropna(subset=[y, *covariates]).withColumn("intercept", F.lit(1.0))
+def fit_traits(rows: DataFrame, covariates: list[str]) -> dict[str, Fit]:
+    """Least squares of ``y`` for every ``pheno`` over its rows with y and all covariates."""
+    rows, every = design(rows.dropna(subset=["y", *covariates]), covariates)
+    fits = {}
+    for pheno, (n, g) in sorted(grams(rows, [*every, "y"]).items()):
+        names = independent_columns(g[:-1, :-1], every)
+        at = [every.index(c) for c in names]
+        if n <= len(names):
+            raise ValueError(f"{pheno}: {n} rows for {len(names)} columns")
+        a, b = g[np.ix_(at, at)], g[at, -1]
+        coef = np.linalg.solve(a, b)
+        sigma2 = float(max(g[-1, -1] - coef @ b, 0.0) / (n - len(names)))
+        fits[pheno] = Fit(pheno, names, coef, sigma2 * np.linalg.inv(a), sigma2, n)
+    return fits
+
+
+def with_predictor(rows: DataFrame, fits: list[Fit], covariates: list[str], scale: dict[str, float] | None = None) -> DataFrame:
+    """Rows of the fitted traits with ``_eta``, ``_binomial`` and ``_scale``: a join with one row of coefficients a trait."""
+    every = ["intercept", *covariates]
+    place = lambda f: [float(f.coef[f.names.index(c)]) if c in f.names else 0.0 for c in every]
+    table = [(f.pheno, place(f), f.family == "binomial", float(scale[f.pheno]) if scale else 1.0) for f in fits]
+    coef = rows.sparkSession.createDataFrame(table, "pheno string, _b array<double>, _binomial boolean, _scale double")
+    eta = reduce(lambda acc, i: acc + F.col("_b")[i] * (F.col(every[i]) if i else F.lit(1.0)), range(len(every)), F.lit(0.0))
+    return rows.join(coef, "pheno").withColumn("_eta", eta).drop("_b")
+
+
+def _weights(rows: DataFrame) -> DataFrame:
+    """Means and binomial weights beside the predictor."""
+    return rows.withColumn("_mu", 1 / (1 + F.exp(-F.col("_eta")))).withColumn("_w", F.col("_mu") * (1 - F.col("_mu")))
+
+
+def fit_logistic_traits(rows: DataFrame, covariates: list[str], starts: dict[str, Fit], tol: float = 1e-5, most: int = 500) -> dict[str, Fit]:
+    """Iteratively reweighted least squares from least squares starts; one aggregation a step for all traits still moving."""
+    rows, every = design(rows.dropna(subset=["y", *covariates]), covariates)
+    now, done = dict(starts), {}
     for _ in range(most):
-        mu = 1 / (1 + F.exp(-linear_predictor(fit)))
-        step = rows.withColumn("_mu", mu).withColumn("_w", F.col("_mu") * (1 - F.col("_mu")))
-        step = step.withColumn("_z", linear_predictor(fit) + (F.col(y) - F.col("_mu")) / F.col("_w"))
-        g = gram(step, [*fit.names, "_z"], "_w")
-        coef = np.linalg.solve(g[:-1, :-1], g[:-1, -1])
-        moved = np.abs(coef - fit.coef).max()
-        fit = Fit(pheno, fit.names, coef, np.linalg.inv(g[:-1, :-1]), 1.0, fit.n, "binomial")
-        if moved <= tol:
-            return fit
-    raise ValueError(f"{pheno}: the logistic fit doesn't converge")
-
-
-def residuals(rows: DataFrame, fit: Fit, y: str = "y") -> DataFrame:
-    """(sample_id, pheno, mu, s): s is the residual over its dispersion."""
-    eta = linear_predictor(fit)
-    mu = eta if fit.family == "gaussian" else 1 / (1 + F.exp(-eta))
-    phi = fit.sigma2 if fit.family == "gaussian" else 1.0
-    covariates = [c for c in fit.names if c != "intercept"]
-    return rows.dropna(subset=[y, *covariates]).select("sample_id", F.lit(fit.pheno).alias("pheno"), mu.alias("mu"), ((F.col(y) - mu) / phi).alias("s"))
-
-
-def correct_unrelated(rows: DataFrame, fit: Fit, n_all: int, y: str = "y") -> tuple[DataFrame, float]:
-    """Corrected residuals and c2 for unrelated samples with one row each.
-
-    c1 = tr(K) / tr(PK) with K the identity over all n_all samples, r = c1 s and
-    c2 = c1 sum(s^2) / (n_all - 1).
+        if not now:
+            return done
+        step = _weights(with_predictor(rows, list(now.values()), covariates))
+        step = step.withColumn("_z", F.col("_eta") + (F.col("y") - F.col("_mu")) / F.col("_w"))
+        found = grams(step, [*every, "_z"], "_w")
+        for pheno, old in list(now.items()):
+            g = found[pheno][1]
+            at = [every.index(c) for c in old.names]
+            a = g[np.ix_(at, at)]
+            fit = Fit(pheno, old.names, np.linalg.solve(a, g[at, -1]), np.linalg.inv(a), 1.0, old.n, "binomial")
+            now[pheno] = fit
+            if np.abs(fit.coef - old.coef).max() <= tol:
+                done[pheno] = now.pop(pheno)
+    if now:
+        raise ValueError(f"{sorted(now)[0]}: the logistic fit doesn't converge")
+    return done
+
+
+def correct_traits(rows: DataFrame, fits: list[Fit], covariates: list[str], n_all: int) -> tuple[DataFrame, dict[str, float]]:
+    """(sample_id, pheno, resid) and c2 by trait, for unrelated samples with one row each.
+
+    c1 = tr(K) / tr(PK) with K the identity over all n_all samples, s the residual over its
+    dispersion, r = c1 s and c2 = c1 sum(s^2) / (n_all - 1). For least squares both follow from
+    the fit; P = W - W X (X'WX)^-1 X'W of the binomial traits needs sums, one aggregation for all.
     """
-    scaled = residuals(rows, fit, y)
-    if fit.family == "gaussian":
-        trace_p = (fit.n - len(fit.names)) / fit.sigma2
-    else:
-        # P = W - W X (X'WX)^-1 X'W with identity kinship: its trace needs sum(w) and X'W^2X
-        d = rows.dropna(subset=[y, *fit.names[1:]]).withColumn("intercept", F.lit(1.0)).withColumn("_mu", 1 / (1 + F.exp(-linear_predictor(fit)))).withColumn("_w", F.col("_mu") * (1 - F.col("_mu"))).withColumn("_w2", F.col("_w") * F.col("_w"))
-        trace_p = d.agg(F.sum("_w")).first()[0] - float((fit.cov * gram(d, fit.names, "_w2")).sum())
-    c1 = n_all / trace_p
-    total = scaled.agg(F.sum(F.col("s") * F.col("s"))).first()[0]
-    return scaled.select("sample_id", "pheno", (F.lit(c1) * F.col("s")).alias("resid")), float(c1 * total / (n_all - 1))
+    rows, every = design(rows.dropna(subset=["y", *covariates]), covariates)
+    scale, c2 = {f.pheno: n_all / (f.n - len(f.names)) for f in fits if f.family == "gaussian"}, {}
+    c2 |= {p: n_all / (n_all - 1) for p in scale}
+    if binomial := [f for f in fits if f.family == "binomial"]:
+        d = _weights(with_predictor(rows, binomial, covariates)).withColumn("_s", F.col("y") - F.col("_mu")).withColumn("_r", F.col("_s") / F.col("_w"))
+        # weighted by w^2, the squares of the last two columns are w and s^2
+        sums = grams(d.withColumn("_w2", F.col("_w") * F.col("_w")).withColumn("_i", 1 / F.sqrt("_w")), [*every, "_i", "_r"], "_w2")
+        for f in binomial:
+            g = sums[f.pheno][1]
+            at = [every.index(c) for c in f.names]
+            c1 = n_all / (g[-2, -2] - float((f.cov * g[np.ix_(at, at)]).sum()))
+            scale[f.pheno], c2[f.pheno] = c1, float(c1 * g[-1, -1] / (n_all - 1))
+    out = with_predictor(rows, fits, covariates, scale)
+    mu = F.when(F.col("_binomial"), 1 / (1 + F.exp(-F.col("_eta")))).otherwise(F.col("_eta"))
+    return out.select("sample_id", "pheno", (F.col("_scale") * (F.col("y") - mu)).alias("resid")), c2
+
+
+def _one(rows: DataFrame, y: str, pheno: str) -> DataFrame:
+    return rows.withColumn("y", F.col(y)).withColumn("pheno", F.lit(pheno))
+
+
+def fit_gaussian(rows: DataFrame, covariates: list[str], y: str = "y", pheno: str = "y") -> Fit:
+    """Least squares of one trait."""
+    fits = fit_traits(_one(rows, y, pheno), covariates)
+    if not fits:
+        raise ValueError(f"{pheno}: no rows")
+    return fits[pheno]
+
+
+def fit_logistic(rows: DataFrame, covariates: list[str], y: str = "y", pheno: str = "y") -> Fit:
+    """The logistic model of one trait."""
+    start = fit_gaussian(rows, covariates, y, pheno)
+    return fit_logistic_traits(_one(rows, y, pheno), covariates, {pheno: start})[pheno]
 
 
 def families(rows: DataFrame, matrix: DataFrame) -> DataFrame:

@@ -443,3 +443,22 @@ def write_genotypes(geno, path: str) -> None:
     columns = ["variant_idx", "rsid", "chr", "pos", "non_effect", "effect", "dosage"]
     rows = geno.select(*columns).repartitionByRange("variant_idx").sortWithinPartitions("variant_idx")
     rows.write.format(path.rstrip("/").rsplit(".", 1)[-1].lower()).mode("append").save(path)
+
+
+def gather(geno, at: np.ndarray):
+    """Dosages in another order: place i takes the file's sample at[i], or is missing where that is -1."""
+    shared = geno.sparkSession.sparkContext.broadcast(np.asarray(at, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column("dosage").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            out = np.where(at >= 0, own[:, at], np.float32(np.nan))
+            flat = pa.array(out.ravel(), pa.float32(), mask=np.isnan(out).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(at), pa.int32()), flat)
+            names = batch.schema.names
+            yield pa.record_batch([lists if c == "dosage" else batch.column(c) for c in names], names)
+
+    return geno.mapInArrow(run, geno.schema)

@@ -194,7 +194,8 @@ def test_gaussian_identity_c2(spark):
     rng = np.random.default_rng(2)
     rows = spark.createDataFrame([(i, float(rng.normal()), float(rng.normal()) if i % 5 else None) for i in range(60)], "sample_id long, x double, y double")
     fit = nullmodel.fit_gaussian(rows, ["x"])
-    _, c2 = nullmodel.correct_unrelated(rows, fit, 60)
+    _, c2 = nullmodel.correct_traits(rows.withColumn("pheno", F.lit("y")), [fit], ["x"], 60)
+    c2 = c2["y"]
     assert abs(c2 - 60 / 59) < 1e-9
     with pytest.raises(ValueError):
         nullmodel.fit_gaussian(rows.limit(0), ["x"])
