@@ -5,6 +5,9 @@ from pathlib import Path
 
 import pytest
 
+# small dense matrices are many times slower with a thread for each core
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
