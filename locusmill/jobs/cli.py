@@ -16,21 +16,17 @@ from ..operators.assoc import associate, widen
 from ..operators.variants import check_included, include_filter, maf_filter, summarise
 from ..sources.genotype import bgen_header, gather, genotypes
 from ..sources.text import read_corrections, read_covariates, read_fam, read_include_list, read_kinship, read_phenotypes, read_sample_ids
-from .study import fit_null, output_name, to_text, traits_of, write_corrections
+from .study import fit_null, output_name, repeated_setup, to_text, traits_of, write_corrections
 
 log = logging.getLogger("locusmill")
 
 
-LEFT_OUT = ("--random-slope-name",)
-
-
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="locusmill")
     p.add_argument("--step", choices=("all", "step1", "step2", "step3"), default="all")
     for name in ("--pheno-file", "--cov-file", "--corr-file", "--include-snp-file", "--sample", "--kin-file"):
         p.add_argument(name)
-    for name in LEFT_OUT:
-        p.add_argument(name, nargs="*", help="left out")
+    p.add_argument("--random-slope-name", help="covariate whose coefficient varies with the kinship or the sample")
     p.add_argument("--sampleid-name", default="IID")
     p.add_argument("--covar-names", nargs="*", default=[])
     p.add_argument("--pheno-delim", default=",")
@@ -64,9 +60,6 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     a = parser().parse_args(argv)
     if a.pgen:
         raise SystemExit("PGEN files are not supported")
-    for name in LEFT_OUT:
-        if getattr(a, name[2:].replace("-", "_")) is not None:
-            raise SystemExit(f"{name} is not supported")
     files = [*a.bed, *a.bgen]
     if a.step != "step3" and not files:
         raise SystemExit("a genotype file is needed")
@@ -76,20 +69,27 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     if a.step in ("all", "step1", "step2"):
         ids = genotype_ids(spark, files[0], a.sample)
         index = spark.createDataFrame(list(enumerate(ids)), "sample_idx long, sample_id string")
-        cov = read_covariates(spark, a.cov_file, a.sampleid_name, a.covar_names, a.cov_delim, a.missing_value).dropna()
+        cov = read_covariates(spark, a.cov_file, a.sampleid_name, a.covar_names, a.cov_delim, a.missing_value).withColumn("order", F.monotonically_increasing_id()).dropna()
         samples = index.join(cov, "sample_id")
+        once = samples.select("sample_idx", "sample_id").distinct()
     if a.step in ("all", "step1"):
-        pheno = read_phenotypes(spark, a.pheno_file, a.pheno_delim, a.missing_value)
+        pheno = read_phenotypes(spark, a.pheno_file, a.pheno_delim, a.missing_value).withColumn("order", F.monotonically_increasing_id())
         kinship = read_kinship(spark, a.kin_file, a.kin_delim).withColumn("edge_idx", F.monotonically_increasing_id()) if a.kin_file else None
-        resid, c2, fits = fit_null(samples.select("sample_id", *a.covar_names), pheno, a.covar_names, kinship, a.kin_diag)
-        write_corrections(samples.select("sample_idx", "sample_id"), resid, c2, corr)
+        resid, c2, fits = fit_null(samples.select("sample_id", "order", *a.covar_names), pheno, a.covar_names, kinship, a.kin_diag, a.random_slope_name)
+        write_corrections(once, resid, c2, corr)
         for f in fits:
+            if not f.converged:
+                log.warning("%s: the null model doesn't converge, its last step counts", f.pheno)
             for row in f.report():
                 log.info("%s %s estimate %.6g se %.6g z %.4g p %.4g", *row)
     if a.step in ("all", "step2"):
         c2_rows, resid = read_corrections(spark, corr)
-        traits = traits_of(samples, resid, {r["pheno"]: r["c2"] for r in c2_rows.collect()}, a.covar_names)
-        place = sorted(r["sample_idx"] for r in samples.select("sample_idx").collect())
+        c2 = {r["pheno"]: r["c2"] for r in c2_rows.collect()}
+        place = sorted(r["sample_idx"] for r in once.select("sample_idx").collect())
+        if samples.count() == len(place):
+            traits, project = traits_of(samples, resid, c2, a.covar_names), None
+        else:
+            traits, project = traits_of(once, resid, c2, []), repeated_setup(samples, a.covar_names)[1]
         for path in files:
             own = {x: i for i, x in enumerate(genotype_ids(spark, path, a.sample))}
             g = gather(genotypes(spark, path), [own.get(ids[i], -1) for i in place])
@@ -99,7 +99,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
                 if path.endswith(".bgen"):
                     check_included(genotypes(spark, path).select("rsid"), include, "rsid")
                 g = include_filter(g, include, "rsid")
-            wide = widen(associate(g, traits), traits.names)
+            wide = widen(associate(g, traits, project), traits.names)
             meta = g.select("variant_id", "variant_idx", F.col("snpid").alias("SNPID"), F.col("rsid").alias("RSID"), F.col("chr").alias("CHR"), F.col("pos").cast("string").alias("POS"), F.col("non_effect").alias("Non_Effect_Allele"), F.col("effect").alias("Effect_Allele"), F.col("n_samples").cast("string").alias("N_Samples"), F.col("af").cast("float").alias("AF"), F.col("gv").cast("float").alias("GV"))
             folder = a.out.rpartition("/")[0]
             out = f"{folder}/{output_name(path, a.out)}" if folder else output_name(path, a.out)

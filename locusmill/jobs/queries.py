@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import align, assoc, nullmodel, variants
+from ..operators import align, assoc, mixed, nullmodel, variants
 from ..operators.components import connected_components
 from ..operators.shared import materialise, shared_dir
 from ..sources.genotype import genotypes, write_genotypes
@@ -404,9 +405,9 @@ def null_logistic(spark, sf):
     return out.select("pheno", "name", *[r(c, 5).alias(c) for c in ("estimate", "se", "z", "p")])
 
 
-def _mixed_input(spark, sf):
-    """(rows, kinship matrix) of the trait balance."""
-    rows = C.samples(spark, sf).select("sample_id", F.col("sample_idx").alias("row_idx")).join(C.covariates(spark, sf).select("sample_id", "n_orders"), "sample_id").join(C.phenotypes(spark, sf).filter("pheno = 'balance'").select("sample_id", "y"), "sample_id")
+def _mixed_input(spark, sf, pheno: str = "balance"):
+    """(rows, kinship matrix) of a trait."""
+    rows = C.samples(spark, sf).select("sample_id", F.col("sample_idx").alias("row_idx")).join(C.covariates(spark, sf).select("sample_id", "n_orders"), "sample_id").join(C.phenotypes(spark, sf).filter(F.col("pheno") == pheno).select("sample_id", "y"), "sample_id")
     index = rows.select("sample_id", "row_idx")
     k = materialise(align.kinship_matrix(align.kinship_pairs(C.kinship_edges(spark, sf), index), index), "kinship")
     return materialise(rows, "cohort"), k
@@ -428,15 +429,51 @@ SELECT sample_id, round(c1 * py, 3) + 0.0 AS resid, round(c2, 6) AS c2 FROM r, c
 def mixed_corrections(spark, sf):
     """Corrected residuals and c2 of a mixed model at given variance components."""
     rows, k = _mixed_input(spark, sf)
-    fit, resid = nullmodel.mixed_at(rows, [k], ["n_orders"], [6e6, 4e6])
+    fit, resid = mixed.mixed_at(rows, [k], ["n_orders"], [6e6, 4e6])
     return resid.select(F.col("row_idx").alias("sample_id"), r("resid", 3).alias("resid"), r(F.lit(fit.c2)).alias("c2"))
 
 
+@query(f"""WITH a AS (SELECT sample_id, sample_id // 4 AS f, n_orders / 10 AS x, y FROM cov JOIN phe USING (sample_id) WHERE pheno = 'positive'),
+{sqlforms.pql_families("a", 0.8, 14)},
+u AS (SELECT pql.f AS f, d * (1 - g * sd) AS u1, d * (x - g * sx) AS ux, d - g * d * d AS sii FROM pql JOIN pqlf USING (f)),
+uf AS (SELECT f, sum(u1) AS t1, sum(ux) AS tx, sum(u1 * u1) AS q11, sum(u1 * ux) AS q1x, sum(ux * ux) AS qxx, sum(sii) AS tii FROM u GROUP BY f),
+z AS (SELECT sum(tii + t1) / 2 AS tr, sum(q11 + t1 * t1) / 2 AS k11, sum(q1x + t1 * tx) / 2 AS k1x, sum(qxx + tx * tx) / 2 AS kxx FROM uf),
+e AS (SELECT sum(sd - g * sd * sd) AS e11, sum(sx - g * sd * sx) AS e1x, sum(sxx - g * sx * sx) AS exx FROM pqlf),
+cor AS (SELECT (SELECT count(*) FROM a) / (tr - (exx * k11 - 2 * e1x * k1x + e11 * kxx) / (e11 * exx - e1x * e1x)) AS c1 FROM z, e)
+SELECT sample_id, round(eta, 5) + 0.0 AS predictor, round(c1 * (y - mu), 5) + 0.0 AS resid FROM pql, cor""")
+def mixed_binary(spark, sf):
+    """Penalised quasi-likelihood of a binary trait with kinship at a given component: linear predictors and corrected residuals."""
+    rows, k = _mixed_input(spark, sf, "positive")
+    rows = rows.select("row_idx", F.array("y").alias("y"), (F.col("n_orders") / 10).alias("x"))
+    stacks = mixed.Stacks(rows, [k], ["x"])
+    fits, resid = mixed.fit_mixed(stacks, [mixed.Trait(0, [0, 1], True, np.zeros(2))], tau=[[1.0, 0.8]], tol=1e-10)
+    mu = F.explode("y").alias("y")
+    out = resid.join(rows.select("row_idx", mu), "row_idx").withColumn("p", F.col("y") - F.col("resid") / fits[0].c1)
+    return out.select(F.col("row_idx").alias("sample_id"), r(F.log(F.col("p") / (1 - F.col("p"))), 5).alias("predictor"), r("resid", 5).alias("resid"))
+
+
+@query("""WITH a AS (SELECT o_custkey AS sample_id, (day(o_orderdate) % 7)::DOUBLE AS x, o_totalprice / 1000 AS y FROM orders),
+s AS MATERIALIZED (SELECT sample_id, count(*) AS m, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, 5000.0 + 2000.0 * count(*) AS v, 2000.0 / (5000.0 + 2000.0 * count(*)) AS h FROM a GROUP BY sample_id),
+e AS MATERIALIZED (SELECT sum(m - h * m * m) / 5000 AS e11, sum(sx - h * m * sx) / 5000 AS e1x, sum(sxx - h * sx * sx) / 5000 AS exx, sum(sy - h * m * sy) / 5000 AS e1y, sum(sxy - h * sx * sy) / 5000 AS exy,
+  sum(m / v) AS tr, sum((m / v) ** 2) AS k11, sum(m * sx / v ** 2) AS k1x, sum((sx / v) ** 2) AS kxx, count(*) AS n FROM s),
+c AS (SELECT (e1y * exx - exy * e1x) / (e11 * exx - e1x * e1x) AS b0, (exy * e11 - e1y * e1x) / (e11 * exx - e1x * e1x) AS b1, n, n / (tr - (exx * k11 - 2 * e1x * k1x + e11 * kxx) / (e11 * exx - e1x * e1x)) AS c1 FROM e),
+r AS (SELECT sample_id, (sy - b0 * m - b1 * sx) / v AS py, c1, n FROM s, c)
+SELECT sample_id, round(c1 * py, 5) + 0.0 AS resid, round(c1 * (SELECT sum(py * py) FROM r) / (n - 1), 6) AS c2 FROM r""")
+def mixed_repeated(spark, sf):
+    """Corrected residuals of repeated measures, summed by sample: orders are the rows, customers the samples, at given components."""
+    orders = C.table(spark, sf, "orders").select(F.col("o_custkey").alias("sample_id"), "o_orderkey", (F.dayofmonth("o_orderdate") % 7).cast("double").alias("x"), (F.col("o_totalprice") / 1000).alias("y"))
+    rows = materialise(align.with_row_index(orders, ["sample_id", "o_orderkey"]), "rows")
+    kernel = align.repeated_measure_kernel(rows.select("sample_id", "row_idx"))
+    stacks = mixed.Stacks(rows.select("row_idx", F.col("sample_id").alias("subject"), F.array("y").alias("y"), "x"), [kernel], ["x"])
+    fits, resid = mixed.fit_mixed(stacks, [mixed.Trait(0, [0, 1])], tau=[[5000.0, 2000.0]])
+    return resid.join(rows.select("row_idx", "sample_id"), "row_idx").select("sample_id", r("resid", 5).alias("resid"), r(F.lit(fits[0].c2)).alias("c2"))
+
+
 @query()
 def null_mixed(spark, sf):
     """AI-REML with a kinship of families: variance components, correction and residual sums."""
     rows, k = _mixed_input(spark, sf)
-    fit, resid = nullmodel.fit_reml(rows, [k], ["n_orders"])
+    fit, resid = mixed.fit_reml(rows, [k], ["n_orders"])
     total = resid.agg(F.count("*").alias("n"), F.sum(F.col("resid") * F.col("resid")).alias("ss"))
     values = [F.lit(float(x)) for x in (*fit.tau, fit.c1, fit.c2)]
     return total.select("n", r("ss", 2).alias("ss"), *[r(v, 4).alias(a) for v, a in zip(values, ("tau_residual", "tau_kinship", "c1", "c2"))])

@@ -41,3 +41,23 @@ def logistic(data: str, k: int, steps: int = 9) -> str:
 def two_sided(t: str, points: int = 4000) -> str:
     """Two-sided normal tail of a column: the mean of exp(-t^2 / (2 sin^2 a)) over angles in (0, pi/2)."""
     return f"list_avg([exp(-{t} * {t} / (2 * sin((k + 0.5) * pi() / {2 * points}) ** 2)) for k in range({points})])"
+
+
+def pql_families(rows: str, tau: float, steps: int) -> str:
+    """CTEs of a binary mixed model over ``rows`` (sample_id, f, x, y) at kinship component tau, the kinship being 1/2 I + 1/2 J in a family f.
+
+    The covariance of a family is diagonal plus rank one, so its inverse is a closed form. The
+    last CTE is ``pql`` (sample_id, f, x, y, eta), after ``steps`` renewals of the working response.
+    """
+    h = tau / 2
+    work = "SELECT *, 1 / (1 / w + {h}) AS d FROM (SELECT *, eta + (y - mu) / w AS v FROM (SELECT *, mu * (1 - mu) AS w FROM (SELECT *, 1 / (1 + exp(-eta)) AS mu FROM {t})))"
+    out = [f"pql0 AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS eta FROM {rows})"]
+    for i in range(steps):
+        out.append(f"w{i} AS MATERIALIZED ({work.format(h=h, t=f'pql{i}')})")
+        out.append(f"f{i} AS MATERIALIZED (SELECT f, {h} / (1 + {h} * sum(d)) AS g, sum(d) AS sd, sum(d * x) AS sx, sum(d * v) AS sv, sum(d * x * x) AS sxx, sum(d * x * v) AS sxv FROM w{i} GROUP BY f)")
+        out.append(f"s{i} AS MATERIALIZED (SELECT sum(sd - g * sd * sd) AS a11, sum(sx - g * sd * sx) AS a1x, sum(sxx - g * sx * sx) AS axx, sum(sv - g * sd * sv) AS b1, sum(sxv - g * sx * sv) AS bx FROM f{i})")
+        out.append(f"c{i} AS MATERIALIZED (SELECT *, (b1 * axx - bx * a1x) / (a11 * axx - a1x * a1x) AS k0, (bx * a11 - b1 * a1x) / (a11 * axx - a1x * a1x) AS k1 FROM s{i})")
+        out.append(f"pql{i + 1} AS MATERIALIZED (SELECT sample_id, w{i}.f AS f, x, y, v - d * ((v - k0 - k1 * x) - g * (sv - k0 * sd - k1 * sx)) / w AS eta FROM w{i} JOIN f{i} USING (f), c{i})")
+    out.append(f"pql AS MATERIALIZED ({work.format(h=h, t=f'pql{steps}')})")
+    out.append(f"pqlf AS MATERIALIZED (SELECT f, {h} / (1 + {h} * sum(d)) AS g, sum(d) AS sd, sum(d * x) AS sx, sum(d * x * x) AS sxx FROM pql GROUP BY f)")
+    return ",\n".join(out)

@@ -7,12 +7,13 @@ from dataclasses import dataclass
 from pathlib import PurePosixPath
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.align import binary_traits, kinship_matrix, kinship_pairs, with_row_index
+from ..operators.align import binary_traits, kinship_matrix, kinship_pairs, repeated_measure_kernel, with_row_index
 from ..operators.assoc import RepeatedProjector, Traits, associate
-from ..operators.nullmodel import Fit, correct_traits, fit_gaussian, fit_logistic_traits, fit_reml, fit_traits, gram
+from ..operators.mixed import Stacks, Trait, fit_mixed, with_slopes
+from ..operators.nullmodel import Fit, correct_traits, fit_logistic_traits, fit_traits, gram
 from ..operators.shared import materialise
 
 
@@ -31,52 +32,71 @@ class StudyOptions:
             raise ValueError("variance is sample or population")
 
 
-def fit_null(cohort: DataFrame, phenotypes: DataFrame, covariates: list[str], kinship: DataFrame | None = None, diagonal: float = 1.0) -> tuple[DataFrame, dict[str, float], list[Fit]]:
-    """(sample_id, pheno, resid), c2 by trait and the fits, for samples with one row each.
+def _several_rows(df: DataFrame, keys: list[str]) -> bool:
+    return not df.groupBy(*keys).count().filter("count > 1").isEmpty()
+
+
+def fit_null(cohort: DataFrame, phenotypes: DataFrame, covariates: list[str], kinship: DataFrame | None = None, diagonal: float = 1.0, slope: str | None = None) -> tuple[DataFrame, dict[str, float], list[Fit]]:
+    """(sample_id, pheno, resid), c2 by trait and the fits.
 
     cohort: (sample_id, covariates...), complete. Every trait has its own samples; its family
-    follows from its values. With kinship (id1, id2, edge_idx, value) a Gaussian trait gets a
-    mixed model whose matrix is ``diagonal`` on every row plus the listed entries; a binary
-    trait is an error then. Repeated samples (longitudinal files) are an error.
+    follows from its values. With kinship (id1, id2, edge_idx, value), or with several rows a
+    sample, every trait gets a mixed model: the kinship matrix is ``diagonal`` on every sample
+    plus the listed entries, and samples with several rows add a kernel of ones over the rows of
+    a sample. The k-th row of a sample in the cohort belongs to its k-th value of a trait, in the
+    order of the column ``order`` that both tables then need. ``slope`` names the covariate whose
+    coefficient varies as the kernels do. Fits that don't converge say so; their last step counts.
     """
-    repeated = cohort.join(phenotypes.select("sample_id", "pheno"), "sample_id").groupBy("sample_id", "pheno").count().filter("count > 1")
-    if not repeated.isEmpty():
-        raise ValueError("a sample has several rows: null models for repeated samples are left out")
-    n_all = cohort.count()
-    if kinship is not None:
-        cohort = materialise(with_row_index(cohort, ["sample_id"]), "cohort")
-        index = cohort.select("sample_id", "row_idx")
-        matrix = materialise(kinship_matrix(kinship_pairs(kinship, index), index, diagonal), "kinship")
+    repeated = _several_rows(cohort, ["sample_id"]) or _several_rows(phenotypes, ["sample_id", "pheno"])
+    if repeated and not ("order" in cohort.columns and "order" in phenotypes.columns):
+        raise ValueError("a sample has several rows: both tables need a column order")
+    if slope is not None and slope not in covariates:
+        raise ValueError(f"the random slope {slope} must be one of the covariates")
+    if slope is not None and kinship is None and not repeated:
+        raise ValueError("a random slope needs a kinship or several rows a sample")
     kinds = {r["pheno"]: r["family"] for r in binary_traits(phenotypes).orderBy("pheno").collect()}
-    for pheno, kind in kinds.items():
-        if kind == "constant":
-            raise ValueError(f"{pheno} is constant")
-        if kind == "binomial" and kinship is not None:
-            raise ValueError(f"{pheno} is binary: mixed models for binary traits are left out")
-    if kinship is None:
-        # all traits at once: the number of jobs doesn't follow the number of traits
-        rows = materialise(cohort.join(phenotypes.filter("y is not null").select("sample_id", "pheno", "y"), "sample_id"), "traits")
-        found = fit_traits(rows, covariates)
-        if lost := [p for p in kinds if p not in found]:
-            raise ValueError(f"{lost[0]}: no sample of the cohort has a value")
-        found |= fit_logistic_traits(rows, covariates, {p: f for p, f in found.items() if kinds[p] == "binomial"})
-        fits = [found[p] for p in kinds]
-        out, c2 = correct_traits(rows, fits, covariates, n_all)
+    if constant := [p for p, kind in kinds.items() if kind == "constant"]:
+        raise ValueError(f"{constant[0]} is constant")
+    mixed = repeated or kinship is not None
+    if mixed:
+        cohort = materialise(with_row_index(cohort, ["sample_id", *(["order"] if repeated else [])]), "cohort")
+    keys = ["sample_id", "occurrence"] if repeated else ["sample_id"]
+    if repeated:
+        number = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("order"))
+        cohort = cohort.withColumn("occurrence", number("sample_id"))
+        phenotypes = phenotypes.withColumn("occurrence", number("sample_id", "pheno"))
+    # all traits at once: the number of jobs doesn't follow the number of traits
+    rows = materialise(cohort.join(phenotypes.filter("y is not null").select(*keys, "pheno", "y"), keys), "traits")
+    found = fit_traits(rows, covariates)
+    if lost := [p for p in kinds if p not in found]:
+        raise ValueError(f"{lost[0]}: no sample of the cohort has a value")
+    found |= fit_logistic_traits(rows, covariates, {p: f for p, f in found.items() if kinds[p] == "binomial"})
+    fits = [found[p] for p in kinds]
+    if not mixed:
+        out, c2 = correct_traits(rows, fits, covariates, cohort.count())
         return out, {p: c2[p] for p in kinds}, fits
-    fits, c2, out = [], {}, None
-    for pheno in kinds:
-        y = phenotypes.filter(F.col("pheno") == pheno).select("sample_id", "y")
-        # samples without the trait stay: the correction's trace runs over the whole cohort
-        rows = cohort.join(y, "sample_id", "left")
-        names = fit_gaussian(rows, covariates, pheno=pheno).names
-        mixed, by_row = fit_reml(rows, [matrix], names[1:])
-        if not mixed.converged:
-            raise ValueError(f"{pheno}: the mixed model doesn't converge")
-        fits.append(Fit(pheno, names, mixed.coef, mixed.cov, float(mixed.tau[0]), int(rows.filter("y is not null").count())))
-        resid = by_row.join(index, "row_idx").select("sample_id", F.lit(pheno).alias("pheno"), "resid")
-        c2[pheno] = mixed.c2
-        out = resid if out is None else out.unionByName(resid)
-    return out, c2, fits
+    index = cohort.select("sample_id", "row_idx")
+    kernels = [kinship_matrix(kinship_pairs(kinship, index), index, diagonal, repeated)] if kinship is not None else []
+    kernels = [materialise(k, "kernel") for k in [*kernels, *([repeated_measure_kernel(index)] if repeated else [])]]
+    triples = []
+    if slope is not None:
+        kernels, triples = with_slopes(kernels, cohort.select("row_idx", F.col(f"`{slope}`").alias("s")))
+        kernels = [materialise(k, "kernel") for k in kernels]
+    values = phenotypes.filter("y is not null").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pheno", "y"))).alias("m"))
+    y = F.array(*[F.coalesce(F.try_element_at("m", F.lit(p)), F.lit(float("nan"))) for p in kinds])
+    # rows without any trait stay: the correction's trace runs over the whole cohort
+    wide = cohort.join(values, keys, "left").select("row_idx", F.min("row_idx").over(Window.partitionBy("sample_id")).alias("subject"), y.alias("y"), *covariates)
+    every = ["intercept", *covariates]
+    traits = []
+    for i, f in enumerate(fits):
+        columns = [every.index(c) for c in f.names]
+        start = np.zeros(len(every))
+        start[columns] = f.coef
+        traits.append(Trait(i, columns, f.family == "binomial", start))
+    fitted, by_row = fit_mixed(Stacks(wide, kernels, covariates), traits, triples)
+    done = [Fit(f.pheno, f.names, m.coef[t.columns], m.cov, float(m.tau[0]), m.n, f.family, f.converged and m.converged, tuple(m.tau.tolist())) for f, m, t in zip(fits, fitted, traits)]
+    resid = by_row.join(index, "row_idx").select("sample_id", F.element_at(F.array(*[F.lit(p) for p in kinds]), F.col("trait") + 1).alias("pheno"), "resid")
+    return resid, {p: m.c2 for p, m in zip(kinds, fitted)}, done
 
 
 def traits_of(samples: DataFrame, residuals: DataFrame, c2: dict[str, float], covariates: list[str]) -> Traits:
@@ -98,9 +118,9 @@ def repeated_setup(rows: DataFrame, covariates: list[str]) -> tuple[DataFrame, R
     """Per-sample covariate sums and the projector for several rows a sample (sample_id, covariates...)."""
     d = rows.withColumn("intercept", F.lit(1.0))
     names = ["intercept", *covariates]
-    sums = d.groupBy("sample_id").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in names])
+    sums = d.groupBy(*[c for c in ("sample_idx", "sample_id") if c in rows.columns]).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in names])
     g = gram(d, names)
-    local = sums.orderBy("sample_id").toArrow()
+    local = sums.orderBy(sums.columns[0]).toArrow()
     s = np.stack([local[c].to_numpy().astype(float) for c in names], axis=1)
     return sums, RepeatedProjector(s, g, local["n"].to_numpy().astype(float))
 

@@ -57,9 +57,15 @@ def kinship_pairs(edges: DataFrame, cohort: DataFrame) -> DataFrame:
     return first.select("i", "j", F.col("m.value").alias("value"))
 
 
-def kinship_matrix(pairs: DataFrame, cohort: DataFrame, diagonal: float = 1.0) -> DataFrame:
-    """Both triangles of the sparse matrix: ``diagonal`` on every row plus the file's entries."""
-    ones = cohort.select(F.col("row_idx").alias("i"), F.col("row_idx").alias("j"), F.lit(float(diagonal)).alias("value"))
+def kinship_matrix(pairs: DataFrame, cohort: DataFrame, diagonal: float = 1.0, repeated: bool = False) -> DataFrame:
+    """Both triangles of the sparse matrix: ``diagonal`` on every row plus the file's entries.
+
+    repeated: samples may have several rows; all pairs of a sample's rows get ``diagonal``.
+    """
+    if repeated:
+        ones = repeated_measure_kernel(cohort).withColumn("value", F.lit(float(diagonal)))
+    else:
+        ones = cohort.select(F.col("row_idx").alias("i"), F.col("row_idx").alias("j"), F.lit(float(diagonal)).alias("value"))
     mirror = pairs.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "value")
     every = reduce(DataFrame.unionByName, [pairs, mirror, ones])
     return every.groupBy("i", "j").agg(F.sum("value").alias("value"))

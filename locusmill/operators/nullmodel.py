@@ -1,23 +1,19 @@
-"""Null models: least squares, logistic and mixed models, and the residual correction.
+"""Null models without random effects: least squares and logistic, and the residual correction.
 
-Samples stay in Spark: Gram matrices, scores, traces and average-information entries are sums
-over rows or over families. Only systems of the size of the design (p) or of the variance
-components (q) are solved on the driver. A covariance matrix is block-diagonal over the
-connected components of the kinship, so families are inverted one by one in their tasks.
+Samples stay in Spark: Gram matrices, scores and weights are sums over rows. Only systems of the
+size of the design are solved on the driver. Mixed models are in ``mixed``.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_1_tail
-from .components import connected_components
-from .shared import materialise
 
 
 def gram(df: DataFrame, columns: list[str], weight: str | None = None) -> np.ndarray:
@@ -63,6 +59,7 @@ class Fit:
     n: int
     family: str = "gaussian"
     converged: bool = True
+    tau: tuple[float, ...] = ()  # variance components of a mixed model: residual, then one for each kernel
 
     def report(self) -> list[tuple]:
         """(pheno, name, estimate, se, z, p) of each coefficient."""
@@ -117,11 +114,15 @@ def with_predictor(rows: DataFrame, fits: list[Fit], covariates: list[str], scal
 
 def _weights(rows: DataFrame) -> DataFrame:
     """Means and binomial weights beside the predictor."""
-    return rows.withColumn("_mu", 1 / (1 + F.exp(-F.col("_eta")))).withColumn("_w", F.col("_mu") * (1 - F.col("_mu")))
+    return rows.withColumn("_mu", 1 / (1 + F.exp(-F.col("_eta")))).withColumn("_w", F.greatest(F.col("_mu") * (1 - F.col("_mu")), F.lit(1e-10)))
 
 
-def fit_logistic_traits(rows: DataFrame, covariates: list[str], starts: dict[str, Fit], tol: float = 1e-5, most: int = 500) -> dict[str, Fit]:
-    """Iteratively reweighted least squares from least squares starts; one aggregation a step for all traits still moving."""
+def fit_logistic_traits(rows: DataFrame, covariates: list[str], starts: dict[str, Fit], tol: float = 1e-5, most: int = 50) -> dict[str, Fit]:
+    """Iteratively reweighted least squares from least squares starts; one aggregation a step for all traits still moving.
+
+    Weights don't fall under 1e-10, so a separated trait, whose coefficients grow without end,
+    comes out as not converged and the others finish.
+    """
     rows, every = design(rows.dropna(subset=["y", *covariates]), covariates)
     now, done = dict(starts), {}
     for _ in range(most):
@@ -138,9 +139,7 @@ def fit_logistic_traits(rows: DataFrame, covariates: list[str], starts: dict[str
             now[pheno] = fit
             if np.abs(fit.coef - old.coef).max() <= tol:
                 done[pheno] = now.pop(pheno)
-    if now:
-        raise ValueError(f"{sorted(now)[0]}: the logistic fit doesn't converge")
-    return done
+    return done | {pheno: replace(fit, converged=False) for pheno, fit in now.items()}
 
 
 def correct_traits(rows: DataFrame, fits: list[Fit], covariates: list[str], n_all: int) -> tuple[DataFrame, dict[str, float]]:
@@ -183,236 +182,3 @@ def fit_logistic(rows: DataFrame, covariates: list[str], y: str = "y", pheno: st
     """The logistic model of one trait."""
     start = fit_gaussian(rows, covariates, y, pheno)
     return fit_logistic_traits(_one(rows, y, pheno), covariates, {pheno: start})[pheno]
-
-
-def families(rows: DataFrame, matrix: DataFrame) -> DataFrame:
-    """rows (row_idx, ...) with ``family``: the connected component of the kinship they are in."""
-    edges = matrix.filter("i < j")
-    labels = connected_components(edges, "i", "j").withColumnRenamed("node", "row_idx").withColumnRenamed("component", "family")
-    return rows.join(labels, "row_idx", "left").withColumn("family", F.coalesce("family", "row_idx"))
-
-
-def _blocks(rows: DataFrame, kernels: list[DataFrame], covariates: list[str], y: str) -> DataFrame:
-    """One row a family: index, y, design and the kernels' entries by place in the family."""
-    w = Window.partitionBy("family").orderBy("row_idx")
-    placed = materialise(families(rows, reduce(DataFrame.unionByName, kernels)).withColumn("place", F.row_number().over(w) - 1), "placed")
-    record = F.struct("place", "row_idx", F.col(y).alias("y"), F.array(F.lit(1.0), *[F.col(c).cast("double") for c in covariates]).alias("x"))
-    out = placed.groupBy("family").agg(F.sort_array(F.collect_list(record)).alias("r"))
-    for k, kernel in enumerate(kernels):
-        a = placed.select(F.col("row_idx").alias("i"), "family", F.col("place").alias("a"))
-        b = placed.select(F.col("row_idx").alias("j"), F.col("place").alias("b"))
-        entries = kernel.join(a, "i").join(b, "j").groupBy("family").agg(F.collect_list(F.struct("a", "b", "value")).alias(f"k{k}"))
-        out = out.join(entries, "family", "left")
-    return materialise(out, "families")
-
-
-_STACKS = "size int, families int, rows long, trace double, ids binary, y binary, x binary, k binary"
-
-
-def _stacks(rows: DataFrame, kernels: list[DataFrame], covariates: list[str], y: str, most_bytes: int = 4 << 20) -> DataFrame:
-    """Families with equally many observed rows, packed into stacked arrays: one written row a stack.
-
-    Only observed rows are kept; ``rows`` and ``trace`` count all rows and the first kernel's
-    trace over them. A stack holds ``most_bytes`` of kernels, or one family.
-    """
-    q, p = len(kernels), 1 + len(covariates)
-
-    def run(batches):
-        import pyarrow as pa
-
-        held: dict[int, list] = {}
-        size_of = lambda m: 8 * m * (q * m + p + 2) + 64
-
-        def stack(m):
-            f = held.pop(m)
-            cells = [np.concatenate([t[i].ravel() for t in f]).tobytes() for i in (2, 3, 4)]
-            k = np.stack([t[5] for t in f], axis=1).tobytes()
-            return pa.RecordBatch.from_pylist([dict(size=m, families=len(f), rows=sum(t[0] for t in f), trace=sum(t[1] for t in f), ids=cells[0], y=cells[1], x=cells[2], k=k)], schema=schema)
-
-        schema = pa.schema([("size", pa.int32()), ("families", pa.int32()), ("rows", pa.int64()), ("trace", pa.float64()), *[(c, pa.binary()) for c in ("ids", "y", "x", "k")]])
-        bytes_held = 0
-        for batch in batches:
-            members = batch.column("r")
-            at = members.offsets.to_numpy() - members.offsets[0].as_py()
-            _, ids, v, x = members.flatten().flatten()
-            ids, v, x = ids.to_numpy(), v.to_numpy(zero_copy_only=False).astype(float), x.flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
-            entries = []
-            for k in range(q):
-                column = batch.column(f"k{k}")
-                a, b, value = (c.to_numpy(zero_copy_only=False) for c in column.flatten().flatten())
-                entries.append((column.offsets.to_numpy() - column.offsets[0].as_py(), a, b, value))
-            for f in range(batch.num_rows):
-                own = slice(at[f], at[f + 1])
-                seen = ~np.isnan(v[own])
-                m = int(seen.sum())
-                full = np.zeros((q, len(seen), len(seen)))
-                for k, (o, a, b, value) in enumerate(entries):
-                    e = slice(o[f], o[f + 1])
-                    full[k, a[e], b[e]] = value[e]
-                held.setdefault(m, []).append((len(seen), float(np.trace(full[0])), ids[own][seen], v[own][seen], x[own][seen], full[:, seen][:, :, seen]))
-                bytes_held += size_of(m)
-                if len(held[m]) * size_of(m) >= most_bytes or bytes_held >= 8 * most_bytes:
-                    for m in [m] if bytes_held < 8 * most_bytes else list(held):
-                        bytes_held -= len(held[m]) * size_of(m)
-                        yield stack(m)
-        for m in list(held):
-            yield stack(m)
-
-    return materialise(_blocks(rows, kernels, covariates, y).mapInArrow(run, _STACKS), "stacks")
-
-
-def _arrays(batch, p: int, q: int):
-    """(ids, y, x, kernels) of each stack of a batch, families along the first axis (kernels: the second)."""
-    for r in batch.to_pylist():
-        f, m = r["families"], r["size"]
-        if m:
-            cell = lambda c, *shape: np.frombuffer(r[c]).reshape(shape)
-            yield np.frombuffer(r["ids"], np.int64), cell("y", f, m), cell("x", f, m, p), cell("k", q, f, m, m)
-
-
-def _sigma_inverse(tau: np.ndarray, k: np.ndarray) -> np.ndarray:
-    return np.linalg.inv(tau[0] * np.eye(k.shape[-1]) + np.tensordot(tau[1:], k, 1))
-
-
-@dataclass
-class MixedFit:
-    tau: np.ndarray  # residual, then one for each kernel
-    coef: np.ndarray
-    cov: np.ndarray
-    c1: float
-    c2: float
-    converged: bool
-    steps: int
-
-
-class _Families:
-    """Sums over packed families that a mixed model needs.
-
-    With Z = [X, y], S the inverse covariance and K_0 = I, everything of an average-information
-    step follows from Z'SZ, Z'SK_iSZ, Z'SK_iSK_jSZ and tr(SK_i), so a step is one pass.
-    """
-
-    def __init__(self, rows: DataFrame, kernels: list[DataFrame], covariates: list[str], y: str):
-        self.p, self.q = 1 + len(covariates), len(kernels)
-        self.stacks = _stacks(rows.dropna(subset=covariates) if covariates else rows, kernels, covariates, y)
-        total = self.stacks.agg(F.sum("rows"), F.sum("trace")).first()
-        self.n_all, self.trace_all = total[0] or 0, total[1] or 0.0
-        first = self.sums(lambda y, x, k: np.concatenate([[y.size, y.sum(), (y * y).sum()], np.einsum("kfmm->k", k)]), 3 + self.q)
-        self.n = int(first[0])
-        if self.n <= self.p:
-            raise ValueError(f"{self.n} rows for {self.p} columns")
-        self.mean = first[1] / self.n
-        self.variance = (first[2] - first[1] ** 2 / self.n) / (self.n - 1)
-        self.diagonal = first[3:] / self.n
-
-    def sums(self, fn, width: int) -> np.ndarray:
-        p, q = self.p, self.q
-
-        def run(batches):
-            import pyarrow as pa
-
-            total = np.zeros(width)
-            for b in batches:
-                for _, y, x, k in _arrays(b, p, q):
-                    total += fn(y, x, k)
-            yield pa.record_batch([pa.array([total.tolist()], pa.list_(pa.float64()))], ["v"])
-
-        row = self.stacks.mapInArrow(run, "v array<double>").agg(*[F.sum(F.get("v", F.lit(i))) for i in range(width)]).first()
-        return np.array([v or 0.0 for v in row])
-
-    def information(self, tau: np.ndarray):
-        """Score, average information, tr(PK_i), y'PK_iPy, the coefficients' covariance and the coefficients."""
-        p, kq, mean, z = self.p, self.q + 1, self.mean, (self.p + 1) ** 2
-
-        def fn(y, x, k):
-            design = np.concatenate([x, (y - mean)[..., None]], axis=-1)
-            s = _sigma_inverse(tau, k)
-            sz = s @ design
-            kz = [sz, *[m @ sz for m in k]]
-            skz = [s @ v for v in kz]
-            inner = lambda a, b: np.einsum("fmi,fmj->ij", a, b).ravel()
-            trace = [np.einsum("fmm->", s), *[(s * m).sum() for m in k]]
-            return np.concatenate([trace, inner(design, sz), *[inner(sz, v) for v in kz], *[inner(v, w) for v in kz for w in skz]])
-
-        t = self.sums(fn, kq + z * (1 + kq + kq * kq))
-        trace, m = t[:kq], t[kq:].reshape(-1, p + 1, p + 1)
-        c = np.linalg.inv(m[0, :p, :p])
-        alpha = c @ m[0, :p, p]
-        w = np.append(-alpha, 1.0)
-        a, cross = m[1 : 1 + kq], np.einsum("kij,i,j->k", m[1 + kq :], w, w).reshape(kq, kq)
-        quad, xk = np.einsum("kij,i,j->k", a, w, w), (a @ w)[:, :p]
-        trace_pk = trace - np.array([(c * b[:p, :p]).sum() for b in a])
-        alpha[0] += mean
-        return quad - trace_pk, cross - xk @ c @ xk.T, trace_pk, quad, c, alpha
-
-    def corrected(self, tau: np.ndarray, converged: bool = True, steps: int = 0) -> tuple[MixedFit, DataFrame]:
-        """The fit at tau and (row_idx, resid = c1 Py); c1 takes the first kernel over all rows, with and without y."""
-        p, q = self.p, self.q
-        _, _, trace_pk, quad, c, alpha = self.information(tau)
-        c1 = float(self.trace_all / trace_pk[1])
-
-        def run(batches):
-            import pyarrow as pa
-
-            for b in batches:
-                for ids, y, x, k in _arrays(b, p, q):
-                    py = _sigma_inverse(tau, k) @ (y - x @ alpha)[..., None]
-                    yield pa.record_batch([pa.array(ids), pa.array(c1 * py.ravel())], ["row_idx", "resid"])
-
-        fit = MixedFit(tau, alpha, c, c1, float(c1 * quad[0] / (self.n_all - 1)), converged, steps)
-        return fit, self.stacks.mapInArrow(run, "row_idx long, resid double")
-
-
-def mixed_at(rows: DataFrame, kernels: list[DataFrame], covariates: list[str], tau: list[float], y: str = "y") -> tuple[MixedFit, DataFrame]:
-    """Coefficients, correction and (row_idx, resid) of a Gaussian mixed model at given variance components."""
-    return _Families(rows, kernels, covariates, y).corrected(np.array(tau, float))
-
-
-def fit_reml(rows: DataFrame, kernels: list[DataFrame], covariates: list[str], y: str = "y", tol: float = 1e-5, most: int = 500) -> tuple[MixedFit, DataFrame]:
-    """Average-information REML of a Gaussian mixed model over rows (row_idx, y, covariates...), one row a sample.
-
-    Rows without y count in the correction only, rows without a covariate not at all. Every step
-    is one pass over the packed families. Components at the boundary are fixed at zero and the
-    rest refitted until the set is stable.
-    """
-    known = _Families(rows, kernels, covariates, y)
-    q, n = known.q, known.n
-    fixed = np.zeros(q + 1, bool)
-    steps, converged = 0, False
-    while True:
-        tau = np.where(fixed, 0.0, known.variance / (q + 1) / np.concatenate([[1.0], known.diagonal]))
-        score, *_, alpha = known.information(tau)
-        tau = np.where(fixed, 0.0, np.maximum(0.0, tau + tau**2 * score / n))
-        converged = False
-        for steps in range(1, most + 1):
-            score, ai, _, _, _, new_alpha = known.information(tau)
-            free = np.flatnonzero(~fixed)
-            step = np.zeros(q + 1)
-            step[free] = np.linalg.solve(ai[np.ix_(free, free)], score[free])
-            new = tau + step
-            new[(new < tol) & (tau < tol)] = 0.0
-            while (new < 0).any():
-                step /= 2
-                new = tau + step
-                new[(new < tol) & (tau < tol)] = 0.0
-            new[new < tol] = 0.0
-            change = max(np.max(np.abs(new - tau) / (np.abs(new) + np.abs(tau) + tol)), np.max(np.abs(new_alpha - alpha) / (np.abs(new_alpha) + np.abs(alpha) + tol)))
-            tau, alpha = new, new_alpha
-            if 2 * change < tol:
-                converged = True
-                break
-            if np.abs(tau).max() > tol**-2:
-                break
-        at_edge = (tau < 1.01 * tol) | fixed
-        if (at_edge == fixed).all() or at_edge.all():
-            break
-        fixed = at_edge
-    return known.corrected(tau, converged, steps)
-
-
-def slope_kernels(matrix: DataFrame, slopes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Covariance and variance kernels of a random slope: K (s_i + s_j) and K s_i s_j, from slopes (row_idx, s)."""
-    a = slopes.select(F.col("row_idx").alias("i"), F.col("s").alias("s_i"))
-    b = slopes.select(F.col("row_idx").alias("j"), F.col("s").alias("s_j"))
-    m = matrix.join(a, "i").join(b, "j")
-    return m.select("i", "j", (F.col("value") * (F.col("s_i") + F.col("s_j"))).alias("value")), m.select("i", "j", (F.col("value") * F.col("s_i") * F.col("s_j")).alias("value"))

@@ -3,20 +3,7 @@ import pytest
 from locusmill.jobs import cli, study
 
 
-def test_options_of_left_out_null_models_say_so():
-    with pytest.raises(SystemExit, match="not supported"):
-        cli.main(["--random-slope-name", "x"])
-
-
-def test_a_binary_trait_with_kinship_is_an_error(spark):
-    cohort = spark.createDataFrame([(str(i), float(i * i % 7)) for i in range(12)], "sample_id string, x double")
-    phenotypes = spark.createDataFrame([(str(i), "p", float(i % 2)) for i in range(12)], "sample_id string, pheno string, y double")
-    edges = spark.createDataFrame([("0", "1", 0, 0.5)], "id1 string, id2 string, edge_idx long, value double")
-    with pytest.raises(ValueError, match="binary"):
-        study.fit_null(cohort, phenotypes, ["x"], edges)
-
-
-def test_repeated_samples_are_an_error(spark):
+def test_repeated_samples_need_an_order(spark):
     once, twice = [(str(i), float(i * i % 7)) for i in range(12)], [(str(i % 6), float(i * i % 7)) for i in range(12)]
     for cov, pheno in ((once, twice), (twice, once), (twice, twice)):
         cohort = spark.createDataFrame(cov, "sample_id string, x double")
@@ -38,9 +25,9 @@ def test_a_sample_file_of_another_length_is_an_error(tmp_path):
 
 
 def test_families_follow_every_kernel(spark):
-    from locusmill.operators import nullmodel
+    from locusmill.operators import mixed
 
-    rows = spark.createDataFrame([(i, float(i % 3)) for i in range(6)], "row_idx long, y double")
+    rows = spark.createDataFrame([(i, [float(i % 3)]) for i in range(6)], "row_idx long, y array<double>")
     kernels = [spark.createDataFrame([(i, i, 1.0) for i in range(6)] + [edge], "i long, j long, value double") for edge in ((0, 1, 0.5), (2, 3, 0.5), (1, 4, 0.5))]
-    found = sorted(len(r["r"]) for r in nullmodel._blocks(rows, kernels, [], "y").collect())
+    found = sorted(len(r["r"]) for r in mixed.blocks(rows, kernels, []).collect())
     assert found == [1, 2, 3]

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from locusmill.functions.stats import neg_log10_two_sided
 from locusmill.jobs import cli
 from locusmill.jobs import queries as Q
-from locusmill.operators import align, nullmodel, variants
+from locusmill.operators import align, mixed, nullmodel, variants
 from locusmill.operators.components import connected_components
 from locusmill.sources import genotype
 from locusmill.sources.text import read_corrections, read_delimited, read_include_list
@@ -178,7 +178,7 @@ def test_reml_equals_dense(spark):
     y = x @ [1.0, 0.5] + np.linalg.cholesky(1.2 * k + 0.6 * np.eye(n)) @ rng.normal(size=n)
     rows = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(y, x[:, 1]))], "row_idx long, y double, x double")
     entries = spark.createDataFrame([(int(i), int(j), float(k[i, j])) for i, j in zip(*np.nonzero(k))], "i long, j long, value double")
-    fit, resid = nullmodel.fit_reml(rows, [entries], ["x"])
+    fit, resid = mixed.fit_reml(rows, [entries], ["x"])
     t0, t1 = dense_reml(y, x, k)
     assert fit.converged and np.allclose(fit.tau, [t0, t1], rtol=2e-3)
     s = np.linalg.inv(fit.tau[0] * np.eye(n) + fit.tau[1] * k)
