@@ -48,7 +48,7 @@ class PhraseParams:
     scale: int = 2_000_000
     inside_percent: int = 80  # a phrase goes if a longer one around it has this share of its count
     top: int = 2000
-    bucket_bits: int = 22  # counters for each length of n-grams
+    bucket_bits: int = 24  # counters for each length of n-grams
     shard: int = 1 << 18  # phrases of a trie
 
     @property
@@ -66,7 +66,7 @@ _CLASS[[*b".,;:!?", 10, 11, 12, 13]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD = np.random.default_rng(11_029).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-_FEW_HASHES = 1 << 21
+_FEW_HASHES = 1 << 20
 
 
 @dataclass
@@ -128,8 +128,8 @@ def tally(docs: DataFrame, p: PhraseParams) -> DataFrame:
         words: dict[str, int] = {}
 
         def settle(k: int) -> None:
-            seen = np.bincount(np.concatenate(waiting[k]).astype(np.int64), minlength=1 << p.bucket_bits)
-            counters[k] = np.minimum(counters[k] + np.minimum(seen, p.min_count).astype(p.counter), p.counter.type(p.min_count))
+            at, seen = np.unique(np.concatenate(waiting[k]), return_counts=True)
+            counters[k][at] = np.minimum(counters[k][at] + np.minimum(seen, p.min_count).astype(p.counter), p.counter.type(p.min_count))
             waiting[k].clear()
 
         for batch in batches:
@@ -139,14 +139,12 @@ def tally(docs: DataFrame, p: PhraseParams) -> DataFrame:
                     waiting[k - 1].append((h[t.inside(k)[: len(h)]] >> np.uint64(64 - p.bucket_bits)).astype(np.uint32))
                     if sum(map(len, waiting[k - 1])) >= _FEW_HASHES:
                         settle(k - 1)
-        found = []
         for k in range(p.most_words):
             if waiting[k]:
                 settle(k)
-            found += slices_of(counters[k], k * per_level, p.slice_cells)
-        cells = slice_batch(found)
-        none = pa.nulls(len(found))
-        yield pa.RecordBatch.from_arrays([*cells.columns, none.cast(pa.string()), none.cast(pa.int64())], ["slice", "cells", "lang", "n"])
+            cells = slice_batch(list(slices_of(counters[k], k * per_level, p.slice_cells)))
+            none = pa.nulls(cells.num_rows)
+            yield pa.RecordBatch.from_arrays([*cells.columns, none.cast(pa.string()), none.cast(pa.int64())], ["slice", "cells", "lang", "n"])
         none = pa.nulls(len(words))
         yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.binary()), pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["slice", "cells", "lang", "n"])
 
@@ -208,10 +206,16 @@ def candidates(docs: DataFrame, full: list[bytes], p: PhraseParams) -> DataFrame
 _FREE = -2
 
 
+def digits(ids: np.ndarray, side: int) -> np.ndarray:
+    """Both digits of each word number."""
+    return np.stack([ids // side + 1, ids % side + 1], axis=-1)
+
+
 def build_trie(phrases: pa.Array) -> dict:
     """A double array over the numbers of the phrases' words, and each state's phrase.
 
-    State 0 is the root. From state s, word w (from 1 on) leads to base[s] + w, if check there is s.
+    State 0 is the root. From state s, digit d (from 1 on) leads to base[s] + d, if check there is
+    s. A word is two digits of base ``side``, so rows are narrow and pack well.
     """
     parts = pc.split_pattern(phrases.cast(pa.string()), " ")
     flat = parts.flatten().dictionary_encode()
@@ -220,7 +224,8 @@ def build_trie(phrases: pa.Array) -> dict:
     order = np.argsort(-np.bincount(ids, minlength=len(flat.dictionary)), kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(1, len(order) + 1)
-    ids, words, width = rank[ids], flat.dictionary.take(pa.array(order)), len(order) + 1
+    words, side = flat.dictionary.take(pa.array(order)), int(np.sqrt(len(order))) + 1
+    ids, offsets, width = digits(rank[ids], side).ravel(), 2 * offsets, side + 2
     check = np.full(2 * width, _FREE, np.int64)
     check[0] = -1
     base = np.zeros(len(check), np.int64)
@@ -234,6 +239,7 @@ def build_trie(phrases: pa.Array) -> dict:
 
     depth = np.diff(offsets)
     state = np.zeros(len(depth), np.int64)
+    rng = np.random.default_rng(0)
     for level in range(int(depth.max(initial=0))):
         rows = np.flatnonzero(depth > level)
         edges = np.unique(state[rows] * width + ids[offsets[rows] + level])
@@ -242,14 +248,15 @@ def build_trie(phrases: pa.Array) -> dict:
         if level == 0:
             check[child] = 0
         else:
-            for i in np.argsort(-degree, kind="stable"):
+            for turn, i in enumerate(np.argsort(-degree, kind="stable")):
                 if degree[i] == 1:
                     break
                 c = child[first[i] : first[i] + degree[i]]
                 room(end + width)
-                free = np.flatnonzero(check[:end] == _FREE)
-                # rows are displaced to a sample of free slots, spread over the array, then to its end
-                tries = (free[np.linspace(0, len(free) - 1, min(len(free), 128)).astype(np.int64)] if len(free) else free) - c[0]
+                if turn % 512 == 0:
+                    free = np.flatnonzero(check[:end] == _FREE)
+                # rows are displaced to a sample of the free slots, then to the array's end
+                tries = free[rng.integers(0, max(len(free), 1), min(len(free), 64))] - c[0]
                 tries = tries[tries + c[0] > 0]
                 fits = np.flatnonzero((check[np.clip(tries[:, None] + c, 0, len(check) - 1)] == _FREE).all(1) & (tries + c[-1] < len(check))) if len(tries) else tries
                 b = int(tries[fits[0]]) if len(fits) else end - int(c[0])
@@ -264,10 +271,10 @@ def build_trie(phrases: pa.Array) -> dict:
         state[rows] = base[state[rows]] + ids[offsets[rows] + level]
     accept = np.full(end, -1, np.int32)
     accept[state] = np.arange(len(state))
-    return {"words": words, "base": base[:end].astype(np.int32), "check": check[:end].astype(np.int32), "accept": accept}
+    return {"words": words, "side": side, "base": base[:end].astype(np.int32), "check": check[:end].astype(np.int32), "accept": accept}
 
 
-_TRIE = "lang string, shard long, first long, words array<string>, base binary, check binary, accept binary"
+_TRIE = "lang string, shard long, first long, side int, words array<string>, base binary, check binary, accept binary"
 
 
 def tries(numbered: DataFrame) -> DataFrame:
@@ -278,21 +285,22 @@ def tries(numbered: DataFrame) -> DataFrame:
         t = build_trie(table["phrase"].combine_chunks())
         cell = lambda a: pa.array([a.tobytes()], pa.binary())
         words = pa.ListArray.from_arrays(pa.array([0, len(t["words"])], pa.int32()), t["words"])
-        return pa.table([table["lang"].slice(0, 1), table["shard"].slice(0, 1), table["row_idx"].slice(0, 1), words, cell(t["base"]), cell(t["check"]), cell(t["accept"])], names=[x.split()[0] for x in _TRIE.split(", ")])
+        return pa.table([table["lang"].slice(0, 1), table["shard"].slice(0, 1), table["row_idx"].slice(0, 1), pa.array([t["side"]], pa.int32()), words, cell(t["base"]), cell(t["check"]), cell(t["accept"])], names=[x.split()[0] for x in _TRIE.split(", ")])
 
     return materialise(numbered.groupBy("shard", "lang").applyInArrow(build, _TRIE), "tries")
 
 
-def walk(base: np.ndarray, check: np.ndarray, ids: np.ndarray, piece: np.ndarray, counts: np.ndarray) -> None:
+def walk(base: np.ndarray, check: np.ndarray, side: int, ids: np.ndarray, piece: np.ndarray, counts: np.ndarray) -> None:
     """Add to counts the visits of every state, from all places at once, a word further at a time. ids: 0 is no word of the trie."""
     at = np.flatnonzero(ids)
     state = np.zeros(len(at), np.int64)
     depth = 0
     while len(at):
-        to = base[state] + ids[at + depth]
-        to = np.where((to > 0) & (to < len(check)), to, 0)
-        ok = check[to] == state
-        at, state = at[ok], to[ok]
+        for i in range(2):
+            to = base[state] + digits(ids[at + depth], side)[:, i]
+            to = np.where((to > 0) & (to < len(check)), to, 0)
+            ok = check[to] == state
+            at, state = at[ok], to[ok]
         counts += np.bincount(state, minlength=len(counts))
         depth += 1
         more = at + depth < len(ids)
@@ -303,20 +311,20 @@ def walk(base: np.ndarray, check: np.ndarray, ids: np.ndarray, piece: np.ndarray
 
 def count_shard(docs: DataFrame, shard: list) -> DataFrame:
     """(row_idx, f) of every task for the phrases of one shard's tries."""
-    shared = docs.sparkSession.sparkContext.broadcast([(r["lang"], r["first"], r["words"], bytes(r["base"]), bytes(r["check"]), bytes(r["accept"])) for r in shard])
+    shared = docs.sparkSession.sparkContext.broadcast([(r["lang"], r["first"], r["side"], r["words"], bytes(r["base"]), bytes(r["check"]), bytes(r["accept"])) for r in shard])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {}
-        for lang, first, words, base, check, accept in shared.value:
+        for lang, first, side, words, base, check, accept in shared.value:
             array = lambda b: np.frombuffer(b, np.int32)
-            known[lang] = first, pa.array(words, pa.large_string()), array(base).astype(np.int64), array(check), array(accept), np.zeros(len(accept) // 4, np.int64)
+            known[lang] = first, side, pa.array(words, pa.large_string()), array(base).astype(np.int64), array(check), array(accept), np.zeros(len(accept) // 4, np.int64)
         for batch in batches:
             for t in tokens_of(batch):
                 if t.lang in known:
-                    _, words, base, check, _, counts = known[t.lang]
+                    _, side, words, base, check, _, counts = known[t.lang]
                     number = pc.fill_null(pc.index_in(t.words, value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-                    walk(base, check, number[t.ids], t.piece, counts)
-        for first, _, _, _, accept, counts in known.values():
+                    walk(base, check, side, number[t.ids], t.piece, counts)
+        for first, _, _, _, _, accept, counts in known.values():
             at = np.flatnonzero((counts > 0) & (accept >= 0))
             yield pa.RecordBatch.from_arrays([pa.array(accept[at].astype(np.int64) + first), pa.array(counts[at])], ["row_idx", "f"])
 
