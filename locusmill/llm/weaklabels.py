@@ -5,11 +5,11 @@ Spark counts the vote patterns of all documents; there are at most 3**9 of them
 the input, so expectation-maximisation of the class share and of every labeller's vote
 probabilities in each class runs on exact counts of the whole corpus. The posterior of a
 pattern labels its documents, and posterior labels train a logistic scorer over hashed
-letter trigrams. Training takes the ``train_rows`` documents of smallest doc_id hash, a
+letter trigrams. Training takes the ``train_rows`` documents of smallest hash of id and text, a
 fixed bound; counting, posteriors and scores cover every document.
 
 Defined cases: null and empty texts have no trigram and score by the posterior alone; rows
-with a null doc_id are judged too (their hash is that of null); repeated rows are judged
+with a null doc_id are judged too (their hash is that of the text); repeated rows are judged
 alike and each count; with no documents there is no model and the result is empty; other
 columns are left alone.
 """
@@ -212,8 +212,9 @@ def classify(docs: DataFrame, p: WeakParams = WeakParams()) -> DataFrame:
 
     # the bounded training sample
     share = min(1.0, 1.3 * p.train_rows / max(counts.sum(), 1))
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    picked = docs.select("doc_id", F.col("text").cast("string")).withColumn("h", h).filter(F.col("h") < int(share * (1 << 30)))
+    # a row's place in it follows from its id and text together; rows equal in both count once, so no id and no copy fills it
+    picked = docs.select(F.col("text").cast("string"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("h"))
+    picked = picked.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["h"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs = np.frombuffer(b"01-", np.uint8)
