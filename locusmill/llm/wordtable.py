@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding through a table of distinct words (operator 12).
 
 Texts are split into words in the tasks. A block of texts keeps each of its words once and a
-number for every place; the blocks' words meet in one table, in which each distinct word of the
-corpus is encoded once and its ids are turned to bytes by a join with the vocabulary. That table
-is joined back to the blocks' words, and ids and bytes are laid out by the numbers of the places.
-A frequent word comes once a block, never once an occurrence.
+number for every place. The blocks' words meet by one shuffle on the word, packed, where each
+distinct word of the corpus is encoded once; its ids go back to the blocks that hold it and are laid out
+by the numbers of the places. Ids are decoded through the vocabulary's table of pieces by id. A
+frequent word is shuffled once a block, never once an occurrence.
 
 Output: the other columns and ``bpe``, a struct of n_tokens, ids and decoded.
 
@@ -22,6 +22,8 @@ otherwise, added tokens that strip) is an error.
 from __future__ import annotations
 
 import json
+import os
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
@@ -30,14 +32,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 from tokenizers import Tokenizer
 
 from ..operators.shared import materialise
+from .textbatch import span_hashes, text_column
 
-BLOCK_BYTES = 4 << 20
+BLOCK_CHARS = 8 << 20
+PART_TOKENS = 1 << 18
+TABLE_WORDS = 1 << 19
 #: The pattern of byte-level BPE: fixed, as words must be the library's.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CLASSES = [("A", regex.compile(r"\p{L}")), ("1", regex.compile(r"\p{N}")), ("#", regex.compile(r"[^\s\p{L}\p{N}]"))]
@@ -99,58 +105,118 @@ class ByteBpe:
         return [(i, bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()) for t, i in tokens.items()]
 
 
+    @cached_property
+    def pieces(self) -> pa.Array:
+        """The vocabulary's bytes by id."""
+        known = dict(self.vocabulary())
+        return pa.array([known.get(i, b"") for i in range(max(known) + 1)], pa.large_binary())
+
+
 @lru_cache(maxsize=4)
 def _loaded(raw: str) -> ByteBpe:
     return ByteBpe(raw)
 
 
-def blocks_of(docs: DataFrame, tokenizer: str, text: str) -> DataFrame:
-    """Written blocks: ``rows`` (the other columns of its texts), ``sizes`` (words a text), ``words`` (distinct) and ``places`` (a word's number, 32 bits each)."""
+def pack(numbers: np.ndarray) -> bytes:
+    """Non-negative 32-bit numbers, byte plane by byte plane, compressed."""
+    return zlib.compress(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack(cell: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(cell), np.uint8).reshape(4, -1).T).view("<i4")[:, 0]
+
+
+def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run of ``counts`` places, one run after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(int(counts.sum()))
+
+
+def blocks_of(docs: DataFrame, tokenizer: str, text: str, parts: int) -> DataFrame:
+    """Written blocks of texts.
+
+    ``rows`` holds the other columns, ``sizes`` the words of each text, ``places`` the rank of
+    every word by frequency. The distinct words are dealt to ``parts`` by a hash and sorted in
+    each: ``words`` (part, sizes, text), with their ``ranks`` in that order.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
     own = [c for c in docs.columns if c not in (text, "bpe")]
-    rest = StructType([docs.schema[c] for c in own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(shared.value)
+        held: list[tuple[pa.Array, list[int], pa.Array]] = []
+        held_chars = 0
+
+        def block() -> pa.RecordBatch:
+            rows, sizes = pa.concat_arrays([h[0] for h in held]), [n for h in held for n in h[1]]
+            coded = pa.concat_arrays([h[2] for h in held]).dictionary_encode()
+            held.clear()
+            data, offsets = text_column(coded.dictionary)
+            part = (span_hashes(data, offsets[:-1], offsets[1:]) % np.uint64(parts)).astype(np.int32)
+            order = pc.sort_indices(pa.table({"p": part, "w": coded.dictionary}), [("p", "ascending"), ("w", "ascending")])
+            # places count by frequency, so that they compress
+            places = coded.indices.to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[np.argsort(-np.bincount(places, minlength=len(order)), kind="stable")] = np.arange(len(order))
+            part, data, offsets = part[order.to_numpy()], *text_column(coded.dictionary.take(order))
+            cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, np.int64)
+            words = [{"part": int(part[i]), "sizes": pack(np.diff(offsets[i : j + 1])), "text": zlib.compress(data[offsets[i] : offsets[j]].tobytes(), 1)} for i, j in zip(cuts, cuts[1:])]
+            one = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+            return pa.RecordBatch.from_arrays([one, pa.array([sizes], pa.list_(pa.int32())), pa.array([words], _WORDS), pa.array([pack(rank[order.to_numpy()])], pa.binary()), pa.array([pack(rank[places])], pa.binary())], ["rows", "sizes", "words", "ranks", "places"])
+
         for batch in batches:
-            column = batch.column(0).cast(pa.large_string()).fill_null("")
-            bytes_before = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))])
-            others = batch.column(1)
-            i = 0
-            while i < batch.num_rows:
-                j = min(batch.num_rows, max(i + 1, int(np.searchsorted(bytes_before, bytes_before[i] + BLOCK_BYTES, "right")) - 1))
-                texts = column.slice(i, j - i).to_pylist()
-                odd = [c for c in set().union(*texts) if not c.isascii() and not bpe.agrees(c)]
-                words, sizes = [], []
-                for t in texts:
-                    found = bpe.words(t, not any(c in t for c in odd))
-                    words.append(pa.array(found, pa.string()))
-                    sizes.append(len(found))
-                places = pa.chunked_array(words, pa.string()).combine_chunks().dictionary_encode() if sum(sizes) else pa.array([], pa.string()).dictionary_encode()
-                cells = [
-                    pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), others.slice(i, j - i)), pa.array([sizes], pa.list_(pa.int32())),
-                    pa.ListArray.from_arrays(pa.array([0, len(places.dictionary)], pa.int32()), places.dictionary), pa.array([places.indices.to_numpy().astype("<i4").tobytes()], pa.large_binary()),
-                ]
-                yield pa.RecordBatch.from_arrays([cells[0], cells[1], cells[2], cells[3].cast(pa.binary())], ["rows", "sizes", "words", "places"])
-                i = j
+            texts = ["" if t is None else t for t in batch.column(0).to_pylist()]
+            odd = [c for c in set().union(*texts) if not c.isascii() and not bpe.agrees(c)]
+            first, sizes, words = 0, [], []
+            for i, t in enumerate(texts):
+                found = bpe.words(t, not any(c in t for c in odd))
+                sizes.append(len(found))
+                words.append(pa.array(found, pa.string()))
+                held_chars += len(t)
+                if held_chars >= BLOCK_CHARS or i + 1 == len(texts):
+                    held.append((batch.column(1).slice(first, i + 1 - first), sizes, pa.concat_arrays(words)))
+                    first, sizes, words = i + 1, [], []
+                if held_chars >= BLOCK_CHARS:
+                    held_chars = 0
+                    yield block()
+        if held:
+            yield block()
 
     packed = docs.select(F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in own] or [F.lit(0).alias("_")]).alias("rows"))
-    inner = packed.schema["rows"].dataType if not own else rest
-    kind = StructType().add("rows", ArrayType(inner)).add("sizes", ArrayType(IntegerType())).add("words", ArrayType(StringType())).add("places", BinaryType())
+    rest = StructType.fromDDL("sizes array<int>, words array<struct<part:int,sizes:binary,text:binary>>, ranks binary, places binary")
+    kind = StructType([StructField("rows", ArrayType(packed.schema["rows"].dataType)), *rest.fields])
     return materialise(packed.mapInArrow(run, kind).withColumn("block", F.monotonically_increasing_id()), "bpe-blocks")
 
 
-def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, ids) of a table of distinct words."""
-    shared = words.sparkSession.sparkContext.broadcast(tokenizer)
+_WORDS = pa.list_(pa.struct([("part", pa.int32()), ("sizes", pa.binary()), ("text", pa.binary())]))
+
+
+def encode_words(blocks: DataFrame, tokenizer: str, parts: int) -> DataFrame:
+    """(block, part, lengths, ids): the ids of the blocks' words, in the order of their numbers.
+
+    All of a word's occurrences in blocks meet in one partition, whose table of distinct words
+    is encoded once; a table that grows beyond ``TABLE_WORDS`` words is begun anew.
+    """
+    shared = blocks.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         library = _loaded(shared.value).library
+        table: dict[bytes, list[int]] = {}
         for batch in batches:
-            ids = [e.ids for e in library.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            for block, part, sizes, text in zip(*(c.to_pylist() for c in batch.columns)):
+                raw, ends = zlib.decompress(text), np.cumsum(unpack(sizes)).tolist()
+                words = [raw[i:j] for i, j in zip([0, *ends], ends)]
+                if len(table) > TABLE_WORDS:
+                    table.clear()
+                new = [w for w in words if w not in table]
+                table.update(zip(new, (e.ids for e in library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False))))
+                found = [table[w] for w in words]
+                length = np.fromiter(map(len, found), np.int64, len(found))
+                flat = np.fromiter((i for ids in found for i in ids), np.int64, int(length.sum()))
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part], pa.int32()), pa.array([pack(length)], pa.binary()), pa.array([pack(flat)], pa.binary())], ["block", "part", "lengths", "ids"])
 
-    return words.mapInArrow(run, "word string, ids array<int>")
+    return blocks.select("block", F.inline("words")).repartition(parts, "part").mapInArrow(run, "block long, part int, lengths binary, ids binary")
 
 
 def id_bytes(rows: DataFrame, key: str, ids: str, tokenizer: str) -> DataFrame:
@@ -165,43 +231,50 @@ def id_bytes(rows: DataFrame, key: str, ids: str, tokenizer: str) -> DataFrame:
     return each.groupBy(key).agg(joined.alias("bytes"))
 
 
-def word_table(blocks: DataFrame, tokenizer: str) -> DataFrame:
-    """Written (word, ids, bytes): each distinct word of all blocks encoded once."""
-    words = blocks.select(F.explode("words").alias("word")).distinct()
-    coded = materialise(encode_words(words, tokenizer), "bpe-words")
-    return materialise(coded.join(id_bytes(coded, "word", "ids", tokenizer), "word"), "bpe-table")
-
-
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _assemble(tokenizer: Broadcast):
     """Blocks (rows, sizes, places, found) to rows with ids and bytes in the order of the places."""
-    for batch in batches:
-        for b in range(batch.num_rows):
-            sizes, found = batch.column("sizes")[b].values.to_numpy().astype(np.int64), batch.column("found")[b]
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            id_ends = byte_ends = np.zeros(1, np.int64)
-            flat, raw = pa.array([], pa.int32()), b""
-            if found.is_valid:
-                number, ids, text = found.values.flatten()
-                chosen = pa.array(np.argsort(number.to_numpy())[np.frombuffer(batch.column("places")[b].as_py(), "<i4")])
-                ids, text = ids.take(chosen), text.cast(pa.large_binary()).take(chosen)
-                id_ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64))])
-                byte_ends = np.concatenate([[0], np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False))])
-                flat, raw = ids.flatten(), b"".join(text.to_pylist())
-            at, cut = id_ends[ends], byte_ends[ends].tolist()
-            decoded = pa.array([raw[i:j].decode("utf-8", "replace") for i, j in zip(cut, cut[1:])], pa.string())
-            out = pa.StructArray.from_arrays([pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), flat), decoded], ["n_tokens", "ids", "decoded"])
-            yield pa.RecordBatch.from_arrays([batch.column("rows")[b].values, out], ["rows", "bpe"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _loaded(tokenizer.value).pieces
+        for batch in batches:
+            for b in range(batch.num_rows):
+                sizes = batch.column("sizes")[b].values.to_numpy().astype(np.int64)
+                found = sorted(batch.column("found")[b].as_py() or [], key=lambda f: f["part"])
+                length, ids = (np.concatenate([np.zeros(0, np.int64), *(unpack(f[c]) for f in found)]) for c in ("lengths", "ids"))
+                ranks = unpack(batch.column("ranks")[b].as_py())
+                at = np.empty(len(ranks), np.int64)
+                at[ranks] = np.arange(len(ranks))
+                place = at[unpack(batch.column("places")[b].as_py())]
+                counts = length[place]
+                ids = ids[spans((np.cumsum(length) - length)[place], counts)]
+                ends = np.cumsum(counts)
+                bounds = np.append(0, ends)[np.concatenate([[0], np.cumsum(sizes)])]
+                # texts leave in parts, so that the ids and pieces of one part are held at a time
+                i = 0
+                while i < len(sizes):
+                    j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + PART_TOKENS, "right")) - 1)
+                    own, cut = ids[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+                    text = pieces.take(pa.array(own))
+                    _, offsets, data = text.buffers()
+                    byte_at = np.frombuffer(offsets, np.int64)[text.offset + cut].tolist() if len(text) else [0] * len(cut)
+                    raw = memoryview(data) if data else b""
+                    decoded = pa.array([str(raw[x:y], "utf-8", "replace") for x, y in zip(byte_at, byte_at[1:])], pa.string())
+                    out = pa.StructArray.from_arrays([pa.array(np.diff(cut)), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(own.astype(np.int32))), decoded], ["n_tokens", "ids", "decoded"])
+                    yield pa.RecordBatch.from_arrays([batch.column("rows")[b].values.slice(i, j - i), out], ["rows", "bpe"])
+                    i = j
+
+    return run
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """The other columns of docs and ``bpe`` for each whole text."""
-    blocks = blocks_of(docs, tokenizer, text)
-    table = word_table(blocks, tokenizer)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks_of(docs, tokenizer, text, parts)
     # a block's words are bounded by its bytes, so its group is too
-    found = blocks.select("block", F.posexplode("words").alias("number", "word")).join(table, "word").groupBy("block").agg(F.collect_list(F.struct("number", "ids", "bytes")).alias("found"))
-    rows = blocks.schema["rows"].dataType.elementType
-    kind = StructType().add("rows", rows).add(StructType.fromDDL("bpe struct<n_tokens:bigint,ids:array<int>,decoded:string>")["bpe"])
-    laid = blocks.drop("words").join(found, "block", "left").mapInArrow(_assemble, kind)
+    found = encode_words(blocks, tokenizer, parts).groupBy("block").agg(F.collect_list(F.struct("part", "lengths", "ids")).alias("found"))
+    kind = StructType().add("rows", blocks.schema["rows"].dataType.elementType).add(StructType.fromDDL("bpe struct<n_tokens:bigint,ids:array<int>,decoded:string>")["bpe"])
+    shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    laid = blocks.drop("words").join(found, "block", "left").mapInArrow(_assemble(shared), kind)
     own = [c for c in docs.columns if c not in (text, "bpe")]
     return laid.select(*[F.col(f"rows.`{c}`").alias(c) for c in own], "bpe")
 
