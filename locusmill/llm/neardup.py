@@ -342,15 +342,16 @@ def drop_near_duplicates(docs: DataFrame, p: SketchParams = SketchParams()) -> D
     Rows are compared by written keys of their own, so copies that share a doc_id or have
     none are dropped too, and different texts of one doc_id are judged each on its own.
     """
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    keyed = rows.select(F.col("_row").alias("doc_id"), "text")
+    # own columns lie in a struct, so none clashes with the key
+    rows = materialise(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.monotonically_increasing_id().alias("_row")), "near-rows")
+    keyed = rows.select(F.col("_row").alias("doc_id"), F.col("own.text").alias("text"))
     members, labels = near_duplicate_links(keyed, materialise(sketch_documents(keyed, p), "sketches"), p)
     found = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc_id").alias("_row"), F.coalesce("component", "rep").alias("c"))
-    found = materialise(found.join(rows.select("_row", F.col("doc_id").cast("long").alias("_id")), "_row"), "near-members")
+    found = materialise(found.join(rows.select("_row", F.col("own.doc_id").cast("long").alias("_id")), "_row"), "near-members")
     best = found.groupBy("c").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("m"))
     best = materialise(best.select("c", F.col("m._row").alias("first")), "near-first")
     gone = materialise(found.join(best, "c").filter("_row <> first").select("_row"), "near-gone")
-    return rows.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(gone, "_row", "left_anti").select("own.*")
 
 
 def op4_setsketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,3 +56,14 @@ def test_a_repeated_doc_id_joins_the_components_of_its_texts(spark):
     docs = spark.createDataFrame([(1, a), (2, b), (5, a), (5, b), (7, "own words"), (None, a)], "doc_id long, text string")
     got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect() if r["doc_id"] is not None)
     assert got == [(1, 1, True), (2, 1, False), (5, 1, False), (5, 1, False), (7, 7, True)]
+
+
+def test_near_dedup_keeps_columns_of_any_name(spark):
+    from locusmill.llm.neardup import drop_near_duplicates
+
+    text = " ".join(f"word{i}" for i in range(80))
+    names = "doc_id long, text string, _row string, own string, _id string, c string, `first` string"
+    docs = spark.createDataFrame([(2, text, "a", "b", "c", "d", "e"), (1, text, "f", "g", "h", "i", "j"), (None, None, "k", None, "l", "m", "n")], names)
+    out = drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, text, "f", "g", "h", "i", "j"), (None, None, "k", None, "l", "m", "n")], key=str)
