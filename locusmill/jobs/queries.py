@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import align, assoc, mixed, nullmodel, variants
+from ..operators import align, assoc, blocked, mixed, nullmodel, variants
 from ..operators.components import connected_components
 from ..operators.shared import materialise, shared_dir
 from ..sources.genotype import genotypes, write_genotypes
@@ -128,6 +128,18 @@ def assoc_streaming(spark, sf):
     return out.select("variant_id", "pheno", r("beta", 3).alias("beta"))
 
 
+@query(_MULTI_SQL + """SELECT variant_id, pheno, round(rho * sd_r / sd_g, 3) + 0.0 AS beta, round(sqrt((1 - rho * rho) / (n_all - 2)) * sd_r / sd_g / sqrt(n_all::DOUBLE / (n_all - 1)), 3) + 0.0 AS se,
+  round(rho / sqrt((1 - rho * rho) / (n_all - 2)) * sqrt(n_all::DOUBLE / (n_all - 1)), 5) + 0.0 AS t FROM s, n""")
+def assoc_blocked(spark, sf):
+    """Two traits by sums of sample blocks: nothing of the size of the samples is broadcast or collected."""
+    rows = C.samples(spark, sf).join(C.covariates(spark, sf).select("sample_id", "n_orders"), "sample_id")
+    pheno = C.phenotypes(spark, sf).filter(F.col("pheno").isin("balance", "spend"))
+    resid, c2, _ = study.fit_null(rows.select("sample_id", "n_orders"), pheno, ["n_orders"])
+    blocks = blocked.dosage_blocks(C.dosages(spark, sf))
+    out = blocked.associate_blocks(blocks, blocked.cohort_of(rows, resid, c2, ["n_orders"]))
+    return out.select("variant_id", "pheno", r("beta", 3).alias("beta"), r("se", 3).alias("se"), r("t", 5).alias("t"))
+
+
 @query(f"""WITH n AS (SELECT count(*) AS n_all FROM cov),
 d AS (SELECT sample_id, 1.0::DOUBLE AS x0, n_orders AS x1, nation AS x2, y FROM cov JOIN phe USING (sample_id) WHERE pheno = 'positive'),
 {sqlforms.logistic("d", 3)},
