@@ -13,9 +13,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.assoc import associate, widen
+from ..operators.blocked import associate_blocks, cohort_of, split_blocks
+from ..operators.tallskinny import independent
 from ..operators.variants import check_included, include_filter, maf_filter, summarise
 from ..sources.genotype import bgen_header, gather, genotypes
-from ..sources.text import read_corrections, read_covariates, read_fam, read_include_list, read_kinship, read_phenotypes, read_sample_ids
+from ..sources.text import numeric_columns, read_corrections, read_covariates, read_fam, read_include_list, read_kinship, read_phenotypes, read_sample_ids
 from .study import fit_null, output_name, repeated_setup, to_text, traits_of, write_corrections
 
 log = logging.getLogger("locusmill")
@@ -39,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
         geno.add_argument(name, nargs="*", default=[])
     p.add_argument("--parquet", nargs="*", default=[])
     p.add_argument("--maf", type=float, default=0.001)
+    p.add_argument("--most-bytes", type=int, default=512 << 20, help="of traits and covariates to broadcast; larger cohorts are tested by blocks of samples")
     p.add_argument("--convert", action="store_true")
     p.add_argument("--out", default="out.txt")
     return p
@@ -69,11 +72,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     if a.step in ("all", "step1", "step2"):
         ids = genotype_ids(spark, files[0], a.sample)
         index = spark.createDataFrame(list(enumerate(ids)), "sample_idx long, sample_id string")
-        cov = read_covariates(spark, a.cov_file, a.sampleid_name, a.covar_names, a.cov_delim, a.missing_value).withColumn("order", F.monotonically_increasing_id()).dropna()
+        # where no covariates are named, the null model has an intercept and the tests take all numeric columns
+        projected = a.covar_names or numeric_columns(spark, a.cov_file, a.sampleid_name, a.cov_delim, a.missing_value)
+        cov = read_covariates(spark, a.cov_file, a.sampleid_name, projected, a.cov_delim, a.missing_value, "order").dropna()
         samples = index.join(cov, "sample_id")
         once = samples.select("sample_idx", "sample_id").distinct()
     if a.step in ("all", "step1"):
-        pheno = read_phenotypes(spark, a.pheno_file, a.pheno_delim, a.missing_value).withColumn("order", F.monotonically_increasing_id())
+        pheno = read_phenotypes(spark, a.pheno_file, a.pheno_delim, a.missing_value, "order")
         kinship = read_kinship(spark, a.kin_file, a.kin_delim).withColumn("edge_idx", F.monotonically_increasing_id()) if a.kin_file else None
         resid, c2, fits = fit_null(samples.select("sample_id", "order", *a.covar_names), pheno, a.covar_names, kinship, a.kin_diag, a.random_slope_name)
         write_corrections(once, resid, c2, corr)
@@ -85,21 +90,32 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     if a.step in ("all", "step2"):
         c2_rows, resid = read_corrections(spark, corr)
         c2 = {r["pheno"]: r["c2"] for r in c2_rows.collect()}
-        place = sorted(r["sample_idx"] for r in once.select("sample_idx").collect())
-        if samples.count() == len(place):
-            traits, project = traits_of(samples, resid, c2, a.covar_names), None
-        else:
-            traits, project = traits_of(once, resid, c2, []), repeated_setup(samples, a.covar_names)[1]
+        projected = independent(samples, projected)
+        width = 8 * (len(c2) + len(projected) + 1)
+        arrays = width * len(ids) <= a.most_bytes
+        if arrays:
+            place = sorted(r["sample_idx"] for r in once.select("sample_idx").collect())
+            if samples.count() == len(place):
+                traits, project = traits_of(samples, resid, c2, projected), None
+            else:
+                traits, project = traits_of(once, resid, c2, []), repeated_setup(samples, projected)[1]
         for path in files:
             own = {x: i for i, x in enumerate(genotype_ids(spark, path, a.sample))}
-            g = gather(genotypes(spark, path), [own.get(ids[i], -1) for i in place])
-            g = maf_filter(summarise(g), a.maf).withColumn("variant_id", F.col("variant_idx").cast("string"))
+            g = genotypes(spark, path).withColumn("variant_id", F.col("variant_idx").cast("string"))
             if a.include_snp_file:
                 include = read_include_list(spark, a.include_snp_file).withColumnRenamed("variant_id", "rsid")
                 if path.endswith(".bgen"):
                     check_included(genotypes(spark, path).select("rsid"), include, "rsid")
                 g = include_filter(g, include, "rsid")
-            wide = widen(associate(g, traits, project), traits.names)
+            if arrays:
+                g = maf_filter(summarise(gather(g, [own.get(ids[i], -1) for i in place])), a.maf)
+                wide = widen(associate(g, traits, project), traits.names)
+            else:
+                there = spark.createDataFrame([(i, x) for x, i in own.items()], "sample_idx long, sample_id string")
+                cohort = cohort_of(samples.drop("sample_idx").join(there, "sample_id", "left").withColumn("sample_idx", F.coalesce("sample_idx", F.lit(len(own)) + F.pmod(F.xxhash64("sample_id"), F.lit(1 << 40)))), resid, c2, projected)
+                wide = maf_filter(associate_blocks(split_blocks(g), cohort, wide=True), a.maf)
+                g = g.join(wide.select("variant_id", "n_samples", "af", "gv"), "variant_id")
+                wide = wide.drop("n_samples", "af", "gv")
             meta = g.select("variant_id", "variant_idx", F.col("snpid").alias("SNPID"), F.col("rsid").alias("RSID"), F.col("chr").alias("CHR"), F.col("pos").cast("string").alias("POS"), F.col("non_effect").alias("Non_Effect_Allele"), F.col("effect").alias("Effect_Allele"), F.col("n_samples").cast("string").alias("N_Samples"), F.col("af").cast("float").alias("AF"), F.col("gv").cast("float").alias("GV"))
             folder = a.out.rpartition("/")[0]
             out = f"{folder}/{output_name(path, a.out)}" if folder else output_name(path, a.out)

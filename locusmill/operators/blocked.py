@@ -76,10 +76,10 @@ def cohort_of(rows: DataFrame, residuals: DataFrame, c2: dict[str, float], covar
     inner = np.linalg.pinv(gram(z, design), hermitian=True)
     by = z.groupBy("sample_idx", "sample_id").agg(F.count("*").cast("double").alias("c"), *[F.sum(x).alias(x) for x in design])
     filled = zero_filled(by.select("sample_idx", "sample_id"), residuals, names)
-    filled = filled.select("sample_idx", F.array(*[F.col(f"`{p}`").cast("double") for p in names]).alias("y"))
+    filled = filled.select("sample_idx", "sample_id", F.array(*[F.col(f"`{p}`").cast("double") for p in names]).alias("y"))
     sums, means = [F.col(x) for x in design], [F.col(x) / F.col("c") for x in design]
     v = F.concat(F.array(F.lit(1.0), "c", *sums, *means), "y")
-    samples = materialise(by.join(filled, "sample_idx").select("sample_idx", v.alias("v")), "cohort-rows")
+    samples = materialise(by.join(filled, ["sample_idx", "sample_id"]).select("sample_idx", v.alias("v")), "cohort-rows")
     return Cohort(samples, names, np.array([c2[p] for p in names]), _products(samples, 2 + 2 * len(design) + len(names)), inner)
 
 
@@ -165,7 +165,8 @@ def tests_of(sums: np.ndarray, cohort: tuple[int, np.ndarray, np.ndarray, np.nda
 
 
 def associate_blocks(blocks: DataFrame, cohort: Cohort, width: int = 2048, chunk: int = 512, variants: int | None = None, wide: bool = False) -> DataFrame:
-    """(variant_id, pheno, beta, se, t, neg_log10_p), or with ``wide`` one row a variant with <pheno>_BETA, <pheno>_SE and <pheno>_pvalue (-log10 p).
+    """(variant_id, pheno, beta, se, t, neg_log10_p), or with ``wide`` one row a variant:
+    n_samples, af and gv over the cohort, then <pheno>_BETA, <pheno>_SE and <pheno>_pvalue (-log10 p).
 
     ``width`` must be that of the blocks.
     """
@@ -181,11 +182,15 @@ def associate_blocks(blocks: DataFrame, cohort: Cohort, width: int = 2048, chunk
             ids = batch.column("variant_id").filter(pa.array(sums[:, 0] > 0))
             res = tests_of(sums, own)
             if wide:
-                columns = [(f"{p}_{n}", pa.array(np.ascontiguousarray(res[c][:, i]))) for i, p in enumerate(names) for c, n in picked]
+                seen = sums[sums[:, 0] > 0]
+                n, total, squares = seen[:, 0], seen[:, size // 2], seen[:, -1]
+                gv = np.maximum(squares - total**2 / n, 0) / np.where(n > 1, n - 1, np.nan)
+                columns = [("n_samples", pa.array(n.astype(np.int64))), ("af", pa.array(total / n / 2)), ("gv", pa.array(gv, mask=np.isnan(gv)))]
+                columns += [(f"{p}_{n}", pa.array(np.ascontiguousarray(res[c][:, i]))) for i, p in enumerate(names) for c, n in picked]
             else:
                 ids = pa.array(np.repeat(ids.to_numpy(zero_copy_only=False), len(names)), pa.string())
                 columns = [("pheno", pa.array(np.tile(names, len(ids) // len(names)), pa.string())), *((c, pa.array(res[c].ravel())) for c in ("beta", "se", "t", "neg_log10_p"))]
             yield pa.record_batch([ids, *(c for _, c in columns)], ["variant_id", *(n for n, _ in columns)])
 
-    schema = ", ".join(["variant_id string", *(f"`{p}_{n}` double" for p in names for _, n in picked)]) if wide else LONG
+    schema = ", ".join(["variant_id string, n_samples long, af double, gv double", *(f"`{p}_{n}` double" for p in names for _, n in picked)]) if wide else LONG
     return variant_sums(blocks, cohort, width, chunk, variants).mapInArrow(run, schema)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.stats import strip_cell
 
@@ -16,44 +17,68 @@ def delimiter(name: str) -> str:
     return _DELIMITERS.get(name.lower() if len(name) > 1 else name, name)
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", missing: str = "NA", columns: list[str] | None = None) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", missing: str = "NA", columns: list[str] | None = None, ragged: str = "missing", order: str | None = None) -> DataFrame:
     """All columns as strings; quotes and carriage returns go, missing tokens and empty cells are null.
 
-    Rows shorter than the header are padded with nulls; a repeated header is an error.
-    ``columns`` keeps those columns, in file order.
+    A repeated header is an error. Blank lines, and lines equal to the header (a folder's files
+    have one each), are no rows. One empty cell more at a line's end is ignored; a row of any
+    other width has all cells missing, or with ``ragged="error"`` stops the read. ``columns``
+    keeps those columns, in file order. ``order`` names a column that sorts rows as the file
+    does, however many tasks read it: file, first byte of the task's range, line in it.
     """
+    if ragged not in ("missing", "error"):
+        raise ValueError("ragged is missing or error")
     sep = delimiter(sep)
     head = spark.read.text(path).limit(1).first()
     if head is None:
         raise ValueError(f"{path} is empty")
     names = [c.strip().replace('"', "") for c in head[0].rstrip("\r").split(sep)]
+    if len(names) > 1 and not names[-1]:
+        names.pop()
     if len(set(names)) != len(names):
         raise ValueError(f"repeated header in {path}")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = spark.read.csv(path, sep=sep, header=True, schema=schema, mode="PERMISSIVE", quote="")
     if columns is not None:
         lost = [c for c in columns if c not in names]
         if lost:
             raise ValueError(f"{path} has no column {lost[0]}")
-        names = [n for n in names if n in columns]
-    cell = lambda n: strip_cell(F.col(f"`{n}`"))
-    return df.select(*[F.when((cell(n) != "") & (cell(n) != missing), cell(n)).alias(n) for n in names])
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", *([place.alias("place")] if order else []))
+    lines = lines.filter((F.trim(F.regexp_replace("value", "\r", "")) != "") & (F.col("value") != head[0]))
+    cells = lines.withColumn("cells", F.split(F.regexp_replace("value", "\r$", ""), re.escape(sep), -1))
+    extra = (F.size("cells") == len(names) + 1) & (F.element_at("cells", -1) == "")
+    fits = (F.size("cells") == len(names)) | extra
+    if ragged == "error":
+        said = F.concat(F.lit(f"a row of {path} has not the header's {len(names)} cells: "), F.substring("value", 1, 80))
+        cells = cells.filter(F.when(fits, F.lit(True)).otherwise(F.raise_error(said).cast("boolean")))
+    kept = [(i, n) for i, n in enumerate(names) if columns is None or n in columns]
+    cell = lambda i: strip_cell(F.get("cells", F.lit(i)))
+    return cells.select(*[F.when(fits & (cell(i) != "") & (cell(i) != missing), cell(i)).alias(n) for i, n in kept], *([F.col("place").alias(order)] if order else []))
+
+
+def numeric_columns(spark: SparkSession, path: str, id_column: str, sep: str = ",", missing: str = "NA") -> list[str]:
+    """Columns all of whose cells that aren't missing are numbers, and some are; the ids are none of them."""
+    raw = read_delimited(spark, path, sep, missing)
+    names = [n for n in raw.columns if n != id_column]
+    cell = lambda n: F.col(f"`{n}`")
+    seen = raw.agg(F.count(F.lit(1)).alias("n"), *[f.alias(f"{k}{i}") for i, n in enumerate(names) for k, f in (("a", F.count(cell(n))), ("b", F.count(cell(n).try_cast("double"))))]).first()
+    return [n for i, n in enumerate(names) if seen[f"a{i}"] and seen[f"a{i}"] == seen[f"b{i}"]]
 
 
-def read_covariates(spark: SparkSession, path: str, id_column: str, covariates: list[str], sep: str = ",", missing: str = "NA") -> DataFrame:
-    """(sample_id string, covariates double...); a cell that isn't a number is an error when it is read."""
-    raw = read_delimited(spark, path, sep, missing, [id_column, *covariates])
-    return raw.select(F.col(f"`{id_column}`").alias("sample_id"), *[F.col(f"`{c}`").cast("double").alias(c) for c in covariates])
+def read_covariates(spark: SparkSession, path: str, id_column: str, covariates: list[str], sep: str = ",", missing: str = "NA", order: str | None = None) -> DataFrame:
+    """(sample_id string, covariates double...); a cell that isn't a number, or a row of another width than the header, is an error when it is read."""
+    raw = read_delimited(spark, path, sep, missing, [id_column, *covariates], "error", order)
+    return raw.select(F.col(f"`{id_column}`").alias("sample_id"), *[F.col(f"`{c}`").cast("double").alias(c) for c in covariates], *([order] if order else []))
 
 
-def read_phenotypes(spark: SparkSession, path: str, sep: str = ",", missing: str = "NA") -> DataFrame:
-    """(sample_id, pheno, y) of every trait column; the first two columns are FID and IID."""
-    raw = read_delimited(spark, path, sep, missing)
-    if len(raw.columns) < 3:
+def read_phenotypes(spark: SparkSession, path: str, sep: str = ",", missing: str = "NA", order: str | None = None) -> DataFrame:
+    """(sample_id, pheno, y) of every trait column; the first two columns are FID and IID. A ragged row has no values."""
+    raw = read_delimited(spark, path, sep, missing, order=order)
+    more = [order] if order else []
+    names = [c for c in raw.columns if c not in more]
+    if len(names) < 3:
         raise ValueError("a phenotype file has FID, IID and at least one trait")
-    traits = raw.columns[2:]
-    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("pheno"), F.col(f"`{t}`").cast("double").alias("y")) for t in traits])).alias("p")
-    return raw.select(F.col(f"`{raw.columns[1]}`").alias("sample_id"), pairs).select("sample_id", "p.pheno", "p.y")
+    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("pheno"), F.col(f"`{t}`").cast("double").alias("y")) for t in names[2:]])).alias("p")
+    return raw.select(F.col(f"`{names[1]}`").alias("sample_id"), pairs, *more).select("sample_id", "p.pheno", "p.y", *more)
 
 
 def read_kinship(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
@@ -103,7 +128,7 @@ def read_include_list(spark: SparkSession, path: str) -> DataFrame:
 
 def read_corrections(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(pheno, c2) and (sample_id, pheno, resid) of a correction table in text form."""
-    raw = read_delimited(spark, path, "\t")
+    raw = read_delimited(spark, path, "\t", ragged="error")
     traits = raw.columns[1:]
     pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("pheno"), F.col(f"`{t}`").cast("double").alias("v")) for t in traits])).alias("p")
     long = raw.select("sample_id", pairs).select("sample_id", "p.pheno", "p.v")

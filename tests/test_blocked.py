@@ -43,8 +43,12 @@ def test_blocks_equal_the_dense_kernel(spark, repeats):
                 for name in want:
                     assert got[str(i), p][name] == pytest.approx(want[name][i, j], rel=1e-7, abs=1e-9)
     wide = associate_blocks(split_blocks(files, 64), cohort, 64, wide=True)
-    assert wide.columns == ["variant_id", "t.1_BETA", "t.1_SE", "t.1_pvalue", "u_BETA", "u_SE", "u_pvalue"]
-    assert {r["variant_id"]: r["t.1_BETA"] for r in wide.collect()} == {str(i): pytest.approx(want["beta"][i, 0]) for i in range(len(g))}
+    assert wide.columns == ["variant_id", "n_samples", "af", "gv", "t.1_BETA", "t.1_SE", "t.1_pvalue", "u_BETA", "u_SE", "u_pvalue"]
+    for row in wide.collect():
+        i = int(row["variant_id"])
+        own = g[i][~np.isnan(g[i])]
+        assert row["t.1_BETA"] == pytest.approx(want["beta"][i, 0])
+        assert (row["n_samples"], row["af"], row["gv"]) == (len(own), pytest.approx(own.mean() / 2), pytest.approx(own.var(ddof=1)))
 
 
 def test_blocks_without_dosages_and_without_samples(spark):
