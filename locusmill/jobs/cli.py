@@ -16,6 +16,7 @@ from ..operators.assoc import associate, widen
 from ..operators.blocked import associate_blocks, cohort_of, split_blocks
 from ..operators.tallskinny import independent
 from ..operators.variants import check_included, include_filter, maf_filter, summarise
+from ..sources.bgenindex import ensure_index, read_index, read_indexed
 from ..sources.genotype import bgen_header, gather, genotypes
 from ..sources.text import numeric_columns, read_corrections, read_covariates, read_fam, read_include_list, read_kinship, read_phenotypes, read_sample_ids
 from .study import fit_null, output_name, repeated_setup, to_text, traits_of, write_corrections
@@ -39,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
     geno = p.add_mutually_exclusive_group()
     for name in ("--bed", "--bgen", "--pgen"):
         geno.add_argument(name, nargs="*", default=[])
+    p.add_argument("--bgen-index", help="folder that keeps an index of every BGEN file; made where it is missing")
     p.add_argument("--parquet", nargs="*", default=[])
     p.add_argument("--maf", type=float, default=0.001)
     p.add_argument("--most-bytes", type=int, default=512 << 20, help="of traits and covariates to broadcast; larger cohorts are tested by blocks of samples")
@@ -101,12 +103,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
                 traits, project = traits_of(once, resid, c2, []), repeated_setup(samples, projected)[1]
         for path in files:
             own = {x: i for i, x in enumerate(genotype_ids(spark, path, a.sample))}
-            g = genotypes(spark, path).withColumn("variant_id", F.col("variant_idx").cast("string"))
-            if a.include_snp_file:
-                include = read_include_list(spark, a.include_snp_file).withColumnRenamed("variant_id", "rsid")
-                if path.endswith(".bgen"):
-                    check_included(genotypes(spark, path).select("rsid"), include, "rsid")
-                g = include_filter(g, include, "rsid")
+            include = read_include_list(spark, a.include_snp_file).withColumnRenamed("variant_id", "rsid") if a.include_snp_file else None
+            index = ensure_index(spark, path, a.bgen_index) if a.bgen_index and path.endswith(".bgen") else None
+            if include is not None and path.endswith(".bgen"):
+                check_included(read_index(spark, index) if index else genotypes(spark, path).select("rsid"), include, "rsid")
+            if index:
+                g = read_indexed(spark, index, include=include)
+            else:
+                g = genotypes(spark, path)
+                g = g if include is None else include_filter(g, include, "rsid")
+            g = g.withColumn("variant_id", F.col("variant_idx").cast("string"))
             if arrays:
                 g = maf_filter(summarise(gather(g, [own.get(ids[i], -1) for i in place])), a.maf)
                 wide = widen(associate(g, traits, project), traits.names)

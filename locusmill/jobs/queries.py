@@ -12,6 +12,8 @@ from ..functions import stats
 from ..operators import align, assoc, blocked, mixed, nullmodel, variants
 from ..operators.components import connected_components
 from ..operators.shared import materialise, shared_dir
+from ..operators.tallskinny import independent, r_factor
+from ..sources.bgenindex import read_indexed, write_index
 from ..sources.genotype import genotypes, write_genotypes
 from ..streaming.landing import associate_stream, run_until_done
 from . import cohort as C
@@ -513,8 +515,8 @@ SELECT variant_id AS rsid, i::BIGINT AS variant_idx, CASE WHEN i % 2 = 0 THEN '1
   count(dosage) AS n_samples, round(avg(dosage) / 2, 6) AS af, round(var_samp(dosage), 6) AS gv FROM d JOIN v USING (variant_id){keep} GROUP BY variant_id, i"""
 
 
-def _through_files(spark, sf: str, kind: str) -> DataFrame:
-    """The study's dosages, every 11th sample missing, written as genotype files and read back."""
+def _written_files(spark, sf: str, kind: str) -> str:
+    """The folder of genotype files of the study's dosages, every 11th sample missing."""
     import uuid
 
     d = C.dosages(spark, sf).withColumn("dosage", F.when(F.col("sample_id") % 11 != 5, F.col("dosage")))
@@ -523,8 +525,15 @@ def _through_files(spark, sf: str, kind: str) -> DataFrame:
     g = g.select(i, F.col("variant_id").alias("rsid"), F.when(i % 2 == 0, "1").otherwise("X").alias("chr"), (100 * i + 1).alias("pos"), F.lit("A").alias("non_effect"), F.lit("G").alias("effect"), "dosage")
     path = f"{shared_dir(spark)}/study-{uuid.uuid4().hex}.{kind}"
     write_genotypes(g, path)
-    back = variants.summarise(genotypes(spark, path))
-    return back.select("rsid", "variant_idx", "chr", "pos", "non_effect", "effect", "n_samples", r("af").alias("af"), r("gv").alias("gv"))
+    return path
+
+
+def _summary(geno: DataFrame) -> DataFrame:
+    return variants.summarise(geno).select("rsid", "variant_idx", "chr", "pos", "non_effect", "effect", "n_samples", r("af").alias("af"), r("gv").alias("gv"))
+
+
+def _through_files(spark, sf: str, kind: str) -> DataFrame:
+    return _summary(genotypes(spark, _written_files(spark, sf, kind)))
 
 
 @query(_files_sql(""))
@@ -540,3 +549,48 @@ def bgen_include_list(spark, sf):
     include = align.with_row_index(C.table(spark, sf, "part").select(F.col("p_brand").alias("rsid")).distinct(), ["rsid"], "i").filter("i % 3 = 0").select("rsid")
     variants.check_included(back, include, "rsid")
     return variants.include_filter(back, include, "rsid")
+
+
+@query(_files_sql(" WHERE i % 2 = 0 AND i >= 6"))
+def bgen_region(spark, sf):
+    """Variants of a region through a kept index: only their blocks are read."""
+    path = _written_files(spark, sf, "bgen")
+    write_index(spark, path, f"{path}.index")
+    return _summary(read_indexed(spark, f"{path}.index", region=("1", 601, None)))
+
+
+# ---- tables and designs
+
+
+@query("""SELECT sample_id, round(sum(y), 2) AS total, count(y) AS n, min(i) AS first FROM (
+  SELECT c_custkey AS sample_id, CASE WHEN i % 7 = 3 OR i % 5 = 2 THEN NULL ELSE o_totalprice END AS y, i FROM (
+    SELECT o_custkey AS c_custkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)) WHERE i % 7 <> 3 GROUP BY sample_id""")
+def ragged_rows(spark, sf):
+    """A written table with short rows, empty cells and quotes: widths and the file's order survive the tasks."""
+    import uuid
+
+    from ..sources.text import read_delimited
+
+    path = f"{shared_dir(spark)}/ragged-{uuid.uuid4().hex}"
+    rows = align.with_row_index(C.table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("string").alias("y")), ["o_orderkey"])
+    i = F.col("row_idx")
+    line = F.concat_ws(",", F.concat(F.lit('"'), F.col("o_custkey").cast("string"), F.lit('"')), F.when(i % 7 == 3, F.lit(None)).when(i % 5 == 2, F.when(i % 2 == 0, "").otherwise("NA")).otherwise(F.col("y")), F.when(i % 7 == 3, F.lit(None)).otherwise(i.cast("string")))
+    head = spark.range(1).select(F.lit(-1).cast("long").alias("row_idx"), F.lit("IID,y,i").alias("value"))
+    head.unionByName(rows.select("row_idx", line.alias("value"))).repartitionByRange(4, "row_idx").sortWithinPartitions("row_idx").select("value").write.text(path)
+    back = align.with_row_index(read_delimited(spark, path, order="place"), ["place"])
+    back = back.filter("IID is not null").select(F.col("IID").cast("long").alias("sample_id"), F.col("y").cast("double").alias("y"), "row_idx", F.col("i").cast("long").alias("i"))
+    # the place in the file and the number that was written into it must agree
+    return back.filter("row_idx = i").groupBy("sample_id").agg(r(F.sum("y"), 2).alias("total"), F.count("y").alias("n"), F.min("row_idx").alias("first"))
+
+
+@query("""SELECT count(*) AS n, round(sqrt(count(*)), 4) AS r11, round(sum(n_orders) / sqrt(count(*)), 4) AS r12, round(sum(nation) / sqrt(count(*)), 4) AS r13,
+  round(sqrt(regr_sxx(n_orders, n_orders)), 4) AS r22, round(regr_sxy(nation, n_orders) / sqrt(regr_sxx(n_orders, n_orders)), 4) + 0.0 AS r23,
+  round(sqrt(regr_syy(nation, n_orders) * (1 - regr_r2(nation, n_orders))), 4) AS r33, 'n_orders,nation' AS independent FROM cov""")
+def design_factor(spark, sf):
+    """R of the design by a tree of QR factorisations, and the columns that add something."""
+    d = C.covariates(spark, sf).select(F.lit(1.0).alias("one"), "n_orders", "nation")
+    factor = r_factor(d, d.columns)
+    kept = independent(d.withColumn("twice", F.col("n_orders") * 2 - F.col("nation")), ["n_orders", "nation", "twice"])
+    values = [F.lit(float(factor[i, j])) for i in range(3) for j in range(i, 3)]
+    out = d.agg(F.count(F.lit(1)).alias("n"))
+    return out.select("n", *[r(v, 4).alias(f"r{i + 1}{j + 1}") for v, (i, j) in zip(values, ((i, j) for i in range(3) for j in range(i, 3)))], F.lit(",".join(kept)).alias("independent"))

@@ -17,11 +17,20 @@ def delimiter(name: str) -> str:
     return _DELIMITERS.get(name.lower() if len(name) > 1 else name, name)
 
 
+def _first_line(spark: SparkSession, path: str):
+    """The first row of the first file by name that has one; Spark itself reads the largest file of a folder first."""
+    table = spark.read.text(path)
+    files = sorted(table.inputFiles())
+    if len(files) < 2:
+        return table.limit(1).first()
+    return next((row for row in (spark.read.text(f).limit(1).first() for f in files) if row is not None), None)
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", missing: str = "NA", columns: list[str] | None = None, ragged: str = "missing", order: str | None = None) -> DataFrame:
     """All columns as strings; quotes and carriage returns go, missing tokens and empty cells are null.
 
-    A repeated header is an error. Blank lines, and lines equal to the header (a folder's files
-    have one each), are no rows. One empty cell more at a line's end is ignored; a row of any
+    A repeated header is an error. Blank lines, and lines equal to the header (a folder's first
+    file has one, the others may), are no rows. One empty cell more at a line's end is ignored; a row of any
     other width has all cells missing, or with ``ragged="error"`` stops the read. ``columns``
     keeps those columns, in file order. ``order`` names a column that sorts rows as the file
     does, however many tasks read it: file, first byte of the task's range, line in it.
@@ -29,7 +38,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", missing: str
     if ragged not in ("missing", "error"):
         raise ValueError("ragged is missing or error")
     sep = delimiter(sep)
-    head = spark.read.text(path).limit(1).first()
+    head = _first_line(spark, path)
     if head is None:
         raise ValueError(f"{path} is empty")
     names = [c.strip().replace('"', "") for c in head[0].rstrip("\r").split(sep)]
