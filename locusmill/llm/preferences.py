@@ -53,15 +53,27 @@ def common_turns(a: Column, b: Column) -> Column:
     return F.coalesce(F.array_min(differ), n)
 
 
+_RESULTS = ("n_common", "prompt", "chosen_text", "chosen_spans", "rejected_text", "rejected_spans")
+
+
 def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """pairs with prompt, n_common, chosen_text, chosen_spans, rejected_text and rejected_spans."""
     none = F.array().cast("array<struct<role:string,text:string>>")
-    turns = lambda c: F.coalesce(F.transform(F.col(c), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))), none)
-    p = pairs.withColumn("_a", turns(chosen)).withColumn("_b", turns(rejected)).withColumn("n_common", common_turns(F.col("_a"), F.col("_b")))
+    turns = lambda c: F.coalesce(F.transform(F.col(f"`{c}`"), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))), none)
+    taken, own = {c.lower() for c in (*pairs.columns, *_RESULTS)}, []
+    for c in pairs.columns:
+        name = c
+        if c.lower() in _RESULTS:
+            while name.lower() in taken:
+                name += "_in"
+            taken.add(name.lower())
+        own.append(F.col(f"`{c}`").alias(name))
+    # own columns travel in a struct, so that none meets a working column's name
+    p = pairs.select(F.struct(*own).alias("own"), turns(chosen).alias("a"), turns(rejected).alias("b")).withColumn("n_common", common_turns(F.col("a"), F.col("b")))
     rest = lambda c: F.slice(F.col(c), F.col("n_common") + 1, F.greatest(F.size(c) - F.col("n_common"), F.lit(0)))
-    p = p.withColumn("prompt", render(F.slice(F.col("_a"), F.lit(1), F.col("n_common")))).withColumn("_a", rest("_a")).withColumn("_b", rest("_b"))
-    p = p.withColumns({"chosen_text": render(F.col("_a")), "chosen_spans": loss_spans(F.col("_a")), "rejected_text": render(F.col("_b")), "rejected_spans": loss_spans(F.col("_b"))})
-    return p.drop("_a", "_b")
+    p = p.select("own", "n_common", render(F.slice(F.col("a"), F.lit(1), F.col("n_common"))).alias("prompt"), rest("a").alias("a"), rest("b").alias("b"))
+    p = p.withColumns({"chosen_text": render(F.col("a")), "chosen_spans": loss_spans(F.col("a")), "rejected_text": render(F.col("b")), "rejected_spans": loss_spans(F.col("b"))})
+    return p.select("own.*", *_RESULTS)
 
 
 def last_reply_pairs(turns: DataFrame) -> DataFrame:
