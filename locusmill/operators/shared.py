@@ -44,6 +44,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` in buckets of ``key``, so that a join or grouping on it doesn't shuffle these rows again.
+
+    Nothing is shuffled to write: a task leaves a file for each bucket it meets, so this suits
+    tables of few large rows. The other side should have as many partitions as there are buckets.
+    The catalog's entry goes at once; the files stay in the shared folder.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.mode("error").bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{table}").format("parquet").saveAsTable(table)
+    written = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return written
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a written table that nothing will read again."""
     spark = df.sparkSession
