@@ -4,7 +4,8 @@ Texts are split into words in the tasks. A block of texts keeps each of its word
 number for every place. The blocks' words meet by one shuffle on the word, packed, where each
 distinct word of the corpus is encoded once; its ids go back to the blocks that hold it and are laid out
 by the numbers of the places. Ids are decoded through the vocabulary's table of pieces by id. A
-frequent word is shuffled once a block, never once an occurrence.
+frequent word is shuffled once a block, never once an occurrence. Blocks are written in buckets, so
+their places stay where they were written and only words and ids are shuffled.
 
 Output: the other columns and ``bpe``, a struct of n_tokens, ids and decoded.
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 from tokenizers import Tokenizer
 
-from ..operators.shared import materialise
+from ..operators.shared import materialise, materialise_by
 from .textbatch import span_hashes, text_column
 
 BLOCK_CHARS = 8 << 20
@@ -185,7 +186,8 @@ def blocks_of(docs: DataFrame, tokenizer: str, text: str, parts: int) -> DataFra
     packed = docs.select(F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in own] or [F.lit(0).alias("_")]).alias("rows"))
     rest = StructType.fromDDL("sizes array<int>, words array<struct<part:int,sizes:binary,text:binary>>, ranks binary, places binary")
     kind = StructType([StructField("rows", ArrayType(packed.schema["rows"].dataType)), *rest.fields])
-    return materialise(packed.mapInArrow(run, kind).withColumn("block", F.monotonically_increasing_id()), "bpe-blocks")
+    # in buckets of the block, where its words' ids will come back to: the places, most of the bytes, are never shuffled
+    return materialise_by(packed.mapInArrow(run, kind).withColumn("block", F.monotonically_increasing_id()), "bpe_blocks", "block", parts)
 
 
 _WORDS = pa.list_(pa.struct([("part", pa.int32()), ("sizes", pa.binary()), ("text", pa.binary())]))
