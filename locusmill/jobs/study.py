@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..operators.align import binary_traits, kinship_matrix, kinship_pairs, repeated_measure_kernel, with_row_index
 from ..operators.assoc import RepeatedProjector, Traits, associate
-from ..operators.mixed import Stacks, Trait, fit_mixed, with_slopes
+from ..operators.mixed import Trait, fit_mixed, with_slopes
+from ..operators.onefamily import stacks_for
 from ..operators.nullmodel import Fit, correct_traits, fit_logistic_traits, fit_traits, gram
 from ..operators.shared import materialise
 
@@ -36,7 +37,7 @@ def _several_rows(df: DataFrame, keys: list[str]) -> bool:
     return not df.groupBy(*keys).count().filter("count > 1").isEmpty()
 
 
-def fit_null(cohort: DataFrame, phenotypes: DataFrame, covariates: list[str], kinship: DataFrame | None = None, diagonal: float = 1.0, slope: str | None = None) -> tuple[DataFrame, dict[str, float], list[Fit]]:
+def fit_null(cohort: DataFrame, phenotypes: DataFrame, covariates: list[str], kinship: DataFrame | None = None, diagonal: float = 1.0, slope: str | None = None, largest: int = 4096) -> tuple[DataFrame, dict[str, float], list[Fit]]:
     """(sample_id, pheno, resid), c2 by trait and the fits.
 
     cohort: (sample_id, covariates...), complete. Every trait has its own samples; its family
@@ -45,7 +46,8 @@ def fit_null(cohort: DataFrame, phenotypes: DataFrame, covariates: list[str], ki
     plus the listed entries, and samples with several rows add a kernel of ones over the rows of
     a sample. The k-th row of a sample in the cohort belongs to its k-th value of a trait, in the
     order of the column ``order`` that both tables then need. ``slope`` names the covariate whose
-    coefficient varies as the kernels do. Fits that don't converge say so; their last step counts.
+    coefficient varies as the kernels do. Where a family has more than ``largest`` rows, no family is
+    inverted and traces are estimated (``operators/onefamily.py``; Gaussian traits only). Fits that don't converge say so; their last step counts.
     """
     repeated = _several_rows(cohort, ["sample_id"]) or _several_rows(phenotypes, ["sample_id", "pheno"])
     if repeated and not ("order" in cohort.columns and "order" in phenotypes.columns):
@@ -93,7 +95,7 @@ def fit_null(cohort: DataFrame, phenotypes: DataFrame, covariates: list[str], ki
         start = np.zeros(len(every))
         start[columns] = f.coef
         traits.append(Trait(i, columns, f.family == "binomial", start))
-    fitted, by_row = fit_mixed(Stacks(wide, kernels, covariates), traits, triples)
+    fitted, by_row = fit_mixed(stacks_for(wide, kernels, covariates, largest), traits, triples)
     done = [Fit(f.pheno, f.names, m.coef[t.columns], m.cov, float(m.tau[0]), m.n, f.family, f.converged and m.converged, tuple(m.tau.tolist())) for f, m, t in zip(fits, fitted, traits)]
     resid = by_row.join(index, "row_idx").select("sample_id", F.element_at(F.array(*[F.lit(p) for p in kinds]), F.col("trait") + 1).alias("pheno"), "resid")
     return resid, {p: m.c2 for p, m in zip(kinds, fitted)}, done

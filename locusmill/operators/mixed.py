@@ -53,11 +53,12 @@ def blocks(rows: DataFrame, kernels: list[DataFrame], covariates: list[str]) ->
     """One row a family: index, subject, values, design and the kernels' entries by place in the family.
 
     rows: (row_idx, y array<double> with NaN where a trait is missing, covariates...), with
-    ``subject`` where a subject has several rows.
+    ``subject`` where a subject has several rows and ``family`` where it is known.
     """
     subject = F.col("subject") if "subject" in rows.columns else F.col("row_idx")
     w = Window.partitionBy("family")
-    placed = families(rows, reduce(DataFrame.unionByName, kernels)).withColumn("place", F.row_number().over(w.orderBy("row_idx")) - 1)
+    labelled = rows if "family" in rows.columns else families(rows, reduce(DataFrame.unionByName, kernels))
+    placed = labelled.withColumn("place", F.row_number().over(w.orderBy("row_idx")) - 1)
     placed = materialise(placed.withColumn("who", F.dense_rank().over(w.orderBy(subject)) - 1), "placed")
     record = F.struct("place", "row_idx", "who", "y", F.array(F.lit(1.0), *[F.col(c).cast("double") for c in covariates]).alias("x"))
     out = placed.groupBy("family").agg(F.sort_array(F.collect_list(record)).alias("r"))
