@@ -1,8 +1,10 @@
 """Phrase collocations counted by broadcast double-array tries (operator 11).
 
-1. One pass hashes all n-grams of 1 to ``most_words`` words into counters that stop at
-   ``min_count``; the counters of all tasks are summed slice by slice. What is left of them is
-   one bit a counter: whether it reached ``min_count``.
+1. A pass hashes all n-grams of one and two words, the next those of three and four, and so on, to
+   36 bits. Tasks count their own ones, and their sorted hashes travel as packed differences to
+   the slices of the hash's range, which add the counts. What is left is the set of hashes that
+   reached ``min_count``, one bit a hash in a bitmap eight times as wide as there are such hashes.
+   From the second pass on, only n-grams whose known parts are in the set are counted.
 2. One pass gathers the distinct n-grams whose own bit and those of all n-grams inside them are
    set. No n-gram with ``min_count`` occurrences is missed, as an n-gram occurs no more often
    than its parts; collisions only add candidates.
@@ -12,9 +14,9 @@
    counted by bincount. The sums of all tasks and shards are the exact counts.
 4. Scores, nesting and ranks are joins, aggregates and a window over the counted phrases.
 
-The work of step 3 is a pass over a language's texts for each of its shards; memory is bounded
-by ``shard`` and ``bucket_bits``. Counters that are all full (far more different n-grams than
-counters) let more candidates through, never fewer: raise ``bucket_bits`` with the corpus.
+The work of step 3 is a pass over a language's texts for each of its shards; a task's memory is
+bounded by ``shard`` and by the bitmaps, which grow with the number of frequent n-grams (a byte
+each, 2^bucket_bits bits at least) and not with that of all n-grams.
 
 Defined cases: null texts have no words, a null language is ``und``; a text without words gives
 nothing; repeated rows count each; an empty table gives an empty result; other columns are
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..operators.align import with_row_index
 from ..operators.shared import materialise
-from .shards import slice_batch, slices_of, sum_slices
+from .shards import slice_batch
 from .textbatch import mix, span_hashes, text_column
 
 
@@ -48,16 +50,12 @@ class PhraseParams:
     scale: int = 2_000_000
     inside_percent: int = 80  # a phrase goes if a longer one around it has this share of its count
     top: int = 2000
-    bucket_bits: int = 24  # counters for each length of n-grams
+    bucket_bits: int = 24  # bits of the least bitmap of frequent hashes, for each length of n-grams
     shard: int = 1 << 18  # phrases of a trie
 
-    @property
-    def slice_cells(self) -> int:
-        return min(1 << 16, 1 << self.bucket_bits)
-
     @property
     def counter(self) -> np.dtype:
-        return np.min_scalar_type(2 * self.min_count)
+        return np.min_scalar_type(self.min_count)
 
 
 _CLASS = np.zeros(256, np.int8)  # 0: of a word, 1: between words, 2: between pieces
@@ -67,6 +65,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD = np.random.default_rng(11_029).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _FEW_HASHES = 1 << 20
+_KEY_BITS, _SLICE_BITS, _COUNT_BITS = 26, 10, 28  # of a hash inside its slice, of its slice, of a count beside both
+_HASH_BITS = _KEY_BITS + _SLICE_BITS
+_HELD = 1 << 21  # hashes that a task adds up before they travel
 
 
 @dataclass
@@ -118,75 +119,166 @@ def tokens_of(batch: pa.RecordBatch) -> Iterator[Tokens]:
         yield Tokens(lang, found.dictionary, found.indices.to_numpy().astype(np.int64), piece)
 
 
-def tally(docs: DataFrame, p: PhraseParams) -> DataFrame:
-    """Rows (slice, cells) of the counters and rows (lang, n) of the words, of every task."""
-    per_level = (1 << p.bucket_bits) // p.slice_cells
+def safe_places(t: Tokens, bits: list[np.ndarray], most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, hashes, whether a safe n-gram starts at each place): in one piece, and its bit and its parts' set where known."""
+    safe = None
+    for k, h in t.hashes(most):
+        now = t.inside(k)
+        if safe is not None:
+            now &= safe & np.append(safe[1:], False)
+        if k <= len(bits):
+            at = np.flatnonzero(now)
+            bucket = (h[at] >> np.uint64(64 - (len(bits[k - 1]) * 8).bit_length() + 1)).astype(np.int64)
+            now[at] = (bits[k - 1][bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1
+        safe = now
+        yield k, h, now
+
+
+def added(values: np.ndarray, cap: int) -> np.ndarray:
+    """Each hash once with the sum of its counts, at most cap: sorted values hash << 28 | count."""
+    values = np.sort(values)
+    key = values >> np.uint64(_COUNT_BITS)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    if not len(first):
+        return values
+    n = np.add.reduceat(values & np.uint64((1 << _COUNT_BITS) - 1), first)
+    return key[first] << np.uint64(_COUNT_BITS) | np.minimum(n, np.uint64(cap))
+
+
+def pack_counts(values: np.ndarray, counter: np.dtype) -> Iterator[tuple[int, bytes]]:
+    """(slice, packed counts) of ``added`` values: differences of the hashes by byte, high bytes first, then the counts."""
+    hashes = values >> np.uint64(_COUNT_BITS)
+    key = (hashes & np.uint64((1 << _KEY_BITS) - 1)).astype(np.int64)
+    n = (values & np.uint64((1 << _COUNT_BITS) - 1)).astype(counter)
+    cuts = np.searchsorted(hashes, np.arange((1 << _SLICE_BITS) + 1, dtype=np.uint64) << np.uint64(_KEY_BITS))
+    for i in np.flatnonzero(np.diff(cuts)):
+        own = slice(cuts[i], cuts[i + 1])
+        steps = np.diff(key[own], prepend=0).astype(">u4").view(np.uint8).reshape(-1, 4)
+        yield int(i), zlib.compress(steps.T.tobytes() + n[own].tobytes(), 1)
+
+
+def unpack_counts(cells: bytes, counter: np.dtype) -> np.ndarray:
+    """Values hash in the slice << 28 | count of one packed slice."""
+    raw = np.frombuffer(zlib.decompress(cells), np.uint8)
+    n = len(raw) // (4 + counter.itemsize)
+    key = np.cumsum(np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view(">u4").ravel(), dtype=np.uint64)
+    return key << np.uint64(_COUNT_BITS) | raw[4 * n :].view(counter).astype(np.uint64)
+
+
+_TALLY = "slice int, cells binary, lang string, n long"
+
+
+def tally(docs: DataFrame, p: PhraseParams, full: list[bytes], levels: list[int]) -> DataFrame:
+    """Rows (slice, cells) of the hashes of ``levels`` words that reached min_count, and rows (lang, n) of the words of every task.
+
+    ``full``: the bitmaps of all shorter n-grams. A slice is the hash's first 10 bits behind the
+    level; its cells are the other 26 bits of the frequent hashes.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(full)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = [np.zeros(1 << p.bucket_bits, p.counter) for _ in range(p.most_words)]
-        waiting: list[list[np.ndarray]] = [[] for _ in range(p.most_words)]
+    def rows(found: list[tuple[int, bytes]], words: dict[str, int]) -> pa.RecordBatch:
+        cells, n = slice_batch(found), len(words)
+        totals = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())]
+        none = [pa.nulls(len(found), pa.string()), pa.nulls(len(found), pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip([*cells.columns, *none], totals)], ["slice", "cells", "lang", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = [np.frombuffer(b, np.uint8) for b in shared.value]
+        held = {k: np.zeros(0, np.uint64) for k in levels}
+        waiting: dict[int, list[np.ndarray]] = {k: [] for k in levels}
         words: dict[str, int] = {}
 
         def settle(k: int) -> None:
-            at, seen = np.unique(np.concatenate(waiting[k]), return_counts=True)
-            counters[k][at] = np.minimum(counters[k][at] + np.minimum(seen, p.min_count).astype(p.counter), p.counter.type(p.min_count))
+            held[k] = added(np.concatenate([held[k], *waiting[k]]), p.min_count)
             waiting[k].clear()
 
+        def leave(k: int) -> pa.RecordBatch:
+            found = [(k << _SLICE_BITS | i, c) for i, c in pack_counts(held[k], p.counter)]
+            held[k] = np.zeros(0, np.uint64)
+            return rows(found, {})
+
         for batch in batches:
             for t in tokens_of(batch):
                 words[t.lang] = words.get(t.lang, 0) + len(t.ids)
-                for k, h in t.hashes(p.most_words):
-                    waiting[k - 1].append((h[t.inside(k)[: len(h)]] >> np.uint64(64 - p.bucket_bits)).astype(np.uint32))
-                    if sum(map(len, waiting[k - 1])) >= _FEW_HASHES:
-                        settle(k - 1)
-        for k in range(p.most_words):
-            if waiting[k]:
-                settle(k)
-            cells = slice_batch(list(slices_of(counters[k], k * per_level, p.slice_cells)))
-            none = pa.nulls(cells.num_rows)
-            yield pa.RecordBatch.from_arrays([*cells.columns, none.cast(pa.string()), none.cast(pa.int64())], ["slice", "cells", "lang", "n"])
-        none = pa.nulls(len(words))
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.binary()), pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["slice", "cells", "lang", "n"])
-
-    return materialise(docs.mapInArrow(run, "slice int, cells binary, lang string, n long"), "tally")
-
-
-def full_counters(counted: DataFrame, p: PhraseParams) -> list[bytes]:
-    """One packed bit a counter, for each length of n-grams: whether it reached ``min_count``. 2^bucket_bits bits each."""
-    per_level = (1 << p.bucket_bits) // p.slice_cells
-    parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bits = [np.packbits(np.frombuffer(zlib.decompress(c), p.counter) >= p.min_count).tobytes() for c in b.column(1).to_pylist()]
-            yield slice_batch(list(zip(b.column(0).to_pylist(), bits)))
-
-    sums = sum_slices(counted.filter("slice is not null"), p.counter, min(parts, p.most_words * per_level), p.min_count)
-    out = [bytearray((1 << p.bucket_bits) // 8) for _ in range(p.most_words)]
-    for row in sums.mapInArrow(pack, "slice int, cells binary").toLocalIterator():
-        level, at = divmod(row["slice"], per_level)
-        at *= p.slice_cells // 8
-        out[level][at : at + len(row["cells"])] = row["cells"]
-    return [bytes(b) for b in out]
+                for k, h, safe in safe_places(t, bits, levels[-1]):
+                    if k not in waiting:
+                        continue
+                    waiting[k].append(h[safe[: len(h)]] >> np.uint64(64 - _HASH_BITS) << np.uint64(_COUNT_BITS) | np.uint64(1))
+                    if sum(map(len, waiting[k])) >= _FEW_HASHES:
+                        settle(k)
+                        if len(held[k]) >= _HELD:
+                            yield leave(k)
+        for k in levels:
+            settle(k)
+            yield leave(k)
+        yield rows([], words)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+
+        def frequent() -> list[tuple[int, bytes]]:
+            if now is None:
+                return []
+            values = added(np.concatenate(parts), p.min_count)
+            found = values[values & np.uint64((1 << _COUNT_BITS) - 1) >= p.min_count] >> np.uint64(_COUNT_BITS)
+            return [(now, found.astype(np.uint32).tobytes())] if len(found) else []
+
+        for batch in batches:
+            found, words = [], {}
+            for s, cells, lang, n in zip(*[c.to_pylist() for c in batch.columns]):
+                if s is None:
+                    words[lang] = words.get(lang, 0) + n
+                    continue
+                if s != now:
+                    found += frequent()
+                    now, parts = s, []
+                parts.append(unpack_counts(cells, p.counter))
+            yield rows(found, words)
+        yield rows(frequent(), {})
+
+    # a slice's rows come one after the other, so a task holds one slice at a time
+    dealt = docs.mapInArrow(count, _TALLY).repartition(tasks, "slice").sortWithinPartitions("slice")
+    return materialise(dealt.mapInArrow(add, _TALLY), "tally")
+
+
+def full_bits(counted: DataFrame, p: PhraseParams, level: int) -> bytes:
+    """The bitmap of the frequent hashes of ``level`` words: a power of two of bits, eight times the hashes or more."""
+    own = counted.filter(F.shiftright("slice", _SLICE_BITS) == level)
+    n = own.agg(F.sum(F.length("cells")) / 4).first()[0] or 0
+    # bytes of a slice are whole
+    width = min(_HASH_BITS, max(_SLICE_BITS + 3, p.bucket_bits, int(8 * n).bit_length()))
+    out, size = bytearray((1 << width) // 8), 1 << (width - _SLICE_BITS)
+    for row in own.select("slice", "cells").toLocalIterator():
+        flags = np.zeros(size, bool)
+        flags[np.frombuffer(row["cells"], np.uint32) >> np.uint32(_HASH_BITS - width)] = True
+        at = (row["slice"] & ((1 << _SLICE_BITS) - 1)) * size // 8
+        out[at : at + size // 8] = np.packbits(flags).tobytes()
+    return bytes(out)
+
+
+def frequent_hashes(docs: DataFrame, p: PhraseParams) -> tuple[list[bytes], DataFrame]:
+    """The bitmaps of all lengths of n-grams, two lengths a pass, and (lang, n)."""
+    full: list[bytes] = []
+    totals = None
+    while len(full) < p.most_words:
+        levels = list(range(len(full) + 1, min(len(full) + 2, p.most_words) + 1))
+        counted = tally(docs, p, full, levels)
+        totals = totals or counted.filter("slice is null").groupBy("lang").agg(F.sum("n").alias("n"))
+        full = [*full, *[full_bits(counted, p, k) for k in levels]]
+    return full, totals
 
 
 def candidates(docs: DataFrame, full: list[bytes], p: PhraseParams) -> DataFrame:
-    """Distinct (lang, phrase): n-grams that are safe by their own and all their parts' counters."""
+    """Distinct (lang, phrase): n-grams that are safe by their own and all their parts' bits."""
     shared = docs.sparkSession.sparkContext.broadcast(full)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [np.frombuffer(b, np.uint8) for b in shared.value]
         for batch in batches:
             for t in tokens_of(batch):
-                n = len(t.ids)
-                safe = code = None
-                for k, h in t.hashes(p.most_words):
-                    bucket = (h >> np.uint64(64 - p.bucket_bits)).astype(np.int64)
-                    now = np.zeros(n, bool)
-                    now[: len(h)] = (bits[k - 1][bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1
-                    now &= t.inside(k)
-                    if k > 1:
-                        now &= safe & np.append(safe[1:], False)
+                n, code = len(t.ids), None
+                for k, _, now in safe_places(t, bits, p.most_words):
                     at = np.flatnonzero(now)
                     if not len(at):
                         break
@@ -195,7 +287,6 @@ def candidates(docs: DataFrame, full: list[bytes], p: PhraseParams) -> DataFrame
                     _, first, which = np.unique(key, return_index=True, return_inverse=True)
                     code = np.zeros(n, np.int64)
                     code[at] = which
-                    safe = now
                     columns = [t.words.take(pa.array(t.ids[at[first] + j])) for j in range(k)]
                     phrase = pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string())) if k > 1 else columns[0]
                     yield pa.RecordBatch.from_arrays([pa.array([t.lang] * len(phrase), pa.string()), phrase.cast(pa.string())], ["lang", "phrase"])
@@ -335,9 +426,8 @@ def count_shard(docs: DataFrame, shard: list) -> DataFrame:
 def count_phrases(docs: DataFrame, p: PhraseParams, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of all phrases of 1 to most_words words with min_count occurrences, and (lang, n)."""
     docs = docs.select(F.col(f"`{text}`").alias("text"), F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang"))
-    counted = tally(docs, p)
-    totals = counted.filter("slice is null").groupBy("lang").agg(F.sum("n").alias("n"))
-    safe = with_row_index(candidates(docs, full_counters(counted, p), p), ["lang", "phrase"])
+    full, totals = frequent_hashes(docs, p)
+    safe = with_row_index(candidates(docs, full, p), ["lang", "phrase"])
     numbered = materialise(safe.withColumn("shard", F.expr(f"row_idx div {p.shard}")), "candidates")
     built = tries(numbered)
     parts = [docs.sparkSession.createDataFrame([], "row_idx long, f long")]

@@ -95,6 +95,27 @@ def test_phrases_equal_brute_force(spark, p):
     assert collocations.mine_phrases(docs.limit(0), p).count() == 0
 
 
+def test_rare_phrases_are_no_candidates_however_many_there_are(spark, monkeypatch):
+    rng = np.random.default_rng(29)
+    rows = [(" ".join(f"w{int(x)}" for x in rng.integers(0, 200, 100)) + " . three words together",) for _ in range(60)]
+    docs = spark.createDataFrame(rows, "text string").selectExpr("text", "'en' AS lang").repartition(3)
+    seen, tries = [], collocations.tries
+    monkeypatch.setattr(collocations, "tries", lambda numbered: seen.append(numbered.count()) or tries(numbered))
+    out = collocations.mine_phrases(docs, PhraseParams(min_count=12, bucket_bits=6)).collect()
+    # some 200 words and the three words' parts are frequent; 10 thousand n-grams are not
+    assert [r["phrase"] for r in out] == ["three words together"] and seen[0] <= 400
+
+
+def test_packed_counts_come_back(spark):
+    rng = np.random.default_rng(31)
+    values = np.append(rng.integers(0, 1 << 36, 5000, dtype=np.uint64), [0, (1 << 36) - 1]).astype(np.uint64)
+    found = collocations.added(np.concatenate([values, values[:100], values[:50]]) << np.uint64(28) | np.uint64(1), 2)
+    assert len(found) == len(np.unique(values)) and (found & np.uint64(3) == 2).sum() == 100
+    for counter in (np.dtype(np.uint8), np.dtype(np.uint16)):
+        back = [(np.uint64(s) << np.uint64(26 + 28)) + collocations.unpack_counts(c, counter) for s, c in collocations.pack_counts(found, counter)]
+        assert np.array_equal(np.concatenate(back), found)
+
+
 def test_trie_holds_exactly_its_phrases():
     rng = np.random.default_rng(3)
     phrases = sorted({" ".join(f"w{int(x)}" for x in rng.zipf(1.3, int(k)) % 300) for k in rng.integers(1, 5, 4000)})
