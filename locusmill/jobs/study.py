@@ -136,14 +136,17 @@ def run_study(geno: DataFrame, samples: DataFrame, phenotypes: DataFrame, covari
 
 
 def write_corrections(samples: DataFrame, residuals: DataFrame, c2: dict[str, float], path: str) -> None:
-    """The correction table as text: c2 in a row named '#', then one row a sample, 17 digits."""
+    """The correction table as text: c2 in a row named '#', then one row a sample, 17 digits.
+
+    A folder of files whose names rise with the rows; each starts with the header, as ``read_delimited`` expects.
+    """
     from ..operators.align import zero_filled
 
     names = list(c2)
     text = lambda c: F.format_string("%.17g", c)
     body = zero_filled(samples, residuals, names).select((F.col("sample_idx") + 1).alias("o"), F.col("sample_id").cast("string").alias("sample_id"), *[text(F.col(f"`{n}`")).alias(n) for n in names])
     head = samples.sparkSession.createDataFrame([(0, "#", *[f"{c2[n]:.17g}" for n in names])], body.schema)
-    head.unionByName(body).coalesce(1).sortWithinPartitions("o").drop("o").write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    head.unionByName(body).orderBy("o").drop("o").write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
 def to_text(spark: SparkSession, parquet: str, out: str, single_file: bool = False) -> None:
