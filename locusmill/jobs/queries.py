@@ -477,8 +477,7 @@ def mixed_repeated(spark, sf):
     """Corrected residuals of repeated measures, summed by sample: orders are the rows, customers the samples, at given components."""
     orders = C.table(spark, sf, "orders").select(F.col("o_custkey").alias("sample_id"), "o_orderkey", (F.dayofmonth("o_orderdate") % 7).cast("double").alias("x"), (F.col("o_totalprice") / 1000).alias("y"))
     rows = materialise(align.with_row_index(orders, ["sample_id", "o_orderkey"]), "rows")
-    kernel = align.repeated_measure_kernel(rows.select("sample_id", "row_idx"))
-    stacks = mixed.Stacks(rows.select("row_idx", F.col("sample_id").alias("subject"), F.array("y").alias("y"), "x"), [kernel], ["x"])
+    stacks = mixed.Stacks(rows.select("row_idx", F.col("sample_id").alias("subject"), F.array("y").alias("y"), "x"), [mixed.SAME_SUBJECT], ["x"])
     fits, resid = mixed.fit_mixed(stacks, [mixed.Trait(0, [0, 1])], tau=[[5000.0, 2000.0]])
     return resid.join(rows.select("row_idx", "sample_id"), "row_idx").select("sample_id", r("resid", 5).alias("resid"), r(F.lit(fits[0].c2)).alias("c2"))
 

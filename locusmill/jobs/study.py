@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.align import binary_traits, kinship_matrix, kinship_pairs, repeated_measure_kernel, with_row_index
 from ..operators.assoc import RepeatedProjector, Traits, associate
-from ..operators.mixed import Trait, fit_mixed, with_slopes
+from ..operators.mixed import SAME_SUBJECT, Trait, fit_mixed, with_slopes
 from ..operators.onefamily import stacks_for
 from ..operators.nullmodel import Fit, correct_traits, fit_logistic_traits, fit_traits, gram
 from ..operators.shared import materialise
@@ -79,7 +79,10 @@ def fit_null(cohort: DataFrame, phenotypes: DataFrame, covariates: list[str], ki
         return out, {p: c2[p] for p in kinds}, fits
     index = cohort.select("sample_id", "row_idx")
     kernels = [kinship_matrix(kinship_pairs(kinship, index), index, diagonal, repeated)] if kinship is not None else []
-    kernels = [materialise(k, "kernel") for k in [*kernels, *([repeated_measure_kernel(index)] if repeated else [])]]
+    kernels = [materialise(k, "kernel") for k in kernels]
+    if repeated:
+        # a random slope changes the entries, so they are listed
+        kernels.append(SAME_SUBJECT if slope is None else materialise(repeated_measure_kernel(index), "kernel"))
     triples = []
     if slope is not None:
         kernels, triples = with_slopes(kernels, cohort.select("row_idx", F.col(f"`{slope}`").alias("s")))

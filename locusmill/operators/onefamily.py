@@ -28,8 +28,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .align import with_row_index
-from .mixed import Ask, Stacks, Trait, _read_information, families
+from .align import repeated_measure_kernel, with_row_index
+from .mixed import SAME_SUBJECT, Ask, Stacks, Trait, _read_information, families
 from .shared import forget, materialise
 
 BLOCK = 1024
@@ -38,19 +38,22 @@ GROUP = 1 << 18
 _STATE = "b long, spread binary, scale binary, cells binary, dots array<double>"
 
 
-def family_sizes(rows: DataFrame, kernels: list[DataFrame]) -> DataFrame:
+def family_sizes(rows: DataFrame, kernels: list[DataFrame | str]) -> DataFrame:
     """rows with ``family``, written."""
-    return materialise(families(rows, reduce(DataFrame.unionByName, kernels)), "labelled")
+    return materialise(families(rows, kernels), "labelled")
 
 
 def largest_family(labelled: DataFrame) -> int:
     return labelled.groupBy("family").count().agg(F.max("count")).first()[0] or 0
 
 
-def stacks_for(rows: DataFrame, kernels: list[DataFrame], covariates: list[str], largest: int = 4096, probes: int = 32) -> Stacks | OneFamily:
+def stacks_for(rows: DataFrame, kernels: list[DataFrame | str], covariates: list[str], largest: int = 4096, probes: int = 32) -> Stacks | OneFamily:
     """Dense stacks where no family has more than ``largest`` rows, else conjugate gradients with ``probes`` columns of signs."""
     labelled = family_sizes(rows, kernels)
-    return Stacks(labelled, kernels, covariates) if largest_family(labelled) <= largest else OneFamily(labelled, kernels, covariates, probes)
+    if largest_family(labelled) <= largest:
+        return Stacks(labelled, kernels, covariates)
+    ones = lambda: materialise(repeated_measure_kernel(labelled.select(F.col("subject").alias("sample_id"), "row_idx")), "kernel")
+    return OneFamily(labelled, [ones() if k is SAME_SUBJECT else k for k in kernels], covariates, probes)
 
 
 def _cells(raw: bytes, *shape: int) -> np.ndarray:

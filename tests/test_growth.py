@@ -1,8 +1,10 @@
 """Steps whose work or memory must not grow faster than the rows."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from locusmill.jobs import study
+from locusmill.operators import align, mixed
 from locusmill.sources.text import read_corrections
 
 
@@ -20,3 +22,27 @@ def test_a_correction_table_is_written_by_many_tasks(spark, tmp_path):
     c2, back = read_corrections(spark, str(tmp_path / "c"))
     assert c2.collect() == [("a b", 1.25)]
     assert {(r["sample_id"], r["resid"]) for r in back.collect()} == {(str(i), i / 7 if i % 3 else 0.0) for i in range(1000)}
+
+
+def test_the_kernel_of_repeated_rows_is_not_listed(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    who = [0, 0, 0, 1, 1, 2, 3, 3, 4, 5, 5, 5]
+    table = [(i, who.index(s), float(rng.normal()), float(rng.normal())) for i, s in enumerate(who)]
+    rows = spark.createDataFrame(table, "row_idx long, subject long, y double, x double")
+    # subjects 0 and 2, 1 and 3 are kin; one entry joins rows that are no subject's first
+    pairs = [(i, i, 1.0) for i in range(12)] + [(2, 5, 0.25), (5, 2, 0.25), (4, 7, 0.5), (7, 4, 0.5)]
+    kin = spark.createDataFrame(pairs, "i long, j long, value double")
+    ones = align.repeated_measure_kernel(rows.select(F.col("subject").alias("sample_id"), "row_idx"))
+    for own, tau in (([kin], [1.0, 0.5, 0.7]), ([], [1.0, 0.7])):
+        (a, left), (b, right) = (mixed.mixed_at(rows, [*own, k], ["x"], tau) for k in (ones, mixed.SAME_SUBJECT))
+        assert np.allclose(a.coef, b.coef) and np.isclose(a.c1, b.c1) and np.isclose(a.c2, b.c2)
+        left, right = ({r["row_idx"]: r["resid"] for r in t.collect()} for t in (left, right))
+        assert left.keys() == right.keys() and np.allclose([left[i] for i in left], [right[i] for i in left])
+
+    def fail(*_):
+        raise AssertionError("all pairs of rows")
+
+    monkeypatch.setattr(study, "repeated_measure_kernel", fail)
+    cohort = rows.select("subject", "x", F.col("row_idx").alias("order")).withColumnRenamed("subject", "sample_id")
+    _, c2, fits = study.fit_null(cohort, rows.select(F.col("subject").alias("sample_id"), F.lit("t").alias("pheno"), "y", F.col("row_idx").alias("order")), ["x"])
+    assert len(fits) == 1 and c2["t"] > 0
