@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_1_tail
+from .shared import materialise
 
 
 def gram(df: DataFrame, columns: list[str], weight: str | None = None) -> np.ndarray:
@@ -109,7 +110,8 @@ def with_predictor(rows: DataFrame, fits: list[Fit], covariates: list[str], scal
     table = [(f.pheno, place(f), f.family == "binomial", float(scale[f.pheno]) if scale else 1.0) for f in fits]
     coef = rows.sparkSession.createDataFrame(table, "pheno string, _b array<double>, _binomial boolean, _scale double")
     eta = reduce(lambda acc, i: acc + F.col("_b")[i] * (F.col(every[i]) if i else F.lit(1.0)), range(len(every)), F.lit(0.0))
-    return rows.join(coef, "pheno").withColumn("_eta", eta).drop("_b")
+    # one row a trait: a join by shuffle would send all rows of a trait to one task
+    return rows.join(F.broadcast(coef), "pheno").withColumn("_eta", eta).drop("_b")
 
 
 def _weights(rows: DataFrame) -> DataFrame:
@@ -180,5 +182,7 @@ def fit_gaussian(rows: DataFrame, covariates: list[str], y: str = "y", pheno: st
 
 def fit_logistic(rows: DataFrame, covariates: list[str], y: str = "y", pheno: str = "y") -> Fit:
     """The logistic model of one trait."""
-    start = fit_gaussian(rows, covariates, y, pheno)
-    return fit_logistic_traits(_one(rows, y, pheno), covariates, {pheno: start})[pheno]
+    # each step reads the rows again, but not what they come from
+    rows = materialise(_one(rows, y, pheno).select("pheno", "y", *covariates), "logistic")
+    start = fit_gaussian(rows, covariates, "y", pheno)
+    return fit_logistic_traits(rows, covariates, {pheno: start})[pheno]

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from locusmill.jobs import study
-from locusmill.operators import align, mixed
+from locusmill.operators import align, mixed, nullmodel
 from locusmill.sources.text import read_corrections
 
 
@@ -24,6 +24,24 @@ def test_a_correction_table_is_written_by_many_tasks(spark, tmp_path):
     assert {(r["sample_id"], r["resid"]) for r in back.collect()} == {(str(i), i / 7 if i % 3 else 0.0) for i in range(1000)}
 
 
+def test_logistic_steps_read_their_rows_once_from_the_source(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=200)
+    y = (rng.random(200) < 1 / (1 + np.exp(-x))).astype(float)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double").mapInArrow(count, "x double, y double")
+    fit = nullmodel.fit_logistic(rows, ["x"])
+    assert fit.converged and seen.value == 200
+    predicted = nullmodel.with_predictor(nullmodel._one(rows, "y", "y"), [fit], ["x"])
+    assert "Broadcast" in predicted._jdf.queryExecution().executedPlan().toString()
+
+
 def test_the_kernel_of_repeated_rows_is_not_listed(spark, monkeypatch):
     rng = np.random.default_rng(4)
     who = [0, 0, 0, 1, 1, 2, 3, 3, 4, 5, 5, 5]
