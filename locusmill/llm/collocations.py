@@ -9,13 +9,15 @@
    set. No n-gram with ``min_count`` occurrences is missed, as an n-gram occurs no more often
    than its parts; collisions only add candidates.
 3. The candidates are cut into shards of ``shard`` phrases and each shard becomes a double-array
-   trie over its words' numbers. The tries of a shard are broadcast; in the tasks numpy moves the
-   states of all text positions one word further at a time, and the states that accept are
-   counted by bincount. The sums of all tasks and shards are the exact counts.
+   trie over its words' numbers. The tries of as many shards as hold ``together`` phrases are
+   broadcast as one forest; in the tasks a text position starts at the root of the trie that holds
+   its word's phrases, numpy moves the states of all positions one word further at a time, and the
+   states that accept are counted by bincount. The sums of all tasks and passes are the exact counts.
 4. Scores, nesting and ranks are joins, aggregates and a window over the counted phrases.
 
-The work of step 3 is a pass over a language's texts for each of its shards; a task's memory is
-bounded by ``shard`` and by the bitmaps, which grow with the number of frequent n-grams (a byte
+The work of step 3 is a pass over a language's texts for each ``together`` of its phrases, so it
+doesn't grow with the number of shards inside; a task's memory is bounded by ``together`` (some 30
+bytes a phrase, and four for each word and trie of a language) and by the bitmaps, which grow with the number of frequent n-grams (a byte
 each, 2^bucket_bits bits at least) and not with that of all n-grams.
 
 Defined cases: null texts have no words, a null language is ``und``; a text without words gives
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ..operators.align import with_row_index
 from ..operators.shared import materialise
-from .shards import slice_batch
+from .shards import SLICE, held_sums, slice_batch, slices_of
 from .textbatch import mix, span_hashes, text_column
 
 
@@ -52,6 +54,7 @@ class PhraseParams:
     top: int = 2000
     bucket_bits: int = 24  # bits of the least bitmap of frequent hashes, for each length of n-grams
     shard: int = 1 << 18  # phrases of a trie
+    together: int = 1 << 22  # phrases of the tries that one pass over the texts counts
 
     @property
     def counter(self) -> np.dtype:
@@ -65,6 +68,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD = np.random.default_rng(11_029).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _FEW_HASHES = 1 << 20
+_FEW_VISITS = 1 << 20
+_CELLS = 1 << 16  # counts of a slice
 _KEY_BITS, _SLICE_BITS, _COUNT_BITS = 26, 10, 28  # of a hash inside its slice, of its slice, of a count beside both
 _HASH_BITS = _KEY_BITS + _SLICE_BITS
 _HELD = 1 << 21  # hashes that a task adds up before they travel
@@ -381,46 +386,122 @@ def tries(numbered: DataFrame) -> DataFrame:
     return materialise(numbered.groupBy("shard", "lang").applyInArrow(build, _TRIE), "tries")
 
 
-def walk(base: np.ndarray, check: np.ndarray, side: int, ids: np.ndarray, piece: np.ndarray, counts: np.ndarray) -> None:
-    """Add to counts the visits of every state, from all places at once, a word further at a time. ids: 0 is no word of the trie."""
-    at = np.flatnonzero(ids)
-    state = np.zeros(len(at), np.int64)
-    depth = 0
-    while len(at):
-        for i in range(2):
-            to = base[state] + digits(ids[at + depth], side)[:, i]
-            to = np.where((to > 0) & (to < len(check)), to, 0)
-            ok = check[to] == state
-            at, state = at[ok], to[ok]
-        counts += np.bincount(state, minlength=len(counts))
-        depth += 1
-        more = at + depth < len(ids)
-        at, state = at[more], state[more]
-        more = (ids[at + depth] > 0) & (piece[at + depth] == piece[at])
-        at, state = at[more], state[more]
-
-
-def count_shard(docs: DataFrame, shard: list) -> DataFrame:
-    """(row_idx, f) of every task for the phrases of one shard's tries."""
-    shared = docs.sparkSession.sparkContext.broadcast([(r["lang"], r["first"], r["side"], r["words"], bytes(r["base"]), bytes(r["check"]), bytes(r["accept"])) for r in shard])
+@dataclass
+class Forest:
+    """Tries of one pass in one pair of arrays: a trie's states begin at its root, and accept holds a phrase's place among those of the pass."""
+
+    base: np.ndarray
+    check: np.ndarray
+    accept: np.ndarray
+    langs: dict[str, LangTries]
+
+    def visits(self, own: LangTries, ids: np.ndarray, piece: np.ndarray) -> Iterator[np.ndarray]:
+        """The accepting states' phrases that all places reach, a word further at a time. ids: numbers in own.words from 1 on, 0 is no word of the tries."""
+        at = np.flatnonzero(own.lo[ids] >= 0)
+        which, more = own.lo[ids[at]], own.hi[ids[at]] - own.lo[ids[at]]
+        if more.any():
+            # phrases of one first word lie in several tries: such a place starts in each
+            first = np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+            at, which = np.repeat(at, more + 1), np.repeat(which, more + 1) + np.arange(len(first)) - first
+        state, depth = own.roots[which], 0
+        while len(at):
+            number = own.local[which, ids[at + depth]]
+            ok = number > 0
+            at, which, state, number = at[ok], which[ok], state[ok], number[ok]
+            steps = digits(number, own.sides[which])
+            for i in range(2):
+                to = self.base[state] + steps[:, i]
+                to = np.where((to > 0) & (to < len(self.check)), to, 0)
+                ok = self.check[to] == state
+                at, which, state, steps = at[ok], which[ok], to[ok], steps[ok]
+            found = self.accept[state]
+            yield found[found >= 0]
+            depth += 1
+            ok = at + depth < len(ids)
+            at, which, state = at[ok], which[ok], state[ok]
+            ok = (ids[at + depth] > 0) & (piece[at + depth] == piece[at])
+            at, which, state = at[ok], which[ok], state[ok]
+
+
+@dataclass
+class LangTries:
+    """The tries of one language: roots, digits' bases, each word's number in each trie, and its first and last trie as a phrase's first word."""
+
+    words: pa.Array
+    roots: np.ndarray
+    sides: np.ndarray
+    local: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+
+
+def forest(shards: pa.Table) -> Forest:
+    """The tries of ``tries``' rows, put together."""
+    shards = shards.sort_by("first").combine_chunks()
+    base, check, accept, at = [], [], [], 0
+    roots: dict[str, list[tuple[int, int, pa.Array]]] = {}
+    for lang, first, side, words, *cells in zip(*[shards[c].to_pylist() for c in ("lang", "first", "side")], *[shards[c] for c in ("words", "base", "check", "accept")]):
+        b, c, a = (np.frombuffer(x.as_buffer(), np.int32) for x in cells)
+        base.append(b + np.int32(at))
+        check.append(np.where(c >= 0, c + np.int32(at), c))
+        accept.append(np.where(a >= 0, a + np.int32(first - shards["first"][0].as_py()), a))
+        roots.setdefault(lang, []).append((at, side, words.values.cast(pa.large_string())))
+        at += len(b)
+    out = Forest(np.concatenate(base), np.concatenate(check), np.concatenate(accept), {})
+    for lang, own in roots.items():
+        every = pa.concat_arrays([w for _, _, w in own]).dictionary_encode()
+        ids = np.split(every.indices.to_numpy() + 1, np.cumsum([len(w) for _, _, w in own])[:-1])
+        n = len(every.dictionary) + 1
+        local, lo, hi = np.zeros((len(own), n), np.int32), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        for i, (root, side, _) in enumerate(own):
+            local[i, ids[i]] = np.arange(1, len(ids[i]) + 1)
+            state = np.full(len(ids[i]), root)
+            starts = np.ones(len(state), bool)
+            for digit in digits(local[i, ids[i]].astype(np.int64), side).T:
+                to = np.clip(out.base[state] + digit, 0, len(out.check) - 1)
+                starts &= out.check[to] == state
+                state = to
+            heads = ids[i][starts]
+            hi[heads] = i
+            lo[heads] = np.where(lo[heads] < 0, i, lo[heads])
+        out.langs[lang] = LangTries(every.dictionary, np.array([x for x, _, _ in own]), np.array([x for _, x, _ in own]), local, lo, hi)
+    return out
+
+
+def count_tries(docs: DataFrame, shards: pa.Table) -> DataFrame:
+    """(row_idx, f) of the phrases of some shards' tries. The tasks' counts travel as packed slices, not as a row for each task and phrase."""
+    built, start = forest(shards), min(shards["first"].to_pylist())
+    shared = docs.sparkSession.sparkContext.broadcast(built)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {}
-        for lang, first, side, words, base, check, accept in shared.value:
-            array = lambda b: np.frombuffer(b, np.int32)
-            known[lang] = first, side, pa.array(words, pa.large_string()), array(base).astype(np.int64), array(check), array(accept), np.zeros(len(accept) // 4, np.int64)
+        known = shared.value
+        counts = np.zeros(int(known.accept.max()) + 1, np.int64)
+        waiting: list[np.ndarray] = []
+
+        def settle() -> None:
+            if waiting:
+                counts[:] += np.bincount(np.concatenate(waiting), minlength=len(counts))
+                waiting.clear()
+
         for batch in batches:
             for t in tokens_of(batch):
-                if t.lang in known:
-                    _, side, words, base, check, _, counts = known[t.lang]
-                    number = pc.fill_null(pc.index_in(t.words, value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-                    walk(base, check, side, number[t.ids], t.piece, counts)
-        for first, _, _, _, _, accept, counts in known.values():
-            at = np.flatnonzero((counts > 0) & (accept >= 0))
-            yield pa.RecordBatch.from_arrays([pa.array(accept[at].astype(np.int64) + first), pa.array(counts[at])], ["row_idx", "f"])
+                if own := known.langs.get(t.lang):
+                    number = pc.fill_null(pc.index_in(t.words, value_set=own.words), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+                    for found in known.visits(own, number[t.ids], t.piece):
+                        waiting.append(found)
+                        if sum(map(len, waiting)) >= _FEW_VISITS:
+                            settle()
+        settle()
+        yield slice_batch(list(slices_of(counts, 0, _CELLS)))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, f in held_sums(batches, np.dtype(np.int64)).items():
+            at = np.flatnonzero(f)
+            yield pa.RecordBatch.from_arrays([pa.array(at + (start + s * _CELLS)), pa.array(f[at])], ["row_idx", "f"])
 
-    langs = [r["lang"] for r in shard]
-    return docs.filter(F.col("lang").between(min(langs), max(langs))).mapInArrow(run, "row_idx long, f long")
+    parts = docs.filter(F.col("lang").between(min(built.langs), max(built.langs))).mapInArrow(run, SLICE)
+    return parts.repartition(tasks, "slice").mapInArrow(add, "row_idx long, f long")
 
 
 def count_phrases(docs: DataFrame, p: PhraseParams, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -431,9 +512,11 @@ def count_phrases(docs: DataFrame, p: PhraseParams, text: str = "text", lang: st
     numbered = materialise(safe.withColumn("shard", F.expr(f"row_idx div {p.shard}")), "candidates")
     built = tries(numbered)
     parts = [docs.sparkSession.createDataFrame([], "row_idx long, f long")]
-    for s in sorted(r["shard"] for r in built.select("shard").distinct().collect()):
-        # one shard's tries at a time: their size follows from the parameter
-        parts.append(materialise(count_shard(docs, built.filter(F.col("shard") == s).collect()).groupBy("row_idx").agg(F.sum("f").alias("f")), "shard-counts"))
+    shards = sorted(r["shard"] for r in built.select("shard").distinct().collect())
+    # as many shards' tries in one pass as have ``together`` phrases: their size follows from the parameters
+    step = max(1, p.together // p.shard)
+    for own in (shards[i : i + step] for i in range(0, len(shards), step)):
+        parts.append(materialise(count_tries(docs, built.filter(F.col("shard").between(own[0], own[-1])).toArrow()), "shard-counts"))
     f = reduce(DataFrame.unionByName, parts).filter(F.col("f") >= p.min_count)
     return materialise(numbered.select("row_idx", "lang", "phrase").join(f, "row_idx").drop("row_idx"), "phrases"), totals
 

@@ -24,6 +24,18 @@ def slice_batch(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([s for s, _ in found], pa.int32()), pa.array([c for _, c in found], pa.binary())], ["slice", "cells"])
 
 
+def held_sums(batches: Iterator[pa.RecordBatch], dtype: np.dtype, cap: int | None = None) -> dict[int, np.ndarray]:
+    """The sums of all rows of each slice of a task."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for s, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            cells = np.frombuffer(zlib.decompress(packed), dtype)
+            if s in held:
+                cells = held[s] + cells
+            held[s] = cells if cap is None else np.minimum(cells, dtype.type(cap))
+    return held
+
+
 def sum_slices(parts: DataFrame, dtype: np.dtype, tasks: int, cap: int | None = None) -> DataFrame:
     """(slice, cells): sums of the rows of each slice, at most ``cap`` a cell.
 
@@ -32,14 +44,7 @@ def sum_slices(parts: DataFrame, dtype: np.dtype, tasks: int, cap: int | None =
     dtype = np.dtype(dtype)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for s, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                cells = np.frombuffer(zlib.decompress(packed), dtype)
-                if s in held:
-                    cells = held[s] + cells
-                held[s] = cells if cap is None else np.minimum(cells, dtype.type(cap))
-        yield slice_batch([(s, zlib.compress(c.tobytes(), 1)) for s, c in held.items()])
+        yield slice_batch([(s, zlib.compress(c.tobytes(), 1)) for s, c in held_sums(batches, dtype, cap).items()])
 
     return parts.select("slice", "cells").repartition(tasks, "slice").mapInArrow(add, SLICE)
 

@@ -106,6 +106,22 @@ def test_rare_phrases_are_no_candidates_however_many_there_are(spark, monkeypatc
     assert [r["phrase"] for r in out] == ["three words together"] and seen[0] <= 400
 
 
+def test_shards_are_counted_together(spark, monkeypatch):
+    """As many tries as ``together`` allows take one pass over the texts, also where one word's phrases lie in several."""
+    rng = np.random.default_rng(37)
+    rows = [(" ".join(f"w{int(x)}" for x in rng.zipf(1.5, 60) % 12), ["en", "fr"][i % 2]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    written, materialise = [], collocations.materialise
+    monkeypatch.setattr(collocations, "materialise", lambda df, name: written.append((name, df.count() if name == "tries" else 0)) or materialise(df, name))
+    for p, most in ((PhraseParams(min_count=3, bucket_bits=8, shard=7), 1), (PhraseParams(min_count=3, bucket_bits=8, shard=60, together=150), 8)):
+        written.clear()
+        out = collocations.top_phrases(collocations.mine_phrases(docs, p), p.top).collect()
+        assert {(r["lang"], r["rank"], r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"]) for r in out} == brute_phrases(rows, p)
+        built = next(n for name, n in written if name == "tries")
+        passes = sum(name == "shard-counts" for name, _ in written)
+        assert passes <= most and built > passes, (passes, built)
+
+
 def test_packed_counts_come_back(spark):
     rng = np.random.default_rng(31)
     values = np.append(rng.integers(0, 1 << 36, 5000, dtype=np.uint64), [0, (1 << 36) - 1]).astype(np.uint64)
